@@ -87,3 +87,115 @@ register("i06_overdue_invoices")(lambda s, d: audit.overdue_invoices(wh(s, d), A
 register("i07_payment_discrepancies")(lambda s, d: audit.payment_discrepancies(wh(s, d)))
 register("i09_audit_table_selector")(lambda s, d: audit.audit_table(wh(s, d), "finance", " Discrepancies ", AS_OF))
 register("i10_display_top_unpaid")(lambda s, d: audit.display_top_unpaid(wh(s, d)))
+
+# ---- warehouse chain: 2.A, 2.B, 2.D, 2.E, 2.F ----
+import datetime as _dt  # noqa: E402
+
+from .operators import dims, facts, features, staging  # noqa: E402
+from .plans import warehouse  # noqa: E402
+from .sources import erp  # noqa: E402
+
+
+def _w(s, d):
+    return warehouse.build(s, d)
+
+
+def _dim_cols(df):
+    return df.select("customer_id", "customer_name", "city", "installation_date", "status", "valid_from",
+                     "valid_to", "is_current")
+
+
+def _fact_sub_out(w):
+    f = w["fact_subscription_snapshot"]
+    c = w["dim_customer"].select("customer_key", "customer_id")
+    p = w["dim_package"].select("package_key", F.col("package_id").cast("int").alias("package_id"))
+    return f.join(c, "customer_key").join(p, "package_key", "left").select(
+        "snapshot_date", "customer_id", "package_id", "subscription_status", "tenure_days", "monthly_fee", "is_active")
+
+
+def _bill_out(fact, dimc):
+    return fact.join(dimc.select("customer_key", "customer_id"), "customer_key").select(
+        "invoice_period", "customer_id", "invoiced_amount", "paid_amount", "payment_status", "days_late")
+
+
+register("a05_extract_subscriptions")(lambda s, d: _w(s, d)["recs"])
+register("a06_extract_invoices")(lambda s, d: _w(s, d)["invoices"])
+register("a07_extract_payments")(
+    lambda s, d: erp.extract_payments(_w(s, d)["src"]["sales_payment"], _dt.datetime(2001, 1, 1), warehouse.UNTIL))
+register("d01_dim_customer_full_load")(lambda s, d: _dim_cols(_w(s, d)["dim_customer"]))
+register("d02_dim_package")(lambda s, d: _w(s, d)["dim_package"].drop("package_key"))
+register("e01_fact_subscription_snapshot")(lambda s, d: _fact_sub_out(_w(s, d)))
+register("e02_fact_billing_monthly")(
+    lambda s, d: (lambda w: _bill_out(w["fact_billing_monthly"], w["dim_customer"]))(_w(s, d)))
+register("f06_churn_features")(lambda s, d: _w(s, d)["feature_customer_churn"])
+register("f09_churn_labels")(lambda s, d: _w(s, d)["label_churn_event"])
+register("f10_feature_label_join")(
+    lambda s, d: (lambda w: features.feature_label_join(w["feature_customer_churn"], w["label_churn_event"]))(_w(s, d)))
+
+
+def _f01(s, d):
+    w = _w(s, d)
+    b = w["fact_billing_monthly"].join(w["dim_customer"].select("customer_key", "customer_id"), "customer_key")
+    return features.last_n_bills(b).select("customer_id", "invoice_period", "days_late", "payment_status", "rn")
+
+
+register("f01_last_n_bills")(_f01)
+
+
+def _split(s, d):
+    w = _w(s, d)
+    fl = features.feature_label_join(w["feature_customer_churn"], w["label_churn_event"])
+    return features.temporal_split(fl.select("snapshot_date", "customer_id", "label"))
+
+
+register("f11_temporal_split")(_split)
+register("f12_split_profile")(lambda s, d: features.split_profile(_split(s, d)))
+
+
+def _scd2_two(s, d):
+    w = _w(s, d)
+    recs = w["recs"]
+    dim1 = dims.scd2_merge(None, recs, _dt.date(2001, 7, 1))
+    cid = F.col("customer_id")
+    flipped = F.when(F.col("status") == "ACTIVE", F.lit("SUSPENDED")).otherwise(F.lit("ACTIVE"))
+    batch2 = recs.select(
+        "source_id", "customer_id", "customer_name",
+        F.when(cid % 11 == 0, F.lit("MOVED")).otherwise(F.col("city")).alias("city"),
+        "installation_date",
+        F.when(cid % 7 == 0, flipped).otherwise(F.col("status")).alias("status"),
+        F.lit("2001-08-02 00:00:00").cast("timestamp_ntz").alias("source_updated_at"),
+    )
+    return _dim_cols(dims.scd2_merge(dim1, batch2, _dt.date(2001, 8, 2)))
+
+
+register("d01_scd2_two_batches")(_scd2_two)
+
+
+def _inv_load(w, since, until, as_of):
+    src = w["src"]
+    return erp.extract_invoices(src["sales_invoice"], src["customer_subscription"], src["sales_payment"],
+                                since, until, as_of)
+
+
+def _b03(s, d):
+    w = _w(s, d)
+    l1 = staging.stage_invoices(_inv_load(w, None, _dt.datetime(2001, 6, 1), _dt.date(2001, 6, 1)), "load-1",
+                                _dt.datetime(2001, 6, 1))
+    l2 = staging.stage_invoices(w["invoices"], "load-2", _dt.datetime(2001, 8, 2))
+    return staging.latest_by_source(l1.unionByName(l2)).select("source_id", "payment_status", "total_amount",
+                                                                 "loaded_at")
+
+
+register("b03_latest_by_source")(_b03)
+
+
+def _b04(s, d):
+    w = _w(s, d)
+    dimc = w["dim_customer"]
+    t1 = facts.fact_billing_monthly(_inv_load(w, None, _dt.datetime(2001, 6, 1), _dt.date(2001, 6, 1)), dimc, "b1")
+    inc = _inv_load(w, _dt.datetime(2001, 6, 1), warehouse.UNTIL, bridge.AS_OF)
+    t2 = facts.fact_billing_monthly(inc, dimc, "b2", target=t1)
+    return _bill_out(t2, dimc)
+
+
+register("b04_upsert_billing")(_b04)
