@@ -33,3 +33,29 @@ def global_position(df: DataFrame, order_cols, name: str = "pos", checkpoint: bo
     starts = counts.select("_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_start"))
     return tagged.join(F.broadcast(starts), "_part").withColumn(
         name, (F.col("_start") + F.col("_off")).cast("long")).drop("_mid", "_part", "_off", "_start")
+
+
+def running_totals(df: DataFrame, order_cols, sum_cols, descending: bool = False,
+                   checkpoint: bool = True) -> DataFrame:
+    """Inclusive running sums of ``sum_cols`` along ``order_cols`` over the whole DataFrame.
+
+    Same scheme as ``global_position``: a range sort spreads the rows over all
+    tasks, each task's running sum is a window partitioned by the task's
+    partition id (local to one task), and the per-partition totals (one row
+    per partition) give each partition its starting offset.
+    """
+    order = [F.col(c).desc() if descending else F.col(c).asc() for c in order_cols]
+    sorted_df = df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id())
+    if checkpoint:
+        ensure_checkpoint_dir(df.sparkSession)
+        sorted_df = sorted_df.checkpoint(eager=True)
+    tagged = sorted_df.withColumn("_part", F.shiftright("_mid", 33))
+    totals = tagged.groupBy("_part").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
+    w_parts = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_part", *[F.coalesce(F.sum(f"_t_{c}").over(w_parts), F.lit(0)).alias(f"_s_{c}")
+                                      for c in sum_cols])
+    w_in = Window.partitionBy("_part").orderBy("_mid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = tagged.join(F.broadcast(starts), "_part")
+    for c in sum_cols:
+        out = out.withColumn(f"cum_{c}", F.col(f"_s_{c}") + F.sum(c).over(w_in))
+    return out.drop("_mid", "_part", *[f"_s_{c}" for c in sum_cols])

@@ -199,3 +199,112 @@ def _b04(s, d):
 
 
 register("b04_upsert_billing")(_b04)
+
+# ---- 2.C quality, 2.J churn, 2.K findings, G15/G16, H15/H16, I8 ----
+from .operators import churn, quality  # noqa: E402
+from .plans import findings  # noqa: E402
+
+SUB_REQUIRED = ["source_id", "customer_id", "subscription_no"]
+INV_REQUIRED = ["source_id", "invoice_number", "customer_subscription_id"]
+CHECKED_AT = _dt.datetime(2001, 8, 2, 1, 0, 0)
+
+
+def _checks(w):
+    a = quality.quality_checks(w["recs"], "stg_customer_subscription", SUB_REQUIRED, ["monthly_fee"])
+    b = quality.quality_checks(w["invoices"], "stg_sales_invoice", INV_REQUIRED, ["total_amount", "paid_amount"])
+    return a.unionByName(b)
+
+
+register("c01_c03_quality_checks")(lambda s, d: _checks(_w(s, d)))
+register("c08_check_fk")(
+    lambda s, d: (lambda src: quality.check_fk(src["sales_invoice"], src["customer_subscription"],
+                                               "customer_subscription_id", "id", "sales_invoice"))(
+        bridge.erp_tables(s, d)))
+
+
+def _dq_log(w):
+    return quality.record_quality(_checks(w), "full-load", CHECKED_AT)
+
+
+register("c05_quality_report")(
+    lambda s, d: quality.quality_report(_dq_log(_w(s, d)), status="pass").drop("id", "checked_at"))
+register("c06_quality_audit_table")(lambda s, d: audit.quality_audit_table(_dq_log(_w(s, d))))
+
+
+def fixed_score(feat):
+    """A fixed, rule-made probability for parity checks of everything downstream of the model."""
+    return F.least(F.lit(1.0), (F.col("late_payment_count_6m") * 7 + F.col("avg_payment_delay_days_3m")) / 100.0)
+
+
+def _fixed_pred(w):
+    f = w["feature_customer_churn"]
+    return churn.predictions_from_scores(f.withColumn("p", fixed_score(f)), "rule-score",
+                                         _dt.datetime(2001, 8, 2, 2, 0, 0))
+
+
+def _scored_labels(w):
+    f = w["feature_customer_churn"]
+    fl = features.feature_label_join(f, w["label_churn_event"])
+    return fl.withColumn("score", fixed_score(fl))
+
+
+def _metrics(s, d):
+    sl = _scored_labels(_w(s, d))
+    auc = churn.roc_auc(sl)
+    ap = churn.average_precision(sl)
+    m = churn.classification_metrics(sl)
+    return m.select("*", auc.select("roc_auc").scalar().alias("roc_auc"), ap.select("pr_auc").scalar().alias("pr_auc"))
+
+
+register("j10_j12_metrics_fixed_score")(_metrics)
+register("j15_j16_tier_rank_fixed_score")(
+    lambda s, d: _fixed_pred(_w(s, d)).select("snapshot_date", "customer_id", "churn_probability", "risk_level",
+                                              "risk_tier_rank"))
+register("j17_risk_drivers")(
+    lambda s, d: churn.risk_drivers(_w(s, d)["feature_customer_churn"]).select(
+        "customer_id", F.posexplode("top_risk_factors").alias("pos", "d")).select(
+        "customer_id", (F.col("pos") + 1).alias("pos"), "d.*"))
+register("j18_batch_summary_fixed_score")(lambda s, d: churn.batch_summary(_fixed_pred(_w(s, d))))
+register("j19_high_risk_customers_fixed_score")(
+    lambda s, d: (lambda w: churn.high_risk_customers(_fixed_pred(w), w["dim_customer"], min_p=0.30).drop(
+        "top_risk_factors"))(_w(s, d)))
+register("i08_churn_risk_table_fixed_score")(lambda s, d: churn.churn_risk_table(_fixed_pred(_w(s, d))))
+register("k01_chronic_late_fixed_score")(lambda s, d: findings.chronic_late(_fixed_pred(_w(s, d))))
+register("k02_worsening_trend_fixed_score")(lambda s, d: findings.worsening_trend(_fixed_pred(_w(s, d))))
+register("h16_churn_distribution_fixed_score")(lambda s, d: findings.churn_distribution(_fixed_pred(_w(s, d))))
+register("g15_snapshot_revenue")(lambda s, d: findings.snapshot_revenue(_w(s, d)["fact_subscription_snapshot"]))
+register("g16_mrr_at_risk_fixed_score")(
+    lambda s, d: (lambda w: findings.mrr_at_risk(_fixed_pred(w), w["fact_subscription_snapshot"],
+                                                 w["dim_customer"]))(_w(s, d)))
+register("h15_billing_delay_trend")(lambda s, d: findings.billing_delay_trend(_w(s, d)["fact_billing_monthly"]))
+
+
+def _k03(s, d):
+    bridge.read_raw(s, d, "orders").createOrReplaceTempView("orders")
+    return findings.safe_sql(s, "SELECT o_orderpriority, COUNT(*) AS n, SUM(o_totalprice) AS total "
+                                "FROM orders GROUP BY o_orderpriority")
+
+
+register("k03_safe_sql")(_k03)
+register("k04_parse_replies")(
+    lambda s, d: findings.parse_replies(bridge.read_raw(s, d, "events"), "props", "k int").select(
+        "event_id", F.col("parsed.k").alias("k"), "valid"))
+
+
+def _model_run(s, d):
+    w = _w(s, d)
+    fl = features.feature_label_join(w["feature_customer_churn"], w["label_churn_event"])
+    sp = features.temporal_split(fl)
+    train = sp.where(F.col("split") == "train").drop("split")
+    model = churn.fit_churn(train, preset="fast_prototype")
+    return w, model
+
+
+def _j14(s, d):
+    w, model = _model_run(s, d)
+    return churn.score_batch(model, w["feature_customer_churn"], model_version="1.0.0",
+                             created_at=_dt.datetime(2001, 8, 2, 3, 0, 0)).drop("top_risk_factors")
+
+
+register("j14_score_batch")(_j14)
+register("j13_feature_importance")(lambda s, d: churn.feature_importance(s, _model_run(s, d)[1]))
