@@ -64,16 +64,22 @@ def scd2_merge(dim: DataFrame | None, batch: DataFrame, snapshot_date, order=("s
     and a batch row older than the current version (``source_updated_at``)
     is ignored (late data cannot reopen history).
     """
-    spark = batch.sparkSession
-    if dim is None:
-        dim = empty_dim_customer(spark)
     snap = as_date(snapshot_date)
     order = [order] if isinstance(order, str) else list(order)
     attrs = ["customer_name", "city", "installation_date", "status", "source_updated_at"]
     b = batch.where(F.col("customer_id").isNotNull()).select("customer_id", *attrs, *order)
-    b = dedupe_last(b, "customer_id", order).select(
-        "customer_id", *[F.col(c).alias(f"b_{c}") for c in attrs], F.lit(True).alias("_in_b")
-    )
+    b = dedupe_last(b, "customer_id", order)
+    if dim is None:
+        # First load: every customer opens version 1 (no join against an empty dimension).
+        inst = F.coalesce(F.col("installation_date"), snap)
+        return b.select(
+            surrogate_key(F.col("customer_id"), inst).cast("long").alias("customer_key"),
+            F.col("customer_id").cast("long").alias("customer_id"), "customer_name", "city",
+            inst.cast("date").alias("installation_date"), "status", inst.cast("date").alias("valid_from"),
+            F.lit(None).cast("date").alias("valid_to"), F.lit(True).alias("is_current"),
+            F.col("source_updated_at").cast("timestamp_ntz").alias("source_updated_at"),
+        )
+    b = b.select("customer_id", *[F.col(c).alias(f"b_{c}") for c in attrs], F.lit(True).alias("_in_b"))
     hist = dim.where(~F.col("is_current"))
     cur = dim.where(F.col("is_current")).select(
         "customer_id", *[F.col(c).alias(f"c_{c}") for c in dim.columns if c != "customer_id"],
@@ -136,15 +142,19 @@ def upsert_package(dim: DataFrame | None, batch: DataFrame, snapshot_date, order
     package price (as in the source system). Existing current rows are
     overwritten in place; unknown packages open with ``valid_from = snapshot``.
     """
-    spark = batch.sparkSession
-    if dim is None:
-        dim = empty_dim_package(spark)
     snap = as_date(snapshot_date)
     order = [order] if isinstance(order, str) else list(order)
     b = batch.where(F.col("package_id").isNotNull()).select(
         F.col("package_id").cast("long").alias("package_id"), "package_name", "speed_mbps",
         F.col("monthly_fee").alias("monthly_price"), *order)
-    b = dedupe_first(b, "package_id", order).select(
+    b = dedupe_first(b, "package_id", order)
+    if dim is None:
+        return b.select(
+            surrogate_key(F.col("package_id"), snap).alias("package_key"), "package_id", "package_name",
+            F.col("speed_mbps").cast("int").alias("speed_mbps"),
+            F.col("monthly_price").cast("decimal(18,2)").alias("monthly_price"), snap.alias("valid_from"),
+            F.lit(None).cast("date").alias("valid_to"), F.lit(True).alias("is_current"))
+    b = b.select(
         "package_id", *[F.col(c).alias(f"b_{c}") for c in ("package_name", "speed_mbps", "monthly_price")],
         F.lit(True).alias("_in_b"))
     hist = dim.where(~F.col("is_current"))

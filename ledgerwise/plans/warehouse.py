@@ -8,10 +8,12 @@ persist any of them (``StateStore``) or query them directly.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import SparkSession
 
 from ..operators import dims, facts, features
+from ..session import shared_dir
 from ..sources import bridge, erp
 
 SNAPSHOT = bridge.AS_OF
@@ -19,20 +21,49 @@ UNTIL = dt.datetime(2001, 8, 2, 0, 0, 0)
 BATCH_ID = "full-load"
 
 
-def build(spark: SparkSession, sf_dir: str, snapshot=SNAPSHOT, until=UNTIL, as_of=SNAPSHOT) -> dict:
+MATERIALIZED = ("recs", "dim_customer", "dim_package", "invoices", "fact_subscription_snapshot",
+                "fact_billing_monthly", "feature_customer_churn")
+
+
+def build(spark: SparkSession, sf_dir: str, snapshot=SNAPSHOT, until=UNTIL, as_of=SNAPSHOT,
+          materialize: bool = True) -> dict:
+    """All warehouse tables of one full load, each planned on first access.
+
+    Tables read by several later steps are written once as Parquet into a
+    fresh folder under the session's shared checkpoint folder (as the sync jobs
+    write them to the store). That cuts the lineage - later steps, and tasks
+    re-run after a lost executor, read the written rows instead of re-running
+    the chain once per consumer.
+    """
     src = bridge.erp_tables(spark, sf_dir)
-    recs = erp.extract_subscriptions(src["customer_subscription"], src["customer"], src["internet_package"],
-                                     None, until)
-    dimp = dims.upsert_package(None, recs, snapshot)
-    dimc = dims.scd2_merge(None, recs, snapshot)
-    fact_sub = facts.fact_subscription_snapshot(recs, dimc, dimp, snapshot, BATCH_ID)
-    invs = erp.extract_invoices(src["sales_invoice"], src["customer_subscription"], src["sales_payment"],
-                                None, until, as_of)
-    fact_bill = facts.fact_billing_monthly(invs, dimc, BATCH_ID)
-    feats = features.build_churn_features(fact_sub, dimc, dimp, fact_bill, snapshot, BATCH_ID)
-    labels = features.make_churn_labels(feats, snapshot)
-    return {
-        "src": src, "recs": recs, "dim_package": dimp, "dim_customer": dimc, "fact_subscription_snapshot": fact_sub,
-        "invoices": invs, "fact_billing_monthly": fact_bill, "feature_customer_churn": feats,
-        "label_churn_event": labels,
-    }
+    run_dir = shared_dir(spark, f"warehouse-{uuid.uuid4().hex}") if materialize else None
+    t: bridge.LazyTables
+
+    def keep(name, fn):
+        if materialize and name in MATERIALIZED:
+            def written():
+                path = f"{run_dir}/{name}"
+                fn().write.mode("overwrite").parquet(path)
+                return spark.read.parquet(path)
+            return written
+        return fn
+
+    t = bridge.LazyTables({
+        "src": lambda: src,
+        "recs": keep("recs", lambda: erp.extract_subscriptions(
+            src["customer_subscription"], src["customer"], src["internet_package"], None, until)),
+        "dim_package": keep("dim_package", lambda: dims.upsert_package(None, t["recs"], snapshot)),
+        "dim_customer": keep("dim_customer", lambda: dims.scd2_merge(None, t["recs"], snapshot)),
+        "fact_subscription_snapshot": keep("fact_subscription_snapshot", lambda: facts.fact_subscription_snapshot(
+            t["recs"], t["dim_customer"], t["dim_package"], snapshot, BATCH_ID)),
+        "invoices": keep("invoices", lambda: erp.extract_invoices(
+            src["sales_invoice"], src["customer_subscription"], src["sales_payment"], None, until, as_of)),
+        "fact_billing_monthly": keep("fact_billing_monthly", lambda: facts.fact_billing_monthly(
+            t["invoices"], t["dim_customer"], BATCH_ID)),
+        "feature_customer_churn": keep("feature_customer_churn", lambda: features.build_churn_features(
+            t["fact_subscription_snapshot"], t["dim_customer"], t["dim_package"], t["fact_billing_monthly"],
+            snapshot, BATCH_ID)),
+        "label_churn_event": keep("label_churn_event", lambda: features.make_churn_labels(
+            t["feature_customer_churn"], snapshot)),
+    })
+    return t

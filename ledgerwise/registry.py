@@ -249,7 +249,8 @@ def _scored_labels(w):
 
 
 def _metrics(s, d):
-    sl = _scored_labels(_w(s, d))
+    # Scored labels are read by three aggregates: materialise them once (reliable checkpoint).
+    sl = _scored_labels(_w(s, d)).select("score", "label").checkpoint(eager=True)
     auc = churn.roc_auc(sl)
     ap = churn.average_precision(sl)
     m = churn.classification_metrics(sl)

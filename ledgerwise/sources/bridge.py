@@ -112,16 +112,9 @@ def erp_customers(customer: DataFrame, nation: DataFrame) -> DataFrame:
 
 
 def packages(spark: SparkSession) -> DataFrame:
-    """ERP ``internet_package`` catalogue (a fixed dimension of four rows)."""
-    schema = "id int, package_name string, speed_mbps int, monthly_price decimal(18,2)"
-    rows = [(i, n, s, _dec(p)) for i, n, s, p in PACKAGES]
-    return spark.createDataFrame(rows, schema)
-
-
-def _dec(v: int):
-    from decimal import Decimal
-
-    return Decimal(v).quantize(Decimal("0.01"))
+    """ERP ``internet_package`` catalogue (a fixed dimension of four rows, built JVM-side)."""
+    values = ", ".join(f"({i}, '{n}', {sp}, CAST({p} AS DECIMAL(18,2)))" for i, n, sp, p in PACKAGES)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t(id, package_name, speed_mbps, monthly_price)")
 
 
 def _payer_group(o_custkey: Column) -> Column:
@@ -181,19 +174,42 @@ def payments(inv: DataFrame) -> DataFrame:
     )
 
 
+class LazyTables(dict):
+    """A dict whose values are built on first access (only the tables a query uses are planned)."""
+
+    def __init__(self, builders: dict):
+        super().__init__()
+        self._builders = builders
+
+    def __missing__(self, key):
+        value = self._builders[key]()
+        self[key] = value
+        return value
+
+    def __contains__(self, key):
+        return key in self._builders
+
+    def keys(self):
+        return self._builders.keys()
+
+
 def erp_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The five ERP source tables, lazily derived from the driver tables."""
-    customer = read_raw(spark, sf_dir, "customer")
-    nation = read_raw(spark, sf_dir, "nation")
-    orders = read_raw(spark, sf_dir, "orders")
-    inv = invoices(orders)
-    return {
-        "customer": erp_customers(customer, nation),
-        "internet_package": packages(spark),
-        "customer_subscription": subscriptions(customer),
-        "sales_invoice": inv.drop("o_orderkey", "o_custkey"),
-        "sales_payment": payments(inv),
-    }
+    raw = LazyTables({n: (lambda n=n: read_raw(spark, sf_dir, n)) for n in ("customer", "nation", "orders")})
+    t: LazyTables
+
+    def inv_full():
+        return invoices(raw["orders"])
+
+    t = LazyTables({
+        "customer": lambda: erp_customers(raw["customer"], raw["nation"]),
+        "internet_package": lambda: packages(spark),
+        "customer_subscription": lambda: subscriptions(raw["customer"]),
+        "_inv_full": inv_full,
+        "sales_invoice": lambda: t["_inv_full"].drop("o_orderkey", "o_custkey"),
+        "sales_payment": lambda: payments(t["_inv_full"]),
+    })
+    return t
 
 
 def warehouse_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -201,53 +217,60 @@ def warehouse_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
     Keys: ``stg_customer_subscription``, ``stg_sales_invoice``,
     ``stg_sales_payment``, ``dim_customer`` (current rows), ``dim_package``.
+    Tables are planned on first access only.
     """
     erp = erp_tables(spark, sf_dir)
-    sub = erp["customer_subscription"]
-    inv = erp["sales_invoice"]
-    pay = erp["sales_payment"]
-    cust = erp["customer"]
-    pkg = erp["internet_package"]
-    stg_sub = sub.select(
-        "id", F.col("id").alias("source_id"), "customer_id", "package_id", "subscription_no", "start_date",
-        "end_date", "monthly_fee", "billing_day", "status", F.col("updated_at").alias("source_updated_at"),
-    )
-    stg_inv = inv.select(
-        "id", F.col("id").alias("source_id"), "customer_subscription_id", "invoice_number", "invoice_period",
-        "invoice_date", "due_date", "total_amount", "payment_status",
-        F.col("updated_at").alias("source_updated_at"),
-    )
-    stg_pay = pay.select(
-        "id", F.col("id").alias("source_id"), "sales_invoice_id", "payment_date", "amount", "payment_status",
-        F.col("created_at").alias("source_created_at"), "payment_method",
-    )
-    # Subscription status doubles as the customer status in the dimension (as in the source system).
-    dim_customer = cust.select(
-        F.col("id").alias("customer_key"),
-        F.col("id").alias("customer_id"),
-        "customer_name",
-        "city",
-        "installation_date",
-        "status",
-        F.col("installation_date").alias("valid_from"),
-        F.lit(None).cast("date").alias("valid_to"),
-        F.lit(True).alias("is_current"),
-        F.col("updated_at").alias("source_updated_at"),
-    )
-    dim_package = pkg.select(
-        F.col("id").alias("package_key"),
-        F.col("id").alias("package_id"),
-        "package_name",
-        "speed_mbps",
-        "monthly_price",
-        _date("1999-01-01").alias("valid_from"),
-        F.lit(None).cast("date").alias("valid_to"),
-        F.lit(True).alias("is_current"),
-    )
-    return {
+
+    def stg_sub():
+        return erp["customer_subscription"].select(
+            "id", F.col("id").alias("source_id"), "customer_id", "package_id", "subscription_no", "start_date",
+            "end_date", "monthly_fee", "billing_day", "status", F.col("updated_at").alias("source_updated_at"),
+        )
+
+    def stg_inv():
+        return erp["sales_invoice"].select(
+            "id", F.col("id").alias("source_id"), "customer_subscription_id", "invoice_number", "invoice_period",
+            "invoice_date", "due_date", "total_amount", "payment_status",
+            F.col("updated_at").alias("source_updated_at"),
+        )
+
+    def stg_pay():
+        return erp["sales_payment"].select(
+            "id", F.col("id").alias("source_id"), "sales_invoice_id", "payment_date", "amount", "payment_status",
+            F.col("created_at").alias("source_created_at"), "payment_method",
+        )
+
+    def dim_customer():
+        # Subscription status doubles as the customer status in the dimension (as in the source system).
+        return erp["customer"].select(
+            F.col("id").alias("customer_key"),
+            F.col("id").alias("customer_id"),
+            "customer_name",
+            "city",
+            "installation_date",
+            "status",
+            F.col("installation_date").alias("valid_from"),
+            F.lit(None).cast("date").alias("valid_to"),
+            F.lit(True).alias("is_current"),
+            F.col("updated_at").alias("source_updated_at"),
+        )
+
+    def dim_package():
+        return erp["internet_package"].select(
+            F.col("id").alias("package_key"),
+            F.col("id").alias("package_id"),
+            "package_name",
+            "speed_mbps",
+            "monthly_price",
+            _date("1999-01-01").alias("valid_from"),
+            F.lit(None).cast("date").alias("valid_to"),
+            F.lit(True).alias("is_current"),
+        )
+
+    return LazyTables({
         "stg_customer_subscription": stg_sub,
         "stg_sales_invoice": stg_inv,
         "stg_sales_payment": stg_pay,
         "dim_customer": dim_customer,
         "dim_package": dim_package,
-    }
+    })
