@@ -309,3 +309,51 @@ def _j14(s, d):
 
 register("j14_score_batch")(_j14)
 register("j13_feature_importance")(lambda s, d: churn.feature_importance(s, _model_run(s, d)[1]))
+
+# ---- 2.L domains ----
+from .plans import domains  # noqa: E402
+
+
+def _dt_tables(s, d):
+    return domains.domain_tables(s, d)
+
+
+def _l01(s, d):
+    wh_ = wh(s, d)
+    dt_ = _dt_tables(s, d)
+    ce = domains.collection_efficiency(wh_, AS_OF).select("collection_efficiency").scalar()
+    vp = domains.vendor_performance(dt_["po_lines"]).agg(
+        (F.sum("on_time_lines") / F.sum("completed_lines") * 100.0).alias("otd")).select("otd").scalar()
+    ah = domains.asset_health(dt_["part"]).agg(F.max("healthy_asset_ratio").alias("h")).select("h").scalar()
+    sla = domains.sla_compliance(dt_["events"]).agg(
+        (F.sum("met") / (F.sum("met") + F.sum("breached")) * 100.0).alias("c")).select("c").scalar()
+    scores = domains.collection_efficiency(wh_, AS_OF).select(
+        F.col("collection_efficiency").alias("finance"), vp.alias("procurement"), ah.alias("assets"),
+        sla.alias("service"))
+    return domains.composite_health(scores)
+
+
+register("l01_composite_health")(_l01)
+register("l02_collection_efficiency")(lambda s, d: domains.collection_efficiency(wh(s, d), AS_OF))
+register("l03_ar_aging_60_ratio")(lambda s, d: domains.ar_aging_60_ratio(wh(s, d), AS_OF))
+register("l04_po_lead_times")(lambda s, d: domains.po_lead_times(_dt_tables(s, d)["po_lines"]))
+register("l05_l06_vendor_performance")(lambda s, d: domains.vendor_performance(_dt_tables(s, d)["po_lines"]))
+register("l07_consumption_rate")(lambda s, d: domains.consumption_rate(_dt_tables(s, d)["ledger"], AS_OF))
+register("l08_stockout_runway")(
+    lambda s, d: domains.stockout_runway(_dt_tables(s, d)["ledger"], AS_OF).drop("last_unit_price"))
+register("l09_depletion_projection")(
+    lambda s, d: domains.depletion_projection(domains.stockout_runway(_dt_tables(s, d)["ledger"], AS_OF)))
+register("l10_inventory_value")(
+    lambda s, d: domains.inventory_value(domains.stockout_runway(_dt_tables(s, d)["ledger"], AS_OF)).select(
+        F.round("inventory_value", 2).alias("inventory_value"), "skus_at_risk"))
+register("l11_ledger_balance")(
+    lambda s, d: domains.ledger_balance(_dt_tables(s, d)["ledger"],
+                                        order=("day", "l_orderkey", "l_linenumber", "qty_in", "qty_out")).select(
+        "warehouse_id", "item_id", "day", "l_orderkey", "l_linenumber", "qty_in", "qty_out", "balance_qty"))
+register("l12_asset_health")(lambda s, d: domains.asset_health(_dt_tables(s, d)["part"]))
+register("l13_over_temperature")(lambda s, d: domains.over_temperature(_dt_tables(s, d)["part"]))
+register("l14_mttr")(lambda s, d: domains.mttr(_dt_tables(s, d)["events"]).select(
+    F.round("total_hours", 6).alias("total_hours"), "resolved", F.round("mttr_hours", 6).alias("mttr_hours"),
+    "meets_target"))
+register("l15_sla_compliance")(lambda s, d: domains.sla_compliance(_dt_tables(s, d)["events"]))
+register("l16_root_cause_breakdown")(lambda s, d: domains.root_cause_breakdown(_dt_tables(s, d)["events"]))
