@@ -11,7 +11,7 @@ a one-value result, so no row-level data ever meets across tables here.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import (
@@ -185,3 +185,45 @@ def kpi_status(key: str, value):
     if key == "arpu":
         return F.when(value < ARPU_WARNING_BELOW, warning).otherwise(good)
     return good
+
+
+# ---- G18 / G19 -------------------------------------------------------------------
+# Labels and units of the overview cards.
+OVERVIEW_CARDS = [
+    ("health_score", "Indeks Kesehatan Operasional", "score"),
+    ("active_customers", "Pelanggan Aktif", "customers"),
+    ("mrr", "Monthly Recurring Revenue", "IDR"),
+    ("net_cashflow", "Net Operating Cash Flow", "IDR"),
+    ("unpaid_ar", "Total Piutang Belum Tertagih", "IDR"),
+    ("collection_rate", "Tingkat Penagihan (Collection Rate)", "%"),
+]
+
+
+def kpi_rows(wide: DataFrame, cards=OVERVIEW_CARDS) -> DataFrame:
+    """One wide KPI row -> long rows (key, label, value, formatted, unit, status)."""
+    parts = []
+    for key, label, unit in cards:
+        v = F.col(key).cast("double")
+        if unit == "IDR":
+            text = F.concat(F.lit("Rp "), F.format_number(v, 0))
+        elif unit == "%":
+            text = F.concat(F.format_number(v, 1), F.lit("%"))
+        elif unit == "score":
+            text = F.concat(F.format_number(v, 1), F.lit(" / 100"))
+        else:
+            text = F.format_number(v, 0)
+        parts.append(F.struct(F.lit(key).alias("key"), F.lit(label).alias("label"), v.alias("value"),
+                              text.alias("formatted_value"), F.lit(unit).alias("unit"),
+                              kpi_status(key, v).alias("status")))
+    return wide.select(F.explode(F.array(*parts)).alias("r")).select("r.*")
+
+
+def period_change(monthly: DataFrame, value_col: str, month_col: str = "month") -> DataFrame:
+    """Month-over-month change in percent (NULL for the first month or a zero base).
+
+    The window runs over the monthly series (one row per month), not over data rows.
+    """
+    w = Window.orderBy(month_col)
+    prev = F.lag(value_col).over(w)
+    return monthly.select(month_col, value_col, prev.alias("previous"),
+                          F.when(prev != 0, (F.col(value_col) - prev) / F.abs(prev) * 100.0).alias("change_pct"))

@@ -357,3 +357,23 @@ register("l14_mttr")(lambda s, d: domains.mttr(_dt_tables(s, d)["events"]).selec
     "meets_target"))
 register("l15_sla_compliance")(lambda s, d: domains.sla_compliance(_dt_tables(s, d)["events"]))
 register("l16_root_cause_breakdown")(lambda s, d: domains.root_cause_breakdown(_dt_tables(s, d)["events"]))
+
+# ---- G18, G19, D3, D6, D7 ----
+register("g18_kpi_rows")(lambda s, d: kpis.kpi_rows(kpis.overview_kpis(wh(s, d), AS_OF)))
+register("g19_period_change")(
+    lambda s, d: kpis.period_change(charts.revenue_vs_payment(wh(s, d)), "invoiced"))
+register("d03_dim_date")(lambda s, d: dims.build_dim_date(wh(s, d)["stg_sales_invoice"], "invoice_date"))
+
+
+def _d06(s, d):
+    dim2 = _scd2_two(s, d)
+    inv = _w(s, d)["invoices"].select("source_id", "customer_id", "invoice_date")
+    return dims.lookup_asof(inv, dim2, "invoice_date", "customer_id", ["status", "city"]).select(
+        "source_id", "customer_id", "invoice_date", F.col("status").alias("status_at_invoice"),
+        F.col("city").alias("city_at_invoice"))
+
+
+register("d06_lookup_asof")(_d06)
+register("d07_version_history")(
+    lambda s, d: dims.version_history(_scd2_two(s, d)).select(
+        "customer_id", "valid_from", "valid_to", "is_current", "version", "chain_ok"))
