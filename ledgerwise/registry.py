@@ -377,3 +377,26 @@ register("d06_lookup_asof")(_d06)
 register("d07_version_history")(
     lambda s, d: dims.version_history(_scd2_two(s, d)).select(
         "customer_id", "valid_from", "valid_to", "is_current", "version", "chain_ok"))
+
+# ---- A10 streaming ----
+import uuid as _uuid  # noqa: E402
+
+from .session import shared_dir  # noqa: E402
+from .streaming import sync_stream as _stream  # noqa: E402
+
+
+def _a10(s, d):
+    root = shared_dir(s, f"stream-{_uuid.uuid4().hex}")
+
+    def to_staged_invoices(orders_batch):
+        inv = bridge.invoices(orders_batch)
+        return staging.stage_invoices(inv.withColumnRenamed("id", "source_id").withColumn(
+            "source_updated_at", F.col("updated_at")), "stream", _dt.datetime(2001, 8, 2)).drop("batch_id", "loaded_at")
+
+    q = _stream.sync_stream(s, d.rstrip("/"), f"{root}/out", f"{root}/_checkpoint", to_staged_invoices,
+                            glob_filter="orders.parquet")
+    q.awaitTermination()
+    return _stream.read_synced(s, f"{root}/out").select("source_id", "payment_status", "total_amount")
+
+
+register("a10_stream_invoice_sync")(_a10)
