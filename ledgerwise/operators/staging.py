@@ -164,6 +164,16 @@ class StateStore:
             self._pointer(name))
         return self.spark.read.parquet(path)
 
+    def append(self, name: str, df: DataFrame) -> None:
+        """Append-only tables (staging, logs): new files under ``<root>/<name>/log``."""
+        df.write.mode("append").parquet(f"{self.root}/{name}/log")
+
+    def read_log(self, name: str) -> DataFrame | None:
+        try:
+            return self.spark.read.parquet(f"{self.root}/{name}/log")
+        except Exception:  # noqa: BLE001 - nothing appended yet
+            return None
+
 
 # ---- B7 / B8 --------------------------------------------------------------------
 BATCH_LOG_SCHEMA = ("batch_id string, source_table string, watermark_start timestamp_ntz, "
@@ -220,7 +230,7 @@ def finish_batch(start_row: DataFrame, row_count, status: str = "SUCCESS", is_mo
 
 def batch_log_view(events: DataFrame) -> DataFrame:
     """Current state per batch: the newest event row of each ``batch_id``."""
-    return dedupe_last(events, "batch_id", ["event_at", F.length("status")]).drop("event_at")
+    return dedupe_last(events, "batch_id", ["event_at", F.col("finished_at").isNotNull()]).drop("event_at")
 
 
 def batch_history(log: DataFrame, limit: int | None = 20) -> DataFrame:

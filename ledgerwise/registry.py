@@ -400,3 +400,22 @@ def _a10(s, d):
 
 
 register("a10_stream_invoice_sync")(_a10)
+
+# ---- B7-B10 sync jobs (two subscription runs chained by the watermark, one billing run) ----
+from .operators import staging as _staging  # noqa: E402
+from .plans import sync_jobs  # noqa: E402
+
+
+def _jobs(s, d):
+    store = _staging.StateStore(s, shared_dir(s, f"store-{_uuid.uuid4().hex}"))
+    src = bridge.erp_tables(s, d)
+    t1 = _dt.datetime(2001, 7, 1)
+    sync_jobs.run_subscription_sync(s, src, store, t1, _dt.date(2001, 7, 1), now=_dt.datetime(2001, 7, 1, 0, 5))
+    sync_jobs.run_subscription_sync(s, src, store, warehouse.UNTIL, AS_OF, now=_dt.datetime(2001, 8, 2, 0, 5))
+    sync_jobs.run_billing_sync(s, src, store, warehouse.UNTIL, AS_OF, now=_dt.datetime(2001, 8, 2, 0, 30))
+    hist = _staging.batch_history(_staging.batch_log_view(store.read_log("etl_batch_log")), limit=None)
+    return hist.select("source_table", "status", "is_mock_data", "row_count", "watermark_start", "watermark_end",
+                       "started_at")
+
+
+register("b07_b10_sync_jobs")(_jobs)
