@@ -81,7 +81,7 @@ def fact_billing_monthly(inv: DataFrame, dimc: DataFrame, batch_id: str, target:
 REVENUE, EXPENSE, ASSET, LIABILITY = "REVENUE", "EXPENSE", "ASSET", "LIABILITY"
 
 
-def fact_cashflow_monthly(lines: DataFrame, batch_id: str, ar_code: str = "1200", ap_code: str = "2100") -> DataFrame:
+def fact_cashflow_monthly(lines: DataFrame, batch_id: str, ar_code: str = "1101", ap_code: str = "2001") -> DataFrame:
     """Monthly revenue, expense, receivables, payables and net cash flow from journal lines.
 
     revenue = credit - debit on REVENUE accounts; expense = debit - credit on

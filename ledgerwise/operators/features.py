@@ -214,3 +214,40 @@ def split_profile(split_df: DataFrame, label: str = "label") -> DataFrame:
         F.sum(F.col(label).cast("long")).alias("positives"),
     ).withColumn("churn_rate", F.when(F.col("total") > 0, F.round(F.col("positives") / F.col("total"), 4))
                  .otherwise(F.lit(0.0)))
+
+
+def build_cashflow_features(cash: DataFrame, invoices: DataFrame, snapshot_date, batch_id: str) -> DataFrame:
+    """F8: cash-flow features at a snapshot.
+
+    Current revenue / expense / net = the month of the snapshot (latest month
+    at or before it); ``revenue_trend_3m`` = least-squares slope of revenue over
+    the newest three months (4 dp); receivables by age at the snapshot:
+    <= 30 days (incl. not yet due), 31-90, > 90. The monthly fact has one row
+    per month, so the month window is bounded by the calendar.
+    """
+    d = as_date(snapshot_date)
+    months = cash.where(F.col("period_month") <= d)
+    w = Window.orderBy(F.desc("period_month"))
+    last3 = months.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= 3)
+    cur = last3.where(F.col("_k") == 1)
+    trend = last3.agg(F.round(F.regr_slope(F.col("total_revenue").cast("double"), (-F.col("_k")).cast("double")), 4)
+                      .alias("revenue_trend_3m"))
+    age = F.datediff(d, F.col("due_date"))
+    open_inv = invoices.where(F.upper("payment_status").isin("UNPAID", "OVERDUE", "PARTIAL")
+                              & F.col("due_date").isNotNull())
+    ar = open_inv.agg(
+        F.coalesce(F.sum(F.when(age <= 30, F.col("total_amount"))), F.lit(0)).cast("double").alias("ar_aging_30"),
+        F.coalesce(F.sum(F.when((age > 30) & (age <= 90), F.col("total_amount"))), F.lit(0)).cast("double")
+        .alias("ar_aging_60"),
+        F.coalesce(F.sum(F.when(age > 90, F.col("total_amount"))), F.lit(0)).cast("double").alias("ar_aging_90plus"))
+    return cur.select(
+        d.alias("snapshot_date"),
+        F.col("total_revenue").cast("double").alias("total_revenue_current"),
+        F.col("total_expense").cast("double").alias("total_expense_current"),
+        F.col("net_cashflow").cast("double").alias("net_cashflow_current"),
+        trend.select("revenue_trend_3m").scalar().alias("revenue_trend_3m"),
+        ar.select("ar_aging_30").scalar().alias("ar_aging_30"),
+        ar.select("ar_aging_60").scalar().alias("ar_aging_60"),
+        ar.select("ar_aging_90plus").scalar().alias("ar_aging_90plus"),
+        F.lit(str(batch_id)).alias("batch_id"),
+    )

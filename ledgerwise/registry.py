@@ -419,3 +419,47 @@ def _jobs(s, d):
 
 
 register("b07_b10_sync_jobs")(_jobs)
+
+# ---- A11, A12, A13, E3, E4, F7, F8 ----
+from .operators import facts as _facts  # noqa: E402
+
+CASH_SINCE = _dt.datetime(2001, 1, 1)
+
+
+def _journal_lines(s, d, since=None, until=warehouse.UNTIL):
+    j = bridge.journal_tables(s, d)
+    return erp.extract_journal_lines(j["journal_entry"], j["journal_entry_line"], j["account"], since, until)
+
+
+register("a11_extract_journal_lines")(lambda s, d: _journal_lines(s, d, CASH_SINCE))
+register("e03_fact_cashflow_monthly")(lambda s, d: _facts.fact_cashflow_monthly(_journal_lines(s, d), "cash"))
+register("f08_cashflow_features")(
+    lambda s, d: features.build_cashflow_features(_facts.fact_cashflow_monthly(_journal_lines(s, d), "cash"),
+                                                  wh(s, d)["stg_sales_invoice"], AS_OF, "cash"))
+register("a12_extract_stock")(lambda s, d: erp.extract_stock(bridge.stock_table(s, d), CASH_SINCE))
+register("e04_fact_inventory_snapshot")(
+    lambda s, d: _facts.fact_inventory_snapshot(bridge.stock_table(s, d), AS_OF, "inv"))
+
+
+def _f07(s, d):
+    w = _w(s, d)
+    recs, dimc, dimp = w["recs"], w["dim_customer"], w["dim_package"]
+    f1 = _facts.fact_subscription_snapshot(recs, dimc, dimp, _dt.date(2001, 7, 1), "s1")
+    down = F.when((F.col("customer_id") % 3 == 0) & (F.col("package_id") > 1), F.col("package_id") - 1)
+    recs2 = recs.withColumn("package_id", F.coalesce(down, F.col("package_id")))
+    f2 = _facts.fact_subscription_snapshot(recs2, dimc, dimp, AS_OF, "s2", target=f1)
+    return features.downgrade_flags(f2, dimc, dimp)
+
+
+register("f07_downgrade_flags")(_f07)
+
+
+def _a13(s, d):
+    src = bridge.erp_tables(s, d)
+    for name in ("customer", "customer_subscription", "sales_invoice", "sales_payment"):
+        src[name].createOrReplaceTempView(f"erp_{name}")
+    names = ["erp_customer", "erp_customer_subscription", "erp_sales_invoice", "erp_sales_payment", "erp_asset"]
+    return erp.audit_tables(s, names)
+
+
+register("a13_audit_tables")(_a13)

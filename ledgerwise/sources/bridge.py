@@ -274,3 +274,74 @@ def warehouse_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "dim_customer": dim_customer,
         "dim_package": dim_package,
     })
+
+
+# ---- accounting and stock, derived from the same tables ----------------------------------
+# The chart of accounts used by the derived journal (code, name, type).
+ACCOUNTS = [
+    (1, "1001", "Kas Operasional Bank BCA", "ASSET"),
+    (3, "1101", "Piutang Pelanggan Internet", "ASSET"),
+    (5, "2001", "Utang Usaha Supplier", "LIABILITY"),
+    (6, "4001", "Pendapatan Langganan Internet", "REVENUE"),
+    (7, "5001", "Beban Bandwidth Transit / NAP", "EXPENSE"),
+]
+CASH, AR, AP, REVENUE, EXPENSE = 1, 3, 5, 6, 7
+
+
+def accounts(spark: SparkSession) -> DataFrame:
+    values = ", ".join(f"({i}, '{c}', '{n}', '{t}')" for i, c, n, t in ACCOUNTS)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t(id, account_code, account_name, account_type)")
+
+
+def journal_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """``journal_entry`` / ``journal_entry_line`` / ``account`` from invoices, payments and purchases.
+
+    Invoice: AR debit / revenue credit on the invoice date. Successful payment:
+    cash debit / AR credit on the payment date. Purchase order (lineitem lines
+    of an order, net of discount, summed per order): expense debit / AP credit
+    on the order date. Entry id = order key * 4 + kind; line id = entry id * 2 + side.
+    """
+    erp = erp_tables(spark, sf_dir)
+    inv = erp["_inv_full"]
+    pay = payments(inv).where(F.col("payment_status") == "SUCCESS")
+    li = read_raw(spark, sf_dir, "lineitem")
+    orders = read_raw(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"))
+    # net line amount in exact decimal arithmetic, rounded half-up to cents
+    net = (F.col("l_extendedprice").cast(MONEY) * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)"))).cast(MONEY)
+    purchases = li.groupBy("l_orderkey").agg(F.sum(net).cast(MONEY).alias("amt")).join(
+        orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        (F.col("l_orderkey") * 4 + 3).alias("entry_id"), F.col("d").alias("entry_date"), "amt",
+        F.lit(EXPENSE).alias("dr"), F.lit(AP).alias("cr"), F.lit("PO").alias("kind"))
+    inv_e = inv.select((F.col("o_orderkey") * 4 + 1).alias("entry_id"), F.col("invoice_date").alias("entry_date"),
+                       F.col("total_amount").alias("amt"), F.lit(AR).alias("dr"), F.lit(REVENUE).alias("cr"),
+                       F.lit("INV").alias("kind"))
+    pay_e = pay.select(((F.col("id") - 1) * 4 + 2).alias("entry_id"), F.col("payment_date").alias("entry_date"),
+                       F.col("amount").alias("amt"), F.lit(CASH).alias("dr"), F.lit(AR).alias("cr"),
+                       F.lit("PAY").alias("kind"))
+    entries = inv_e.unionByName(pay_e).unionByName(purchases)
+    je = entries.select(F.col("entry_id").alias("id"),
+                        F.concat(F.lit("JRN-"), F.col("kind"), F.lit("-"), F.col("entry_id").cast("string"))
+                        .alias("entry_no"), "entry_date")
+    zero = F.lit(0).cast(MONEY)
+    jel = entries.select(F.explode(F.array(
+        F.struct((F.col("entry_id") * 2).alias("id"), F.col("dr").alias("account_id"),
+                 F.col("amt").alias("debit"), zero.alias("credit")),
+        F.struct((F.col("entry_id") * 2 + 1).alias("id"), F.col("cr").alias("account_id"),
+                 zero.alias("debit"), F.col("amt").alias("credit")))).alias("l"), "entry_id").select(
+        "l.id", F.col("entry_id").alias("journal_entry_id"), "l.account_id", "l.debit", "l.credit")
+    return {"journal_entry": je, "journal_entry_line": jel, "account": accounts(spark)}
+
+
+def stock_table(spark: SparkSession, sf_dir: str, opening: float = 20.0) -> DataFrame:
+    """ERP ``stock`` (warehouse, item, quantity, last_updated) from the lineitem movements.
+
+    Warehouse = supplier key % 5, item = part key; returned lines come back in,
+    other lines go out; quantity = opening + in - out; last_updated = last ship day.
+    """
+    li = read_raw(spark, sf_dir, "lineitem")
+    q = F.col("l_quantity")
+    delta = F.when(F.col("l_returnflag") == "R", q).otherwise(-q)
+    return li.groupBy(F.pmod(F.col("l_suppkey"), F.lit(5)).cast("int").alias("warehouse_id"),
+                      F.col("l_partkey").alias("item_id")).agg(
+        (F.lit(opening) + F.sum(delta)).cast("long").alias("quantity"),
+        F.max("l_shipdate").alias("last_updated"))
