@@ -463,3 +463,26 @@ def _a13(s, d):
 
 
 register("a13_audit_tables")(_a13)
+
+# ---- A8, A9, J20 ----
+
+
+def _a08(s, d):
+    inv = bridge.erp_tables(s, d)["sales_invoice"]
+    return erp.normalize_types(inv.select("id", "total_amount", "updated_at"), {"total_amount": "double"})
+
+
+def _a09(s, d):
+    pay = bridge.erp_tables(s, d)["sales_payment"]
+    # the MySQL flavour of the source writes PAID for a successful payment
+    mysql = pay.withColumn("payment_status", F.when(F.col("payment_status") == "SUCCESS", F.lit("PAID"))
+                           .otherwise(F.col("payment_status")))
+    return erp.normalize_payment_status(mysql).select("id", "payment_status")
+
+
+register("a08_normalize_types")(_a08)
+register("a09_normalize_payment_status")(_a09)
+register("j20_customer_prediction_fixed_score")(
+    lambda s, d: (lambda w: churn.customer_prediction(_fixed_pred(w), w["dim_customer"], 1004).select(
+        "customer_id", "snapshot_date", "churn_probability", "risk_level", "risk_tier_rank", "customer_name",
+        "city"))(_w(s, d)))

@@ -36,7 +36,10 @@ RAW_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lin
 
 
 def read_raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One driver table through the generic source reader (A1)."""
+    from .erp import read_source
+
+    return read_source(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", "parquet")
 
 
 def _date(d: str) -> Column:
