@@ -6,8 +6,9 @@ Instead the rows are range-sorted across all tasks, each row gets its
 per-partition counts (one row per partition, so bounded by the partition
 count, not the data) turns that into a dense 0-based position.
 
-The sorted rows are checkpointed to the shared checkpoint folder first, so
-the positions stay stable even if an executor is lost and tasks re-run.
+The sorted rows, with their ids, are written once to the shared checkpoint
+folder first, so the positions stay stable even if an executor is lost and
+tasks re-run (and the sort is computed once).
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 
 _LOW_BITS = (1 << 33) - 1
 
@@ -24,8 +25,7 @@ def global_position(df: DataFrame, order_cols, name: str = "pos", checkpoint: bo
     """Add a 0-based position column following ``order_cols`` (make them unique)."""
     sorted_df = df.orderBy(*order_cols).withColumn("_mid", F.monotonically_increasing_id())
     if checkpoint:
-        ensure_checkpoint_dir(df.sparkSession)
-        sorted_df = sorted_df.checkpoint(eager=True)
+        sorted_df = materialize(sorted_df, "positions")
     tagged = sorted_df.withColumn("_part", F.shiftright("_mid", 33)).withColumn(
         "_off", F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)))
     counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
@@ -47,8 +47,7 @@ def running_totals(df: DataFrame, order_cols, sum_cols, descending: bool = False
     order = [F.col(c).desc() if descending else F.col(c).asc() for c in order_cols]
     sorted_df = df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id())
     if checkpoint:
-        ensure_checkpoint_dir(df.sparkSession)
-        sorted_df = sorted_df.checkpoint(eager=True)
+        sorted_df = materialize(sorted_df, "running")
     tagged = sorted_df.withColumn("_part", F.shiftright("_mid", 33))
     totals = tagged.groupBy("_part").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     w_parts = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .plans import audit, charts, kpis
+from .session import materialize
 from .sources import bridge
 
 AS_OF = bridge.AS_OF
@@ -249,8 +250,8 @@ def _scored_labels(w):
 
 
 def _metrics(s, d):
-    # Scored labels are read by three aggregates: materialise them once (reliable checkpoint).
-    sl = _scored_labels(_w(s, d)).select("score", "label").checkpoint(eager=True)
+    # Scored labels are read by three aggregates: materialise them once in the shared folder.
+    sl = materialize(_scored_labels(_w(s, d)).select("score", "label"), "scored")
     auc = churn.roc_auc(sl)
     ap = churn.average_precision(sl)
     m = churn.classification_metrics(sl)

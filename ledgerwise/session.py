@@ -71,3 +71,18 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A sub-folder of the checkpoint folder for tables written to cut lineage."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def materialize(df, name: str = "tmp"):
+    """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
+
+    Cuts the lineage like ``checkpoint()`` (the rows live in shared storage and
+    survive lost executors) but computes the plan once; a reliable RDD
+    checkpoint of an unpersisted plan computes it twice.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = shared_dir(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
