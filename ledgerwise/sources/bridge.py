@@ -46,71 +46,61 @@ def _date(d: str) -> Column:
     return F.lit(d).cast("date")
 
 
-def _ts(s: str) -> Column:
-    return F.lit(s).cast("timestamp_ntz")
-
-
-def _status(k: Column) -> Column:
-    m = k % 25
-    return (F.when(m < 20, "ACTIVE").when(m < 23, "SUSPENDED").otherwise("TERMINATED"))
-
-
-def _install_date(k: Column) -> Column:
-    return F.date_add(_date("1999-01-01"), (k * 37 % 940).cast("int"))
+# The derivation rules are SQL expressions evaluated by ``selectExpr``: one JVM
+# call per projection instead of several per column function, and the same
+# text as the DuckDB oracle wherever the dialects agree.
+_STATUS = ("CASE WHEN c_custkey % 25 < 20 THEN 'ACTIVE' WHEN c_custkey % 25 < 23 THEN 'SUSPENDED' "
+           "ELSE 'TERMINATED' END")
+_INSTALL = "date_add(DATE'1999-01-01', CAST(c_custkey * 37 % 940 AS INT))"
+_DAYS_AFTER = "timestampadd(DAY, CAST(c_custkey * {m} % 200 AS INT), TIMESTAMP_NTZ'2001-01-01 00:00:00')"
+_GRP = "((o_custkey % 77) % 10)"
+_PAY_LAG = (f"CAST(CASE WHEN {_GRP} < 6 THEN o_orderkey % 14 + CASE WHEN o_orderkey % 17 = 0 THEN 20 ELSE 0 END "
+            "ELSE 10 + o_orderkey % 40 END AS INT)")
 
 
 def subscriptions(customer: DataFrame) -> DataFrame:
     """ERP ``customer_subscription`` rows: one per customer, a second one for every tenth."""
-    k = F.col("c_custkey")
-    main = customer.select(
-        (k + 1).alias("id"),
-        (k + 1001).alias("customer_id"),
-        ((k % 5).cast("int") + 1).alias("package_id"),
-        F.when(k % 97 == 0, F.lit(None).cast("date")).otherwise(_install_date(k)).alias("start_date"),
-        (F.lit(250000) + F.lit(100000) * (k % 5 + 1)).cast(MONEY).alias("monthly_fee"),
-        ((k % 28).cast("int") + 1).alias("billing_day"),
-        _status(k).alias("status"),
-        F.when(k % 89 == 0, F.lit(None).cast("timestamp_ntz"))
-        .otherwise(F.timestamp_add("DAY", (k * 7 % 200).cast("int"), _ts("2001-01-01 00:00:00")))
-        .alias("updated_at"),
+    main = customer.selectExpr(
+        "c_custkey + 1 AS id",
+        "c_custkey + 1001 AS customer_id",
+        "CAST(c_custkey % 5 AS INT) + 1 AS package_id",
+        f"CASE WHEN c_custkey % 97 = 0 THEN CAST(NULL AS DATE) ELSE {_INSTALL} END AS start_date",
+        "CAST(250000 + 100000 * (c_custkey % 5 + 1) AS DECIMAL(18,2)) AS monthly_fee",
+        "CAST(c_custkey % 28 AS INT) + 1 AS billing_day",
+        f"{_STATUS} AS status",
+        f"CASE WHEN c_custkey % 89 = 0 THEN CAST(NULL AS TIMESTAMP_NTZ) ELSE {_DAYS_AFTER.format(m=7)} END AS updated_at",
     )
-    second = customer.where(k % 10 == 0).select(
-        (k + 1000001).alias("id"),
-        (k + 1001).alias("customer_id"),
-        F.lit(5).alias("package_id"),
-        _date("2000-06-01").alias("start_date"),
-        F.lit(4500000).cast(MONEY).alias("monthly_fee"),
-        F.lit(1).alias("billing_day"),
-        F.lit("ACTIVE").alias("status"),
-        F.timestamp_add("DAY", (k * 7 % 200).cast("int"), _ts("2001-01-01 00:00:00")).alias("updated_at"),
+    second = customer.where("c_custkey % 10 = 0").selectExpr(
+        "c_custkey + 1000001 AS id",
+        "c_custkey + 1001 AS customer_id",
+        "5 AS package_id",
+        "DATE'2000-06-01' AS start_date",
+        "CAST(4500000 AS DECIMAL(18,2)) AS monthly_fee",
+        "1 AS billing_day",
+        "'ACTIVE' AS status",
+        f"{_DAYS_AFTER.format(m=7)} AS updated_at",
     )
-    subs = main.unionByName(second)
-    return subs.select(
-        "id",
-        "customer_id",
-        "package_id",
-        F.concat(F.lit("SUB/"), F.col("id").cast("string")).alias("subscription_no"),
+    return main.unionByName(second).selectExpr(
+        "id", "customer_id", "package_id",
+        "concat('SUB/', CAST(id AS STRING)) AS subscription_no",
         "start_date",
-        F.lit(None).cast("date").alias("end_date"),
-        "monthly_fee",
-        "billing_day",
-        "status",
-        F.coalesce(F.col("start_date").cast("timestamp_ntz"), _ts("2000-06-01 00:00:00")).alias("created_at"),
+        "CAST(NULL AS DATE) AS end_date",
+        "monthly_fee", "billing_day", "status",
+        "COALESCE(CAST(start_date AS TIMESTAMP_NTZ), TIMESTAMP_NTZ'2000-06-01 00:00:00') AS created_at",
         "updated_at",
     )
 
 
 def erp_customers(customer: DataFrame, nation: DataFrame) -> DataFrame:
     """ERP ``customer`` rows (id is the business customer id)."""
-    k = F.col("c_custkey")
-    return customer.join(nation, customer.c_nationkey == nation.n_nationkey, "left").select(
-        (k + 1001).alias("id"),
-        F.concat(F.lit("CUST-"), (k + 1001).cast("string")).alias("customer_code"),
-        F.col("c_name").alias("customer_name"),
-        F.when(k % 53 == 0, F.lit(None).cast("string")).otherwise(F.col("n_name")).alias("city"),
-        _install_date(k).alias("installation_date"),
-        _status(k).alias("status"),
-        F.timestamp_add("DAY", (k * 11 % 200).cast("int"), _ts("2001-01-01 00:00:00")).alias("updated_at"),
+    return customer.join(nation, customer.c_nationkey == nation.n_nationkey, "left").selectExpr(
+        "c_custkey + 1001 AS id",
+        "concat('CUST-', CAST(c_custkey + 1001 AS STRING)) AS customer_code",
+        "c_name AS customer_name",
+        "CASE WHEN c_custkey % 53 = 0 THEN CAST(NULL AS STRING) ELSE n_name END AS city",
+        f"{_INSTALL} AS installation_date",
+        f"{_STATUS} AS status",
+        f"{_DAYS_AFTER.format(m=11)} AS updated_at",
     )
 
 
@@ -120,60 +110,42 @@ def packages(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {values} AS t(id, package_name, speed_mbps, monthly_price)")
 
 
-def _payer_group(o_custkey: Column) -> Column:
-    return (o_custkey % 77) % 10
-
-
 def invoices(orders: DataFrame) -> DataFrame:
-    """ERP ``sales_invoice`` rows: one per order."""
-    ok, ck = F.col("o_orderkey"), F.col("o_custkey")
-    grp = _payer_group(ck)
-    inv_date = F.to_date(F.col("o_orderdate"))
-    status = (
-        F.when(ok % 211 == 0, "paid")
-        .when((grp < 6) | ((grp < 8) & (ok % 3 != 0)) | (F.col("o_orderstatus") == "F"), "PAID")
-        .when(F.col("o_orderstatus") == "P", "PARTIAL")
-        .when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "OVERDUE")
-        .otherwise("UNPAID")
-    )
-    return orders.select(
-        (ok + 1).alias("id"),
-        F.when((ck % 10 == 0) & (ok % 3 == 0), ck + 1000001).otherwise(ck + 1).alias("customer_subscription_id"),
-        (ck + 1001).alias("customer_id"),
-        F.concat(F.lit("INV/"), (ok + 1).cast("string")).alias("invoice_number"),
-        F.trunc(inv_date, "month").alias("invoice_period"),
-        inv_date.alias("invoice_date"),
-        F.when(ok % 101 == 0, F.lit(None).cast("date")).otherwise(F.date_add(inv_date, 14)).alias("due_date"),
-        F.col("o_totalprice").cast(MONEY).alias("total_amount"),
-        status.alias("payment_status"),
-        F.timestamp_add("HOUR", (ok % 24).cast("int"), F.col("o_orderdate")).alias("updated_at"),
-        ok.alias("o_orderkey"),
-        ck.alias("o_custkey"),
+    """ERP ``sales_invoice`` rows: one per order (order keys kept for the payment rules)."""
+    return orders.selectExpr(
+        "o_orderkey + 1 AS id",
+        "CASE WHEN o_custkey % 10 = 0 AND o_orderkey % 3 = 0 THEN o_custkey + 1000001 ELSE o_custkey + 1 END "
+        "AS customer_subscription_id",
+        "o_custkey + 1001 AS customer_id",
+        "concat('INV/', CAST(o_orderkey + 1 AS STRING)) AS invoice_number",
+        "trunc(to_date(o_orderdate), 'month') AS invoice_period",
+        "to_date(o_orderdate) AS invoice_date",
+        "CASE WHEN o_orderkey % 101 = 0 THEN CAST(NULL AS DATE) ELSE date_add(to_date(o_orderdate), 14) END AS due_date",
+        "CAST(o_totalprice AS DECIMAL(18,2)) AS total_amount",
+        f"CASE WHEN o_orderkey % 211 = 0 THEN 'paid' "
+        f"WHEN {_GRP} < 6 OR ({_GRP} < 8 AND o_orderkey % 3 <> 0) OR o_orderstatus = 'F' THEN 'PAID' "
+        "WHEN o_orderstatus = 'P' THEN 'PARTIAL' WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'OVERDUE' "
+        "ELSE 'UNPAID' END AS payment_status",
+        "timestampadd(HOUR, CAST(o_orderkey % 24 AS INT), o_orderdate) AS updated_at",
+        "o_orderkey",
+        "o_custkey",
     )
 
 
 def payments(inv: DataFrame) -> DataFrame:
     """ERP ``sales_payment`` rows: one per PAID / PARTIAL invoice, computed from the invoice row."""
-    ok, ck = F.col("o_orderkey"), F.col("o_custkey")
-    lag_days = (
-        F.when(_payer_group(ck) < 6, ok % 14 + F.when(ok % 17 == 0, 20).otherwise(0))
-        .otherwise(10 + ok % 40)
-        .cast("int")
-    )
-    full = F.upper(F.col("payment_status")) == "PAID"
-    pay_date = F.date_add(F.col("invoice_date"), lag_days)
-    return inv.where(F.upper(F.col("payment_status")).isin("PAID", "PARTIAL")).select(
-        F.col("id"),
-        F.col("id").alias("sales_invoice_id"),
-        F.concat(F.lit("PAY/"), F.col("id").cast("string")).alias("payment_number"),
-        F.element_at(F.array(*[F.lit(m) for m in ("TRANSFER", "VIRTUAL_ACCOUNT", "AUTO_DEBIT", "CASH")]),
-                     (ok % 4 + 1).cast("int")).alias("payment_method"),
-        pay_date.alias("payment_date"),
-        F.when(full, F.col("total_amount"))
-        .otherwise(F.floor(F.col("total_amount") * F.lit(0.5).cast("decimal(2,1)")).cast(MONEY))
-        .alias("amount"),
-        F.when(ok % 50 == 0, "FAILED").otherwise("SUCCESS").alias("payment_status"),
-        F.timestamp_add("HOUR", (ok % 24).cast("int"), pay_date.cast("timestamp_ntz")).alias("created_at"),
+    return inv.where("upper(payment_status) IN ('PAID', 'PARTIAL')").selectExpr(
+        "id",
+        "id AS sales_invoice_id",
+        "concat('PAY/', CAST(id AS STRING)) AS payment_number",
+        "element_at(array('TRANSFER', 'VIRTUAL_ACCOUNT', 'AUTO_DEBIT', 'CASH'), CAST(o_orderkey % 4 + 1 AS INT)) "
+        "AS payment_method",
+        f"date_add(invoice_date, {_PAY_LAG}) AS payment_date",
+        "CASE WHEN upper(payment_status) = 'PAID' THEN total_amount "
+        "ELSE CAST(floor(total_amount * CAST(0.5 AS DECIMAL(2,1))) AS DECIMAL(18,2)) END AS amount",
+        "CASE WHEN o_orderkey % 50 = 0 THEN 'FAILED' ELSE 'SUCCESS' END AS payment_status",
+        f"timestampadd(HOUR, CAST(o_orderkey % 24 AS INT), CAST(date_add(invoice_date, {_PAY_LAG}) AS TIMESTAMP_NTZ)) "
+        "AS created_at",
     )
 
 
