@@ -283,7 +283,7 @@ register("h15_billing_delay_trend")(lambda s, d: findings.billing_delay_trend(_w
 
 def _k03(s, d):
     bridge.read_raw(s, d, "orders").createOrReplaceTempView("orders")
-    return findings.safe_sql(s, "SELECT o_orderpriority, COUNT(*) AS n, SUM(o_totalprice) AS total "
+    return findings.safe_sql(s, "SELECT o_orderpriority, COUNT(*) AS n, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total "
                                 "FROM orders GROUP BY o_orderpriority")
 
 
