@@ -220,6 +220,21 @@ def average_precision(df: DataFrame, score: str = "score", label: str = "label",
         .when(F.col("n") > 0, F.round(F.col("P") / F.col("n"), 4)).otherwise(F.lit(0.0)).alias("pr_auc"))
 
 
+def _threshold_metrics(agg: DataFrame, keep=()) -> DataFrame:
+    """Precision, recall, F1, Brier and the confusion counts from one row of tp/fp/fn/tn/brier."""
+    prec = F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)
+    rec = F.when(F.col("tp") + F.col("fn") > 0, F.col("tp") / (F.col("tp") + F.col("fn"))).otherwise(0.0)
+    return agg.select(
+        F.round(prec, 4).alias("precision"),
+        F.round(rec, 4).alias("recall"),
+        F.round(F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(0.0), 4).alias("f1_score"),
+        F.round(F.coalesce("brier", F.lit(0.0)), 4).alias("brier_score"),
+        F.col("tn").cast("long").alias("tn"), F.col("fp").cast("long").alias("fp"),
+        F.col("fn").cast("long").alias("fn"), F.col("tp").cast("long").alias("tp"),
+        *keep,
+    )
+
+
 def classification_metrics(df: DataFrame, score: str = "score", label: str = "label",
                            threshold: float = CLASSIFICATION_THRESHOLD) -> DataFrame:
     """Precision, recall, F1 (zero division -> 0), Brier score, confusion counts; one aggregate."""
@@ -232,16 +247,49 @@ def classification_metrics(df: DataFrame, score: str = "score", label: str = "la
         F.sum(F.when((y == 0) & (yhat == 0), 1).otherwise(0)).alias("tn"),
         F.avg(F.pow(F.col(score) - y, 2)).alias("brier"),
     )
-    prec = F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)
-    rec = F.when(F.col("tp") + F.col("fn") > 0, F.col("tp") / (F.col("tp") + F.col("fn"))).otherwise(0.0)
-    return agg.select(
-        F.round(prec, 4).alias("precision"),
-        F.round(rec, 4).alias("recall"),
-        F.round(F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(0.0), 4).alias("f1_score"),
-        F.round(F.coalesce("brier", F.lit(0.0)), 4).alias("brier_score"),
-        F.col("tn").cast("long").alias("tn"), F.col("fp").cast("long").alias("fp"),
-        F.col("fn").cast("long").alias("fn"), F.col("tp").cast("long").alias("tp"),
+    return _threshold_metrics(agg)
+
+
+def binary_metrics(df: DataFrame, score: str = "score", label: str = "label",
+                   threshold: float = CLASSIFICATION_THRESHOLD, checkpoint: bool = True) -> DataFrame:
+    """J10-J12 in one pass: every metric from one table of per-score counts.
+
+    The scored rows are reduced to one row per distinct score (partial
+    aggregation, so the shuffle carries at most one row per score per task),
+    and one ascending running total of positives and negatives over those
+    scores serves both curves: the ROC rank sum uses the negatives at or below
+    a score, average precision the counts at or above it, which are
+    ``total - running + own``. Threshold metrics and the Brier score are
+    conditional sums over the same counts. Same results as ``roc_auc``,
+    ``average_precision`` and ``classification_metrics`` on the rows.
+    """
+    counts = _score_counts(df, score, label)
+    cum = running_totals(counts, ["s"], ["pos", "neg"], checkpoint=checkpoint)
+    # Totals as scalar subqueries over the (score-sized) running table.
+    p_all = cum.agg(F.sum("pos")).scalar()
+    n_all = cum.agg(F.sum("neg")).scalar()
+    # Positives / negatives at or above each score (descending, inclusive).
+    cpos = p_all - F.col("cum_pos") + F.col("pos")
+    cneg = n_all - F.col("cum_neg") + F.col("neg")
+    above = F.col("s") >= F.lit(threshold)
+    below = F.col("s") < F.lit(threshold)
+    one = cum.agg(
+        F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") * F.lit(0.5))).alias("auc_num"),
+        F.sum(F.col("pos") * cpos / (cpos + cneg)).alias("ap_num"),
+        F.sum("pos").alias("P"), F.sum("neg").alias("N"),
+        F.sum(F.when(above, F.col("pos")).otherwise(0)).alias("tp"),
+        F.sum(F.when(above, F.col("neg")).otherwise(0)).alias("fp"),
+        F.sum(F.when(below, F.col("pos")).otherwise(0)).alias("fn"),
+        F.sum(F.when(below, F.col("neg")).otherwise(0)).alias("tn"),
+        (F.sum(F.col("pos") * F.pow(F.col("s") - 1.0, 2) + F.col("neg") * F.pow(F.col("s"), 2))
+         / F.sum(F.when(F.col("s").isNotNull(), F.col("pos") + F.col("neg")))).alias("brier"),
     )
+    auc = (F.when((F.col("P") > 0) & (F.col("N") > 0), F.round(F.col("auc_num") / (F.col("P") * F.col("N")), 4))
+           .otherwise(F.lit(0.5)))
+    ap = (F.when(F.col("P") > 0, F.round(F.col("ap_num") / F.col("P"), 4))
+          .when(F.col("P") + F.col("N") > 0, F.round(F.col("P") / (F.col("P") + F.col("N")), 4))
+          .otherwise(F.lit(0.0)))
+    return _threshold_metrics(one.select("*", auc.alias("roc_auc"), ap.alias("pr_auc")), ("roc_auc", "pr_auc"))
 
 
 # ---- J13 ---------------------------------------------------------------------------

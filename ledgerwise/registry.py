@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .plans import audit, charts, kpis
-from .session import materialize
 from .sources import bridge
 
 AS_OF = bridge.AS_OF
@@ -250,12 +249,8 @@ def _scored_labels(w):
 
 
 def _metrics(s, d):
-    # Scored labels are read by three aggregates: materialise them once in the shared folder.
-    sl = materialize(_scored_labels(_w(s, d)).select("score", "label"), "scored")
-    auc = churn.roc_auc(sl)
-    ap = churn.average_precision(sl)
-    m = churn.classification_metrics(sl)
-    return m.select("*", auc.select("roc_auc").scalar().alias("roc_auc"), ap.select("pr_auc").scalar().alias("pr_auc"))
+    # One pass: scored rows -> counts per distinct score -> one running total -> every metric.
+    return churn.binary_metrics(_scored_labels(_w(s, d)).select("score", "label"))
 
 
 register("j10_j12_metrics_fixed_score")(_metrics)

@@ -41,6 +41,24 @@ def test_metrics_match_brute_force(spark):
     assert (m["tp"], m["fp"]) == (tp, fp)
 
 
+def test_one_pass_metrics_equal_separate_metrics(spark):
+    rnd = random.Random(11)
+    scores = [round(rnd.random(), 2) for _ in range(400)]
+    labels = [1 if rnd.random() < s else 0 for s in scores]
+    df = spark.createDataFrame(list(zip(scores, labels)), "score double, label int").repartition(4)
+    one = churn.binary_metrics(df).first().asDict()
+    assert one["roc_auc"] == round(_brute_auc(scores, labels), 4)
+    assert one["pr_auc"] == round(_brute_ap(scores, labels), 4)
+    sep = churn.classification_metrics(df).first().asDict()
+    assert {k: one[k] for k in sep} == sep
+    n = len(scores)
+    assert one["brier_score"] == round(sum((s - y) ** 2 for s, y in zip(scores, labels)) / n, 4)
+    # degenerate inputs keep the documented fallbacks
+    neg_only = spark.createDataFrame([(0.3, 0), (0.6, 0)], "score double, label int")
+    r = churn.binary_metrics(neg_only).first()
+    assert (r["roc_auc"], r["pr_auc"], r["fp"], r["tn"]) == (0.5, 0.0, 1, 1)
+
+
 def test_undefined_auc_is_half(spark):
     df = spark.createDataFrame([(0.3, 0), (0.6, 0)], "score double, label int")
     assert churn.roc_auc(df).first()[0] == 0.5
