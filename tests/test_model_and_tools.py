@@ -121,3 +121,14 @@ def test_parse_replies(spark):
     df = spark.createDataFrame([('```json\n{"k": 5}\n```',), ('{"k": 6}',), ("not json",)], "t string")
     out = findings.parse_replies(df, "t", "k int").select("parsed.k", "valid").collect()
     assert [(r[0], r[1]) for r in out] == [(5, True), (6, True), (None, False)]
+
+
+def test_cluster_settings_sizing():
+    from ledgerwise.session import cluster_settings
+
+    big = cluster_settings(100 * 2 ** 40, 8000)
+    assert int(big["spark.sql.shuffle.partitions"]) == 104000  # 102,400 rounded up to whole waves
+    assert int(big["spark.sql.shuffle.partitions"]) % 8000 == 0
+    assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
+    assert not any(k.startswith("spark.ui") for k in big)
+    assert cluster_settings(10 ** 6, 8)["spark.sql.shuffle.partitions"] == "8"
