@@ -36,25 +36,41 @@ def global_position(df: DataFrame, order_cols, name: str = "pos", checkpoint: bo
 
 
 def running_totals(df: DataFrame, order_cols, sum_cols, descending: bool = False,
-                   checkpoint: bool = True) -> DataFrame:
-    """Inclusive running sums of ``sum_cols`` along ``order_cols`` over the whole DataFrame.
+                  checkpoint: bool = True, keys=()) -> DataFrame:
+    """Inclusive running sums of ``sum_cols`` along ``order_cols``, per ``keys`` (or over the whole DataFrame).
 
-    Same scheme as ``global_position``: a range sort spreads the rows over all
-    tasks, each task's running sum is a window partitioned by the task's
-    partition id (local to one task), and the per-partition totals (one row
-    per partition) give each partition its starting offset.
+    Same scheme as ``global_position``: a range sort on ``(keys, order)``
+    spreads the rows over all tasks - a hot key spans as many range partitions
+    as its rows need instead of landing in one task. Each (partition, key)
+    piece gets its running sum from a window local to that piece, and the
+    totals of the key's pieces in earlier partitions give its starting offset.
+    The offsets table has one row per (partition, key) piece, so it is bounded
+    by the number of keys plus the number of partitions, and a key's offsets
+    window by the number of partitions it spans.
     """
+    keys = list(keys)
     order = [F.col(c).desc() if descending else F.col(c).asc() for c in order_cols]
-    sorted_df = df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id())
+    sorted_df = df.orderBy(*keys, *order).withColumn("_mid", F.monotonically_increasing_id())
     if checkpoint:
         sorted_df = materialize(sorted_df, "running")
     tagged = sorted_df.withColumn("_part", F.shiftright("_mid", 33))
-    totals = tagged.groupBy("_part").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
-    w_parts = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("_part", *[F.coalesce(F.sum(f"_t_{c}").over(w_parts), F.lit(0)).alias(f"_s_{c}")
-                                      for c in sum_cols])
-    w_in = Window.partitionBy("_part").orderBy("_mid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = tagged.join(F.broadcast(starts), "_part")
+    totals = tagged.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
+    w_parts = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*keys, "_part", *[F.coalesce(F.sum(f"_t_{c}").over(w_parts), F.lit(0))
+                                             .alias(f"_s_{c}") for c in sum_cols])
+    w_in = Window.partitionBy("_part", *keys).orderBy("_mid").rowsBetween(Window.unboundedPreceding,
+                                                                         Window.currentRow)
+    # Without keys the offsets table has one row per partition: broadcast it. With keys it
+    # grows with the number of keys, so it joins by (partition, key) - the same clustering
+    # the in-piece window needs, so the join's shuffle serves the window too.
+    if keys:
+        # null-safe on the keys: a NULL key is one group, as in a window
+        st = starts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_p"),
+                           *[f"_s_{c}" for c in sum_cols])
+        cond = [F.col("_part") == F.col("_p")] + [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+        out = tagged.join(st, cond).drop("_p", *[f"_k_{k}" for k in keys])
+    else:
+        out = tagged.join(F.broadcast(starts), "_part")
     for c in sum_cols:
         out = out.withColumn(f"cum_{c}", F.col(f"_s_{c}") + F.sum(c).over(w_in))
     return out.drop("_mid", "_part", *[f"_s_{c}" for c in sum_cols])

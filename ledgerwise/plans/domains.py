@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import SUCCESS, UNPAID_STATUSES, as_date, days_between, upper_eq, upper_in
+from ..functions.ordering import running_totals
 from ..sources import bridge
 
 # Targets and cut-offs of the domain KPIs.
@@ -157,23 +158,18 @@ def inventory_value(runway: DataFrame) -> DataFrame:
 
 
 def ledger_balance(ledger: DataFrame, keys=("warehouse_id", "item_id"), order=("day", "l_orderkey", "l_linenumber"),
-                   chunk_days: int = 31) -> DataFrame:
+                   checkpoint: bool = True) -> DataFrame:
     """Running ``in - out`` per (warehouse, item) in ledger order.
 
-    A hot item would put all its rows into one window task, so each key is
-    split into time chunks: chunk totals (one row per key and chunk) give each
-    chunk its starting balance, and the running sum inside a chunk is a window
-    over (key, chunk) only.
+    A window partitioned by item would put a hot item's whole history into one
+    task. ``running_totals`` with keys range-sorts on (item, order) instead, so
+    a hot item is split over as many tasks as its rows need, and each piece
+    starts from the totals of the item's earlier pieces. ``order`` must make
+    rows unique within an item.
     """
-    keys = list(keys)
-    d = ledger.withColumn("_chunk", F.floor(F.datediff("day", F.lit("1970-01-01").cast("date")) / chunk_days))
-    d = d.withColumn("_delta", F.col("qty_in") - F.col("qty_out"))
-    tot = d.groupBy(*keys, "_chunk").agg(F.sum("_delta").alias("_t"))
-    wk = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = tot.select(*keys, "_chunk", F.coalesce(F.sum("_t").over(wk), F.lit(0.0)).alias("_start"))
-    wc = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return d.join(starts, [*keys, "_chunk"]).withColumn(
-        "balance_qty", F.col("_start") + F.sum("_delta").over(wc)).drop("_chunk", "_delta", "_start")
+    d = ledger.withColumn("_delta", F.col("qty_in") - F.col("qty_out"))
+    return running_totals(d, list(order), ["_delta"], keys=list(keys), checkpoint=checkpoint).withColumnRenamed(
+        "cum__delta", "balance_qty").drop("_delta")
 
 
 # ---- L12, L13: assets --------------------------------------------------------------------

@@ -132,3 +132,27 @@ def test_cluster_settings_sizing():
     assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
     assert not any(k.startswith("spark.ui") for k in big)
     assert cluster_settings(10 ** 6, 8)["spark.sql.shuffle.partitions"] == "8"
+
+
+def test_keyed_running_totals_split_hot_key(spark):
+    from ledgerwise.functions.ordering import running_totals
+
+    rnd = random.Random(5)
+    rows = []
+    for i in range(2000):  # key 'hot' holds ~80% of the rows, plus a NULL key
+        k = "hot" if rnd.random() < 0.8 else rnd.choice(["a", "b", None])
+        rows.append((k, i, float(rnd.randint(-5, 9))))
+    df = spark.createDataFrame(rows, "k string, t long, v double").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # keep the range split visible
+    try:
+        got = {(r["k"], r["t"]): r["cum_v"] for r in running_totals(df, ["t"], ["v"], keys=["k"]).collect()}
+        parts = df.orderBy("k", "t").withColumn("p", F.spark_partition_id()).where(F.col("k") == "hot")
+        n_parts = parts.select("p").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want, acc = {}, {}
+    for k, t, v in sorted(rows, key=lambda r: r[1]):
+        acc[k] = acc.get(k, 0.0) + v
+        want[(k, t)] = acc[k]
+    assert got == want
+    assert n_parts > 1  # the hot key really spans several range partitions
