@@ -130,9 +130,19 @@ def stock_on_hand(ledger: DataFrame, as_of) -> DataFrame:
 
 
 def stockout_runway(ledger: DataFrame, as_of, window_days: int = 365) -> DataFrame:
-    """Days of stock left = stock / daily rate (rate 0 -> NULL); <= 14 days -> critical."""
-    s = stock_on_hand(ledger, as_of).join(consumption_rate(ledger, as_of, window_days),
-                                          ["warehouse_id", "item_id"], "left")
+    """Days of stock left = stock / daily rate (rate 0 -> NULL); <= 14 days -> critical.
+
+    Stock on hand (L10's inputs too) and the consumption rate of L7 come from
+    one grouped pass over the ledger - the window rows are a conditional sum -
+    instead of two aggregations of the same rows joined on the item key.
+    """
+    end = as_date(as_of)
+    led = ledger.where(F.col("day") <= end)
+    in_window = F.col("day") > F.date_sub(end, window_days)
+    s = led.groupBy("warehouse_id", "item_id").agg(
+        (F.lit(OPENING_STOCK) + F.sum("qty_in") - F.sum("qty_out")).alias("stock_qty"),
+        F.max_by("unit_price", F.struct("day", "l_orderkey", "l_linenumber")).alias("last_unit_price"),
+        (F.sum(F.when(in_window, F.col("qty_out"))) / F.lit(float(window_days))).alias("daily_rate"))
     runway = F.try_divide(F.greatest(F.col("stock_qty"), F.lit(0.0)), F.nullif(F.col("daily_rate"), F.lit(0.0)))
     return s.select("warehouse_id", "item_id", "stock_qty", F.coalesce("daily_rate", F.lit(0.0)).alias("daily_rate"),
                     runway.alias("runway_days"),
