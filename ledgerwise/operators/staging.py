@@ -110,15 +110,19 @@ def upsert(target: DataFrame | None, incoming: DataFrame, keys, dedupe_order=Non
 def write_snapshot(df: DataFrame, path: str, part_col: str) -> None:
     """Replace only the date partitions present in ``df`` (dynamic overwrite).
 
-    Rows are clustered by the partition column first so each task writes few
-    files per partition. Never point ``path`` at a folder the same plan reads:
-    write to a new version folder and switch a pointer (see ``StateStore``).
+    Rows are clustered by the partition column with a ``rebalance`` hint, not
+    ``repartition(col)``: a plain hash repartition would send a whole snapshot
+    date - often all of the rows - to one task, while AQE splits rebalanced
+    partitions above the advisory size across tasks (and merges small ones),
+    so each task writes few, evenly sized files. Never point ``path`` at a
+    folder the same plan reads: write to a new version folder and switch a
+    pointer (see ``StateStore``).
     """
     spark = df.sparkSession
     prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
-        df.repartition(part_col).write.mode("overwrite").partitionBy(part_col).parquet(path)
+        df.hint("rebalance", part_col).write.mode("overwrite").partitionBy(part_col).parquet(path)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
 

@@ -24,6 +24,21 @@ def test_write_snapshot_replaces_only_touched_dates(spark):
     assert [(str(d), v) for d, v in got] == [("2026-01-01", 1), ("2026-02-01", 9)]
 
 
+def test_write_snapshot_splits_one_hot_date(spark):
+    import glob
+
+    path = _scratch() + "/fact"
+    df = spark.range(0, 200000, numPartitions=8).select(F.lit("2026-03-01").alias("d"), (F.col("id") * 7).alias("v"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        staging.write_snapshot(df, path, "d")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = glob.glob(f"{path}/d=2026-03-01/*.parquet")
+    assert len(files) > 1  # one date, yet written by several tasks
+    assert spark.read.parquet(path).count() == 200000
+
+
 def test_state_store_versions(spark):
     store = staging.StateStore(spark, _scratch())
     assert store.read("t") is None
