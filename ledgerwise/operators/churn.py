@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import time
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
@@ -488,12 +489,15 @@ class ModelRegistry:
             self.activate(version)
 
     def activate(self, version: str) -> None:
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(
-            f"{self.root}/_active")
+        """Append an activation record; the newest record wins (the pointer folder is never rewritten)."""
+        at = time.time_ns()
+        self.spark.createDataFrame([(version, at)], "version string, at long").coalesce(1).write.mode(
+            "append").json(f"{self.root}/_active")
 
     def active_version(self) -> str | None:
         try:
-            row = self.spark.read.text(f"{self.root}/_active").first()
+            row = self.spark.read.schema("version string, at long").json(f"{self.root}/_active").agg(
+                F.max_by("version", "at")).first()
         except Exception:  # noqa: BLE001 - no pointer yet
             return None
         return row[0] if row else None

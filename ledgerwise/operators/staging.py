@@ -130,11 +130,13 @@ def write_snapshot(df: DataFrame, path: str, part_col: str) -> None:
 class StateStore:
     """Versioned Parquet tables under one shared root folder.
 
-    ``write(name, df)`` writes ``<root>/<name>/v=<n>`` and then a one-row
-    pointer ``<root>/<name>/_current`` (written last, so a lost job leaves the
-    previous version current). ``read(name)`` follows the pointer. Writing a
-    new version never touches the version being read, so ``upsert`` on a
-    table that feeds its own next version is safe.
+    ``write(name, df)`` writes ``<root>/<name>/v=<n>`` and then appends a
+    one-row pointer file under ``<root>/<name>/_current`` (written last, so a
+    lost job leaves the previous version current). The pointer folder is
+    append-only - the current version is the highest committed pointer - so
+    no step ever deletes the pointer that readers follow. ``read(name)``
+    follows it. Writing a new version never touches the version being read,
+    so ``upsert`` on a table that feeds its own next version is safe.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -164,7 +166,7 @@ class StateStore:
         if partition_by:
             w = w.partitionBy(partition_by)
         w.parquet(path)
-        self.spark.createDataFrame([(v,)], "version int").coalesce(1).write.mode("overwrite").json(
+        self.spark.createDataFrame([(v,)], "version int").coalesce(1).write.mode("append").json(
             self._pointer(name))
         return self.spark.read.parquet(path)
 

@@ -88,6 +88,10 @@ def test_model_registry_and_tuning(spark):
     assert reg.active_version() == "1.0.0"
     listed = {r["version"]: r["is_active"] for r in reg.list().collect()}
     assert listed == {"1.0.0": True, "1.0.1": False}
+    reg.activate("1.0.1")
+    assert reg.active_version() == "1.0.1"
+    reg.activate("1.0.0")  # rolling back: the newest activation wins, not the highest version
+    assert reg.active_version() == "1.0.0"
     again = reg.load()
     p = churn.churn_probability(again, df).agg(F.min("churn_probability"), F.max("churn_probability")).first()
     assert 0.0 <= p[0] <= p[1] <= 1.0
