@@ -62,3 +62,34 @@ def test_every_query_has_an_oracle_but_the_fitted_model():
 
     missing = sorted(set(E.queries()) - set(E.oracle_sql()))
     assert missing == ["j13_feature_importance", "j14_score_batch"]
+
+
+def test_plan_audit_flags_bad_plans_and_passes_bounded_ones(spark):
+    from plan_audit import audit, plan_text
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    orders = spark.read.parquet(f"{SF_DIR}/orders.parquet")
+    one_task = orders.withColumn("rn", F.row_number().over(Window.orderBy("o_orderdate")))
+    assert any("single partition" in n for n in audit(plan_text(one_task)))
+    pairs = orders.select("o_orderkey").crossJoin(orders.select(F.col("o_custkey").alias("c")))
+    assert audit(plan_text(pairs))
+    monthly = orders.groupBy(F.trunc("o_orderdate", "month").alias("m")).agg(F.count(F.lit(1)).alias("n"))
+    assert audit(plan_text(monthly.withColumn("cum", F.sum("n").over(Window.orderBy("m"))))) == []
+
+
+def test_registered_plans_pass_the_audit(spark):
+    import __spark_entry__ as E
+    from plan_audit import audit, plan_text
+
+    # the sample by default; LEDGERWISE_FULL_AUDIT=1 audits every query (tools/plan_audit.py does too)
+    names = SAMPLE if not os.environ.get("LEDGERWISE_FULL_AUDIT") else list(E.queries())
+    flagged = {}
+    for name in names:
+        if name in ("j13_feature_importance", "j14_score_batch"):  # fit a model while planning
+            continue
+        fn = E.queries()[name]
+        notes = audit(plan_text(fn(spark, SF_DIR)))
+        if notes:
+            flagged[name] = notes
+    assert flagged == {}
