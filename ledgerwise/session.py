@@ -20,10 +20,13 @@ BASE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Decide broadcast from measured sizes only; 64 MB keeps dimension-sized sides
-    # in memory while fact-sized sides always shuffle.
+    # Broadcast by size, with the larger limit only where the size is measured: AQE
+    # sees the real bytes of a finished shuffle stage (64 MB keeps dimension-sized
+    # sides in memory while fact-sized sides shuffle). The plan-time threshold acts on
+    # estimates (compressed file bytes, exact only for literal tables), so it stays at
+    # Spark's 10 MB, where even a several-fold underestimate is a small broadcast.
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
-    "spark.sql.autoBroadcastJoinThreshold": "64MB",
+    "spark.sql.autoBroadcastJoinThreshold": "10MB",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
