@@ -36,28 +36,35 @@ def global_position(df: DataFrame, order_cols, name: str = "pos", checkpoint: bo
 
 
 def running_totals(df: DataFrame, order_cols, sum_cols, descending: bool = False,
-                  checkpoint: bool = True, keys=()) -> DataFrame:
-    """Inclusive running sums of ``sum_cols`` along ``order_cols``, per ``keys`` (or over the whole DataFrame).
+                  checkpoint: bool = True, keys=(), how: str = "sum") -> DataFrame:
+    """Inclusive running sums (or maxima, ``how='max'``) of ``sum_cols`` along ``order_cols``,
+    per ``keys`` (or over the whole DataFrame); results in ``cum_<col>``.
 
     Same scheme as ``global_position``: a range sort on ``(keys, order)``
     spreads the rows over all tasks - a hot key spans as many range partitions
     as its rows need instead of landing in one task. Each (partition, key)
-    piece gets its running sum from a window local to that piece, and the
-    totals of the key's pieces in earlier partitions give its starting offset.
-    The offsets table has one row per (partition, key) piece, so it is bounded
-    by the number of keys plus the number of partitions, and a key's offsets
-    window by the number of partitions it spans.
+    piece gets its running value from a window local to that piece, and the
+    key's pieces in earlier partitions give its starting value (their sum, or
+    their max). The offsets table has one row per (partition, key) piece, so it
+    is bounded by the number of keys plus the number of partitions, and a
+    key's offsets window by the number of partitions it spans. Both
+    aggregates are associative, which is what makes the split exact.
     """
+    if how not in ("sum", "max"):
+        raise ValueError("how must be 'sum' or 'max'")
+    agg = F.sum if how == "sum" else F.max
     keys = list(keys)
     order = [F.col(c).desc() if descending else F.col(c).asc() for c in order_cols]
     sorted_df = df.orderBy(*keys, *order).withColumn("_mid", F.monotonically_increasing_id())
     if checkpoint:
         sorted_df = materialize(sorted_df, "running")
     tagged = sorted_df.withColumn("_part", F.shiftright("_mid", 33))
-    totals = tagged.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
+    totals = tagged.groupBy(*keys, "_part").agg(*[agg(c).alias(f"_t_{c}") for c in sum_cols])
     w_parts = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*keys, "_part", *[F.coalesce(F.sum(f"_t_{c}").over(w_parts), F.lit(0))
-                                             .alias(f"_s_{c}") for c in sum_cols])
+    before = [agg(f"_t_{c}").over(w_parts) for c in sum_cols]
+    if how == "sum":
+        before = [F.coalesce(b, F.lit(0)) for b in before]
+    starts = totals.select(*keys, "_part", *[b.alias(f"_s_{c}") for b, c in zip(before, sum_cols)])
     w_in = Window.partitionBy("_part", *keys).orderBy("_mid").rowsBetween(Window.unboundedPreceding,
                                                                          Window.currentRow)
     # Without keys the offsets table has one row per partition: broadcast it. With keys it
@@ -72,5 +79,8 @@ def running_totals(df: DataFrame, order_cols, sum_cols, descending: bool = False
     else:
         out = tagged.join(F.broadcast(starts), "_part")
     for c in sum_cols:
-        out = out.withColumn(f"cum_{c}", F.col(f"_s_{c}") + F.sum(c).over(w_in))
+        here = agg(c).over(w_in)
+        # greatest() skips NULLs: a key with no earlier value starts from its own
+        cum = F.col(f"_s_{c}") + here if how == "sum" else F.greatest(F.col(f"_s_{c}"), here)
+        out = out.withColumn(f"cum_{c}", cum)
     return out.drop("_mid", "_part", *[f"_s_{c}" for c in sum_cols])

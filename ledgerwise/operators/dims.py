@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import as_date
+from ..functions.ordering import running_totals
 from .staging import dedupe_first, dedupe_last
 
 DIM_CUSTOMER_SCHEMA = ("customer_key long, customer_id long, customer_name string, city string, "
@@ -212,16 +214,34 @@ def lookup_current(fact: DataFrame, dim: DataFrame, nk: str, sk: str, how: str =
     return fact.join(d, nk, how)
 
 
-def lookup_asof(fact: DataFrame, dim: DataFrame, date_col: str, nk: str, cols) -> DataFrame:
-    """Attributes of the version valid at ``fact[date_col]``.
+def lookup_asof(fact: DataFrame, dim: DataFrame, date_col: str, nk: str, cols, checkpoint: bool = True) -> DataFrame:
+    """Attributes of the version valid at ``fact[date_col]`` (NULL when none is).
 
-    Equi key first, validity interval as the residual condition, so Spark
-    plans a hash / sort-merge join on ``nk`` (no range or cross join).
+    An as-of join without pairs: facts and version starts are put in one
+    stream ordered by (key, date, versions before facts), and a running max of
+    the version start gives each fact the start of the version in force at its
+    date. The running max is ``running_totals(how='max')``, which range-splits
+    a hot key over tasks. An equi-join on (key, version start) - one version
+    per pair - then brings the attributes, and the fact date must fall before
+    the version's end. A join on the key with the interval as a condition
+    would instead compare every fact of a key with every version of it.
     """
-    d = dim.select(F.col(nk).alias("_nk"), "valid_from", F.coalesce("valid_to", as_date(OPEN_END)).alias("_vto"),
-                   *cols)
-    cond = ((fact[nk] == d["_nk"]) & (d["valid_from"] <= fact[date_col]) & (fact[date_col] < d["_vto"]))
-    return fact.join(d, cond, "left").drop("_nk", "_vto", "valid_from")
+    fcols = fact.columns
+    t_type = fact.schema[date_col].dataType
+    if not isinstance(t_type, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        t_type = T.DateType()
+    facts = fact.select(*fcols, F.col(nk).alias("_k"), F.col(date_col).cast(t_type).alias("_t"),
+                        F.lit(1).alias("_kind"), F.lit(None).cast("date").alias("_vf"))
+    starts = dim.select(*[F.lit(None).cast(fact.schema[c].dataType).alias(c) for c in fcols],
+                        F.col(nk).alias("_k"), F.col("valid_from").cast(t_type).alias("_t"),
+                        F.lit(0).alias("_kind"), F.col("valid_from").cast("date").alias("_vf"))
+    scan = running_totals(facts.unionByName(starts), ["_t", "_kind"], ["_vf"], keys=["_k"], how="max",
+                          checkpoint=checkpoint)
+    hits = scan.where(F.col("_kind") == 1).select(*fcols, "_k", F.col("cum__vf").alias("_asof"))
+    d = dim.select(F.col(nk).alias("_dk"), F.col("valid_from").cast("date").alias("_dvf"),
+                   F.coalesce("valid_to", as_date(OPEN_END)).alias("_vto"), *cols)
+    cond = (F.col("_k") == F.col("_dk")) & (F.col("_asof") == F.col("_dvf")) & (F.col(date_col) < F.col("_vto"))
+    return hits.join(d, cond, "left").drop("_k", "_asof", "_dk", "_dvf", "_vto")
 
 
 def version_history(dim: DataFrame, customer_id=None) -> DataFrame:

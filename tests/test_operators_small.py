@@ -63,3 +63,34 @@ def test_stockout_runway_and_projection(spark):
     proj = domains.depletion_projection(domains.stockout_runway(led, as_of), horizon_days=400)
     last = proj.where(F.col("day_ahead") == 400).first()
     assert last["item_id"] == 1 and last["projected_qty"] == 0.0  # floored at zero
+
+
+def test_lookup_asof_hot_key_matches_brute_force(spark):
+    import random
+
+    rnd = random.Random(3)
+    base = dt.date(2025, 1, 1)
+    versions = []  # customer 1 is hot: many versions and most facts; customer 2 has a gap after its last version
+    starts = sorted(rnd.sample(range(0, 700), 60))
+    for i, s0 in enumerate(starts):
+        end = starts[i + 1] if i + 1 < len(starts) else None
+        versions.append((1, f"v{i}", base + dt.timedelta(s0), None if end is None else base + dt.timedelta(end)))
+    versions.append((2, "only", base + dt.timedelta(100), base + dt.timedelta(200)))
+    facts = [(n, 1 if rnd.random() < 0.9 else 2, base + dt.timedelta(rnd.randint(-20, 720))) for n in range(3000)]
+    facts.append((99999, 3, base))  # no versions at all
+    dim = spark.createDataFrame(versions, "customer_id long, status string, valid_from date, valid_to date")
+    fact = spark.createDataFrame(facts, "n long, customer_id long, d date").repartition(5)
+
+    def brute(cid, d):
+        for c, st, vf, vt in versions:
+            if c == cid and vf <= d and (vt is None or d < vt):
+                return st
+        return None
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["n"]: r["status"] for r in dims.lookup_asof(fact, dim, "d", "customer_id", ["status"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(got) == len(facts)
+    assert got == {n: brute(c, d) for n, c, d in facts}
