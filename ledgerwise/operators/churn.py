@@ -293,6 +293,13 @@ def binary_metrics(df: DataFrame, score: str = "score", label: str = "label",
     return _threshold_metrics(one.select("*", auc.alias("roc_auc"), ap.alias("pr_auc")), ("roc_auc", "pr_auc"))
 
 
+def evaluate(model: PipelineModel, val: DataFrame, label: str = "label",
+             threshold: float = CLASSIFICATION_THRESHOLD) -> DataFrame:
+    """J9-J12 on a held-out split: score it with the fitted pipeline, then ``binary_metrics``."""
+    scored = churn_probability(model, val, "score")
+    return binary_metrics(scored.select("score", F.col(label).cast("int").alias("label")), threshold=threshold)
+
+
 # ---- J13 ---------------------------------------------------------------------------
 def feature_importance(spark: SparkSession, model: PipelineModel, top: int | None = 10) -> DataFrame:
     """Feature importances (4 dp), largest first (from the model's metadata)."""

@@ -296,15 +296,25 @@ register("k04_parse_replies")(
         "event_id", F.col("parsed.k").alias("k"), "valid"))
 
 
-def _model_run(s, d):
+def _model_run(s, d, with_val=False):
     w = _w(s, d)
     fl = features.feature_label_join(w["feature_customer_churn"], w["label_churn_event"])
     sp = features.temporal_split(fl)
     train = sp.where(F.col("split") == "train").drop("split")
     model = churn.fit_churn(train, preset="fast_prototype")
+    if with_val:
+        return w, model, sp.where(F.col("split") == "val").drop("split")
     return w, model
 
 
+def _j12_validation(s, d):
+    _, model, val = _model_run(s, d, with_val=True)
+    return churn.evaluate(model, val)
+
+
+register("j12_validation_metrics")(_j12_validation)
+
+
 def _j14(s, d):
     w, model = _model_run(s, d)
     return churn.score_batch(model, w["feature_customer_churn"], model_version="1.0.0",
