@@ -20,10 +20,13 @@ from ..operators.staging import latest_by_source
 
 def sync_stream(spark: SparkSession, source_path: str, out_root: str, checkpoint_location: str,
                 transform: Callable[[DataFrame], DataFrame], fmt: str = "parquet",
-                max_files_per_trigger: int | None = None, available_now: bool = True, glob_filter: str | None = None):
+                max_files_per_trigger: int | None = 1000, available_now: bool = True, glob_filter: str | None = None):
     """Start the stream and return the ``StreamingQuery`` (``availableNow`` drains what exists, then stops).
 
     ``source_path`` is a folder; ``glob_filter`` picks the files of one table in a shared folder.
+    ``max_files_per_trigger`` bounds one micro-batch (``availableNow`` honours it and
+    drains a backlog in several epochs), so a failure re-runs one bounded epoch
+    instead of the whole backlog; ``None`` takes everything in one epoch.
     """
     probe = spark.read.format(fmt)
     if glob_filter:
