@@ -39,3 +39,17 @@ def test_stream_resumes_and_stays_unique(spark):
     synced = st.read_synced(spark, out)
     assert synced.count() == orders.count()
     assert synced.select("source_id").distinct().count() == orders.count()
+
+
+def test_backlog_drains_in_bounded_epochs(spark):
+    if not os.path.isdir(SF_DIR):
+        return
+    root = tempfile.mkdtemp(prefix="lw-stream-", dir="/tmp")
+    src, out, ckpt = f"{root}/src", f"{root}/out", f"{root}/_ckpt"
+    orders = spark.read.parquet(f"{SF_DIR}/orders.parquet").repartition(3)
+    orders.write.mode("overwrite").parquet(src)  # three files
+    n_files = len([p for p in os.listdir(src) if p.endswith(".parquet")])
+    st.sync_stream(spark, src, out, ckpt, _stage, max_files_per_trigger=1, glob_filter="*.parquet").awaitTermination()
+    epochs = [p for p in os.listdir(out) if p.startswith("epoch=")]
+    assert len(epochs) == n_files > 1
+    assert st.read_synced(spark, out).count() == orders.count()
