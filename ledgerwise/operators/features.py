@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import PAID, as_date
-from ..functions.ordering import global_position
+from ..functions.ordering import global_position, running_totals
 from .staging import upsert
 
 # Fixed values of the churn features and synthetic labels.
@@ -111,23 +111,35 @@ def build_churn_features(snap: DataFrame, dimc: DataFrame, dimp: DataFrame, bill
     return upsert(target, rows.select(*FEATURE_COLS), ["snapshot_date", "customer_id"])
 
 
-def downgrade_flags(snapshots: DataFrame, dimc: DataFrame, dimp: DataFrame, months: int = 6) -> DataFrame:
-    """did the customer's package speed fall within the last ``months`` months?
+def downgrade_flags(snapshots: DataFrame, dimc: DataFrame, dimp: DataFrame, months: int = 6,
+                    checkpoint: bool = True) -> DataFrame:
+    """did the customer's package speed fall within the last ``months`` months (30 days each)?
 
-    ``lag(speed)`` over each customer's snapshots (partitioned by customer),
-    then for every snapshot a range-window ``max`` of the drop flags over the
-    preceding ``months`` months (in days, 30 per month).
+    Without a window per customer: each snapshot gets its position in the
+    customer's history from a range-split running count, the previous
+    snapshot's speed comes from an equi-join on (customer, position - 1), and a
+    range-split running max carries the day of the latest drop forward; the
+    flag holds when that day is within the period. (The snapshot fact has one
+    row per customer and day.)
     """
     s = snapshots.select("snapshot_date", "customer_key", "package_key").join(
         dimc.select("customer_key", "customer_id"), "customer_key").join(
         dimp.select("package_key", "speed_mbps"), "package_key", "left")
-    w = Window.partitionBy("customer_id").orderBy("snapshot_date")
-    s = s.withColumn("prev", F.lag("speed_mbps").over(w))
-    s = s.withColumn("dropped", F.coalesce(F.col("speed_mbps") < F.col("prev"), F.lit(False)).cast("int"))
-    s = s.withColumn("_day", F.datediff("snapshot_date", F.lit("1970-01-01").cast("date")))
-    wr = Window.partitionBy("customer_id").orderBy("_day").rangeBetween(-(months * 30 - 1), 0)
-    return s.select("snapshot_date", F.col("customer_id").cast("long").alias("customer_id"),
-                    (F.max("dropped").over(wr) > 0).alias("downgrade_flag_6m"))
+    s = s.select("snapshot_date", "customer_id", "customer_key", "speed_mbps",
+                 F.datediff("snapshot_date", F.lit("1970-01-01").cast("date")).alias("_day"), F.lit(1).alias("_one"))
+    order = ["_day", "customer_key"]
+    n = running_totals(s, order, ["_one"], keys=["customer_id"], checkpoint=checkpoint).withColumnRenamed(
+        "cum__one", "_n")
+    prev = n.select(F.col("customer_id").alias("_c"), (F.col("_n") + 1).alias("_m"),
+                    F.col("speed_mbps").alias("_prev"))
+    j = n.join(prev, F.col("customer_id").eqNullSafe(F.col("_c")) & (F.col("_n") == F.col("_m")), "left")
+    dropped = F.coalesce(F.col("speed_mbps") < F.col("_prev"), F.lit(False))
+    j = j.select("snapshot_date", "customer_id", "customer_key", "_day",
+                 F.when(dropped, F.col("_day")).alias("_drop_day"))
+    last = running_totals(j, order, ["_drop_day"], keys=["customer_id"], how="max", checkpoint=checkpoint)
+    recent = F.coalesce(F.col("_day") - F.col("cum__drop_day") <= F.lit(months * 30 - 1), F.lit(False))
+    return last.select("snapshot_date", F.col("customer_id").cast("long").alias("customer_id"),
+                       recent.alias("downgrade_flag_6m"))
 
 
 def make_churn_labels(feat: DataFrame, snapshot_date, days: int = LABEL_WINDOW_DAYS,

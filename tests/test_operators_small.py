@@ -94,3 +94,37 @@ def test_lookup_asof_hot_key_matches_brute_force(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert len(got) == len(facts)
     assert got == {n: brute(c, d) for n, c, d in facts}
+
+
+def test_downgrade_flags_match_brute_force(spark):
+    import random
+
+    from ledgerwise.operators import features
+
+    rnd = random.Random(9)
+    speeds = {1: 30, 2: 50, 3: 100, 4: 200}
+    base = dt.date(2025, 1, 1)
+    snaps, hist = [], {}
+    for cust, n_snaps in ((1, 400), (2, 40), (3, 5)):  # customer 1 is hot
+        days = sorted(rnd.sample(range(0, 900), n_snaps))
+        for d0 in days:
+            pk = rnd.choice([1, 2, 3, 4])
+            snaps.append((base + dt.timedelta(d0), cust * 10, pk))
+            hist.setdefault(cust, []).append((d0, speeds[pk]))
+    snap_df = spark.createDataFrame(snaps, "snapshot_date date, customer_key long, package_key long").repartition(4)
+    dimc = spark.createDataFrame([(10, 1), (20, 2), (30, 3)], "customer_key long, customer_id long")
+    dimp = spark.createDataFrame(list(speeds.items()), "package_key long, speed_mbps int")
+
+    want = {}
+    for cust, rows in hist.items():
+        drops = [d for (d, sp), (_, prev) in zip(rows[1:], rows[:-1]) if sp < prev]
+        for d, _ in rows:
+            want[(cust, base + dt.timedelta(d))] = any(d - 179 <= x <= d for x in drops)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r["customer_id"], r["snapshot_date"]): r["downgrade_flag_6m"]
+               for r in features.downgrade_flags(snap_df, dimc, dimp).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got == want
+    assert any(want.values()) and not all(want.values())
