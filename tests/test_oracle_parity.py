@@ -16,7 +16,8 @@ sys.path.insert(0, os.path.join(ROOT, "tools"))
 SF_DIR = "/root/testdata/sf0.001"
 SAMPLE = [
     "a06_extract_invoices", "a10_stream_invoice_sync", "b04_upsert_billing", "c01_c03_quality_checks",
-    "d01_scd2_two_batches", "d06_lookup_asof", "e02_fact_billing_monthly", "f06_churn_features",
+    "d01_scd2_two_batches", "d06_lookup_asof", "d07_version_history", "e02_fact_billing_monthly",
+    "f06_churn_features", "f07_downgrade_flags",
     "f11_temporal_split", "g_finance_kpis", "g19_period_change", "h01_revenue_vs_payment", "h08_ar_aging",
     "i07_payment_discrepancies", "j10_j12_metrics_fixed_score", "j17_risk_drivers",
     "j15_j16_tier_rank_fixed_score", "k04_parse_replies", "l11_ledger_balance", "l09_depletion_projection",
