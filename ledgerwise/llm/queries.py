@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import blob_ledger, licenses, mixing, packing, shard, token_counts, toxicity
+from . import blob_ledger, licenses, minhash, mixing, packing, shard, token_counts, toxicity
 from .common import table
 
 #: Folder of the public tokenizers' files; None: the installed package's.
@@ -70,6 +70,10 @@ def digest_pieces(pieces: DataFrame) -> DataFrame:
                          "sequence_id", "offset")
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_with_edits(table(spark, sf_dir, "documents"), standard_edits(),
                                          tokenizer("byte_bpe_50k.tiktoken"))
@@ -93,5 +97,6 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_token_counts": op10_token_counts,
 }
