@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import blob_ledger, licenses, minhash, mixing, packing, shard, token_counts, toxicity
+from . import ann, blob_ledger, licenses, metric_join, minhash, mixing, packing, shard, token_counts, toxicity
 from .common import table
 
 #: Folder of the public tokenizers' files; None: the installed package's.
@@ -45,6 +45,15 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(ann.build_index(vectors), vectors.where("vec_id % 20 = 0"))
+
+
+def op5_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return shard.place(docs, shard.lookup_table(spark), "doc_id").select("doc_id", "source", "slot", "shard")
@@ -94,6 +103,8 @@ QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_mixing": op2_mixing,
     "op3_licenses": op3_licenses,
+    "op4_neighbours": op4_neighbours,
+    "op5_metric_join": op5_metric_join,
     "op6_sharding": op6_sharding,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
