@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, ship, text_of
+from .common import materialize, ship, text_of, with_row
 
 # -- fixed values: the base rules, in this order -----------------------------------------
 KINDS = ("assign", "access", "hex", "github", "pem")
@@ -92,6 +92,13 @@ class BlobLedger:
         found.write.mode("overwrite").parquet(f"{self.path}/run={run}")
 
 
+def _findings(ledger: BlobLedger) -> DataFrame:
+    """One row per blob with findings, written once: a join with it can split a hot blob's paths."""
+    found = ledger.read().where("spans <> ''").groupBy("blob").agg(
+        *[F.first(c).alias(c) for c in ("n_assign", "n_access", "n_hex", "base", "spans")])
+    return materialize(found, "findings")
+
+
 def scan_versions(versions: DataFrame, ledger: BlobLedger, run: str, key: str = "doc_id",
                   text: str = "text") -> DataFrame:
     """Scan every version (row) of every path ``key``, using and extending ``ledger``.
@@ -118,9 +125,39 @@ def scan_versions(versions: DataFrame, ledger: BlobLedger, run: str, key: str =
         "left_semi").select("blob", "text")
     ledger.append(todo.mapInPandas(_scan, LEDGER_SCHEMA), run)
     # a version repeated under one path is scanned per row: equal blobs, equal results
-    found = ledger.read().where("spans <> ''").groupBy("blob").agg(
-        *[F.first(c).alias(c) for c in ("n_assign", "n_access", "n_hex", "base", "spans")])
+    found = _findings(ledger)
     zero, none = F.lit(0).cast("long"), F.lit("")
     return paths.join(found, "blob", "left").select(
         F.col("path").alias(key), "blob", *[F.coalesce(c, zero).alias(c) for c in ("n_assign", "n_access", "n_hex")],
         F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"))
+
+
+def redact(docs: DataFrame, ledger: BlobLedger, run: str, key: str = "doc_id", text: str = "text",
+           mark: str = "[secret]") -> DataFrame:
+    """``docs`` with every span that the scan finds replaced by ``mark`` (overlapping spans by one).
+
+    All rows stay; other columns are as they were, a null text too.
+    """
+    scan_versions(docs, ledger, run, key, text)
+    found = ledger.read().where("spans <> ''").select(F.col("blob").alias("hit"), "spans").dropDuplicates(["hit"])
+    rows = with_row(docs, blob=F.sha2(text_of(text), 256), text=F.col(text)).join(
+        materialize(found, "hits"), F.col("blob") == F.col("hit"), "left")
+
+    @F.pandas_udf("string")
+    def blank(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([cover(t, s, mark) for t, s in zip(texts, spans)], dtype=object)
+
+    # only rows with findings go through Python
+    clean = rows.where("spans IS NULL").select("row.*")
+    hit = rows.where("spans IS NOT NULL").select("row", blank("text", "spans").alias("text"))
+    out = hit.select(*[(F.col("text") if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return clean.unionByName(out)
+
+
+def cover(text: str, spans: str, mark: str) -> str:
+    out, at = [], 0
+    for start, end in sorted(tuple(map(int, s.split(":")[1:])) for s in spans.split(",")):
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*out, text[at:]])

@@ -38,9 +38,14 @@ def word_count(col: str = "text") -> Column:
     return F.regexp_count(text_of(col), F.lit(WORD)).cast("long")
 
 
-def keep_columns(df: DataFrame, cols) -> DataFrame:
-    """Only ``cols``: extra columns of the caller cannot clash with an operator's own names."""
-    return df.select(*[F.col(f"`{c}`") for c in cols])
+def with_row(df: DataFrame, **more: Column) -> DataFrame:
+    """The whole row as one struct ``row`` beside ``more``: no column can clash. Undo: ``row.*``."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in more.items()])
+
+
+def identity(*cols: str, text: str = "text") -> Column:
+    """Tells rows apart that share a key but not their text."""
+    return F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(cols)], F.md5(text_of(text)).alias("h"))
 
 
 def id_filter(df: DataFrame, key: str, ids: DataFrame, buckets: int = 1 << 20) -> DataFrame:

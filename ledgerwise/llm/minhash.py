@@ -23,17 +23,16 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, id_filter, materialize, ship, text_of
+from .common import components, id_filter, identity, materialize, ship, text_of, with_row
 
-#: A link: 100 * |A & B| >= PERCENT * |A | B|, on sets of SHINGLE words.
-SHINGLE, PERCENT = 3, 85
-#: Bands of ROWS signature rows: a pair at the threshold shares no bucket with a probability
-#: of (1 - 0.85 ** 5) ** 25 = 4e-7.
-BANDS, ROWS = 25, 5
+#: A link: 100 * |A & B| >= PERCENT * |A | B|, on sets of shingles of SHINGLE words.
+SHINGLE, PERCENT = 5, 80
 HASHES, STEP = 128, 32
+#: Probability at which a pair at the threshold may share no bucket (0.85: 25 bands of 5 rows, 4e-7).
+MISS_BANDS = 1e-6
 #: Probability at which a verified pair may be dropped although it reaches the threshold.
 MISS = 1e-9
 MEMORY = 300_000
@@ -52,7 +51,7 @@ class _WordHashes(dict):
 _words = _WordHashes()
 
 
-def shingle_set(text: str, k: int = SHINGLE) -> np.ndarray:
+def shingle_set(text: str, k: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's ``k``-word shingles (ASCII letters in lower
     case, words split at ASCII white space); fewer words are one shingle, no words none."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
@@ -73,6 +72,12 @@ def shingle_set(text: str, k: int = SHINGLE) -> np.ndarray:
     return np.unique(v)
 
 
+def banding(threshold: float, miss: float = MISS_BANDS, hashes: int = HASHES) -> tuple[int, int]:
+    """(bands, rows): the longest rows whose bands miss a pair at the threshold rarely enough."""
+    fitting = [(hashes // r, r) for r in range(1, hashes + 1) if (1 - threshold ** r) ** (hashes // r) <= miss]
+    return fitting[-1] if fitting else (hashes, 1)
+
+
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240817)
     a = rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -106,35 +111,41 @@ def least_matches(threshold: float, miss: float = MISS, step: int = STEP, hashes
     return out
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        size, cls, sig = [], [], []
-        for t in batch.column(1):
-            h = shingle_set(t.as_py())
-            size.append(len(h))
-            cls.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
-            sig.append(signature(h).tobytes() if len(h) else None)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(size, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())],
-            names=["doc_id", "n_shingles", "cls", "sig"])
-
-
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    salt = np.arange(1, BANDS + 1, dtype=np.uint64) * _M1
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype="<u4").reshape(n, HASHES)
-        parts = sig[:, :BANDS * ROWS].reshape(n, BANDS, ROWS).astype(np.uint64)
-        key = np.broadcast_to(salt, (n, BANDS)).copy()
-        for r in range(ROWS):
-            key = (key ^ (key >> np.uint64(30))) * _M2 + parts[:, :, r] * _M3
-        key ^= key >> np.uint64(31)
-        rows = pa.array(np.repeat(np.arange(n), BANDS))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(key.ravel().view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows)],
-            names=["key", "cls", "n"])
+def _sign(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, cls, sig = [], [], []
+            for t in batch.column(1):
+                h = shingle_set(t.as_py(), shingle)
+                size.append(len(h))
+                cls.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
+                sig.append(signature(h).tobytes() if len(h) else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(size, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())],
+                names=["doc_id", "n_shingles", "cls", "sig"])
+
+    return run
+
+
+def _bands(bands: int, rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salt = np.arange(1, bands + 1, dtype=np.uint64) * _M1
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype="<u4").reshape(n, HASHES)
+            parts = sig[:, :bands * rows].reshape(n, bands, rows).astype(np.uint64)
+            key = np.broadcast_to(salt, (n, bands)).copy()
+            for r in range(rows):
+                key = (key ^ (key >> np.uint64(30))) * _M2 + parts[:, :, r] * _M3
+            key ^= key >> np.uint64(31)
+            at = pa.array(np.repeat(np.arange(n), bands))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.ravel().view(np.int64)), batch.column(0).take(at), batch.column(1).take(at)],
+                names=["key", "cls", "n"])
+
+    return run
 
 
 def _bayes(threshold: float):
@@ -171,19 +182,22 @@ def _exact(percent: int):
     return run
 
 
-def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [shingle_set(t.as_py()) for t in batch.column(0)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-             pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "members"])
+def _full_sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), shingle).tobytes() for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())],
+                names=["cls", "members"])
+
+    return run
 
 
 class _Verifier:
     """Verifies candidate pairs of classes; keeps the full sets that it has read."""
 
-    def __init__(self, rows: DataFrame, classes: DataFrame, percent: int):
-        self.rows, self.classes, self.percent, self.sets = rows, classes, percent, None
+    def __init__(self, rows: DataFrame, classes: DataFrame, percent: int, shingle: int):
+        self.rows, self.classes, self.percent, self.shingle, self.sets = rows, classes, percent, shingle, None
 
     def links(self, pairs: DataFrame) -> DataFrame:
         sig = self.classes.select("cls", "sig")
@@ -203,7 +217,7 @@ class _Verifier:
                            "need")
         texts = id_filter(self.rows, "key", need.select("key").distinct())
         # a repeated key may hold other texts as well: the digest says which are meant
-        sets = texts.select("text").mapInArrow(_full_sets, "cls binary, members binary").join(
+        sets = texts.select("text").mapInArrow(_full_sets(self.shingle), "cls binary, members binary").join(
             need.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
         new = materialize(sets, "sets")
         self.sets = new if self.sets is None else self.sets.union(new)
@@ -213,7 +227,8 @@ def _fits(a: str, b: str, percent: int):
     return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT,
+                    shingle: int = SHINGLE) -> DataFrame:
     """One row per document: ``key``, ``n_shingles``, ``component_id`` (smallest key that links
     reach, itself included) and ``kept`` (``key`` = ``component_id``).
 
@@ -224,17 +239,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     ship(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), text_of(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    signed = materialize(rows.mapInArrow(_sign, f"doc_id {kind}, n_shingles long, cls binary, sig binary"), "signed")
+    signed = materialize(rows.mapInArrow(_sign(shingle), f"doc_id {kind}, n_shingles long, cls binary, sig binary"), "signed")
     classes = materialize(signed.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
 
     # buckets of two classes or more, with their hubs
-    bands = classes.select("cls", "n", "sig").mapInArrow(_bands, "key long, cls binary, n long")
+    bands = classes.select("cls", "n", "sig").mapInArrow(_bands(*banding(percent / 100)), "key long, cls binary, n long")
     hubs = materialize(bands.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("cls", "n")).alias("h"))
                        .where("c > 1").select("key", F.col("h.cls").alias("hub"), F.col("h.n").alias("hub_n")), "hubs")
     members = materialize(bands.join(hubs, "key"), "members")
 
-    verifier = _Verifier(rows, classes, percent)
+    verifier = _Verifier(rows, classes, percent, shingle)
     star = members.where("cls <> hub").where(_fits("n", "hub_n", percent))
     links = verifier.links(materialize(star.select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), "star"))
     roots = materialize(components(links), "roots")
@@ -264,3 +279,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select(F.col("doc_id").alias(key), "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.col(key).eqNullSafe(F.col("component_id")))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT,
+             shingle: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs``, one of each group of near duplicates: the smallest key. A row is told
+    by its key and text, so a null or repeated key is no special case; of equal rows one stays.
+    """
+    named = docs.select(identity(key, text=text).alias("row_id"), F.col(text).alias("text"))
+    kept = near_duplicates(named, "row_id", "text", percent, shingle).where("kept").select("row_id").distinct()
+    rows = with_row(docs, id=identity(key, text=text), bare=text_of(text).rlike("^[ \\t-\\r]*$"))
+    k = F.col("id")
+    joined = rows.join(materialize(kept, "kept"), k.eqNullSafe(F.col("row_id")), "left_semi")
+    # rows without words link with nothing: all of them stay
+    nth = F.row_number().over(Window.partitionBy("id").orderBy("id"))
+    return joined.withColumn("nth", nth).where("nth = 1 OR bare").select("row.*")

@@ -12,11 +12,11 @@ All sums are exact: expected copies are integers in units of 2**-32.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import global_position, running_totals
-from .common import materialize, word_count
+from .common import materialize, with_row, word_count
 
 UNIT = 1 << 32
 # -- fixed values: weights by place of the source, repeating; share of all sizes; most repeats
@@ -92,10 +92,16 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
                       "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def emit(docs: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The mixed corpus: every document's row as many times as it was taken (unique keys)."""
-    times: Column = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    plan = mixed.where("copies > 0").select(F.col(key).alias("_key"), "copies")
-    cols = docs.columns
-    out = docs.join(plan, F.col(key).eqNullSafe(F.col("_key"))).withColumn("_copy", times)
-    return out.select(*[F.col(f"`{c}`") for c in cols])
+def emit(docs: DataFrame, mixed: DataFrame, row_id: Column, key: str) -> DataFrame:
+    """The mixed corpus: every row of ``docs`` as many times as it was taken.
+
+    ``mixed``: what ``mix`` returned for the rows' ids ``key``; ``row_id``: the same id as an
+    expression on ``docs``. Rows that share an id share its copies as evenly as can be.
+    """
+    plan = mixed.groupBy(key).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    plan = materialize(plan.where("copies > 0"), "plan").withColumnRenamed(key, "taken_id")
+    rows = with_row(docs, id=row_id).join(plan, F.col("id").eqNullSafe(F.col("taken_id")))
+    nth = F.row_number().over(Window.partitionBy("id").orderBy("id"))
+    own = F.expr("cast(copies div rows + if(nth <= copies % rows, 1, 0) as int)")
+    times = rows.withColumn("nth", nth).withColumn("own", own).where("own > 0")
+    return times.select("row", F.explode(F.sequence(F.lit(1), F.col("own"))).alias("copy")).select("row.*")

@@ -80,7 +80,7 @@ def digest_pieces(pieces: DataFrame) -> DataFrame:
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85, shingle=3)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

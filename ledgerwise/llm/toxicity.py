@@ -18,7 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import materialize, text_of, with_row
 
 #: The fit reads at most this many labelled documents, those with the smallest hashes of their keys.
 SAMPLE_ROWS = 20_000
@@ -126,3 +126,9 @@ def classify(docs: DataFrame, chain: Chain, key: str = "doc_id", text: str = "te
     scored = chain.apply(word_features(rows, "_doc"))
     cols = [f"p_{c}" for c in chain.categories]
     return scored.select(F.col("_key").alias(key), *cols, (F.col(cols[-1]) >= threshold).alias("rejected"))
+
+
+def drop_rejected(docs: DataFrame, chain: Chain, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that ``classify`` does not reject, scored in place (no join)."""
+    scored = chain.apply(word_features(with_row(docs, _doc=F.col(text)), "_doc"))
+    return scored.where(F.col(f"p_{chain.categories[-1]}") < threshold).select("row.*")
