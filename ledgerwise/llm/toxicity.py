@@ -1,9 +1,10 @@
 """Toxicity by a classifier chain of linear models.
 
-Categories are predicted one after the other: each is a logistic regression over hashed words
-and the probabilities of the categories before it. While training, those probabilities come
-from models that did not see the row (out-of-fold predictions), so a later model meets inputs
-as reliable as those it gets when the whole chain is applied to unseen documents.
+Categories are predicted one after the other: each is a logistic regression over the terms
+that tell the category apart (words and beginnings of words, the best by chi-squared) and the
+probabilities of the categories before it. While training, those probabilities come from
+models that did not see the row (out-of-fold predictions, terms chosen anew for each), so a
+later model meets inputs as reliable as those it gets on unseen documents.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, RegexTokenizer, VectorAssembler
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import CountVectorizerModel, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,62 +23,94 @@ from .common import materialize, text_of, with_row
 
 #: The fit reads at most this many labelled documents, those with the smallest hashes of their keys.
 SAMPLE_ROWS = 20_000
-FOLDS = 3
-FEATURES = 1 << 15
-THRESHOLD = 0.5
+FOLDS, FIT_TASKS = 3, 8
+#: Terms of a model, and the labelled documents that must hold a term.
+TERMS, LEAST_DOCS = 1000, 3
+#: Lengths of the words' beginnings that are terms of their own.
+BEGINNINGS = (4, 5)
+#: Rejecting probability: toxic documents are rare among the labels, so well under a half.
+THRESHOLD = 0.25
+
+
+@dataclass
+class Model:
+    """One link of a chain: a term vocabulary and weights, or (without either) a constant."""
+
+    terms: CountVectorizerModel | None
+    weights: LogisticRegressionModel | None
+    constant: float = 0.0
 
 
 @dataclass
 class Chain:
     categories: list[str]
-    models: list
+    models: list[Model]
 
-    def apply(self, features: DataFrame) -> DataFrame:
+    def apply(self, rows: DataFrame) -> DataFrame:
         """Add ``p_<category>`` for every category, in the order of the chain."""
-        out = features
         for i, (name, model) in enumerate(zip(self.categories, self.models)):
-            out = _score(out, model, self.categories[:i], f"p_{name}")
-        return out
+            rows = _score(rows, model, self.categories[:i], f"p_{name}")
+        return rows
 
 
-def word_features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``words_vec``: which of the hashed lower-case words the whole text has (0 / 1)."""
+def with_words(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Add ``_words``: the whole text's lower-case words."""
     words = RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"[^\p{L}\p{N}]+", toLowercase=True)
-    hashed = HashingTF(inputCol="_words", outputCol="words_vec", numFeatures=FEATURES, binary=True)
-    return hashed.transform(words.transform(docs.withColumn("_text", text_of(text)))).drop("_text", "_words")
+    return words.transform(docs.withColumn("_text", text_of(text))).drop("_text")
+
+
+def with_terms(rows: DataFrame) -> DataFrame:
+    """``_words`` to ``_terms``: the words and their beginnings, which carry over to inflected
+    words that no label has shown."""
+    starts = [F.expr(f"transform(_words, w -> concat('{n}:', substring(w, 1, {n})))") for n in BEGINNINGS]
+    return rows.withColumn("_terms", F.concat("_words", *starts)).drop("_words")
+
+
+def _inputs(df: DataFrame, model: CountVectorizerModel, before: list[str]) -> DataFrame:
+    cols = ["_vec", *[f"p_{c}" for c in before]]
+    return VectorAssembler(inputCols=cols, outputCol="_x").transform(model.transform(df))
 
 
-def _inputs(df: DataFrame, before: list[str]) -> DataFrame:
-    cols = ["words_vec", *[f"p_{c}" for c in before]]
-    return VectorAssembler(inputCols=cols, outputCol="_x").transform(df)
+def _best_terms(df: DataFrame, label: str, n: float, positive: float, terms: int) -> list[str]:
+    """The ``terms`` terms whose presence depends most on the label (chi-squared), from sums per term."""
+    per = df.select(label, F.explode(F.array_distinct("_terms")).alias("term")).groupBy("term").agg(
+        F.count(F.lit(1)).cast("double").alias("has"), F.sum(label).alias("both")).where(F.col("has") >= LEAST_DOCS)
+    off = F.col("both") * n - F.col("has") * positive
+    score = off * off / (F.col("has") * (n - F.col("has") + 1.0))
+    return [r["term"] for r in per.orderBy(score.desc(), "term").limit(terms).collect()]
 
 
-def _fit(df: DataFrame, before: list[str], label: str):
-    """A model, or the label's only value (0.0 without rows) where there is nothing to tell apart."""
-    low, high = df.agg(F.min(label), F.max(label)).first()
-    if low is None or low == high:
-        return float(low or 0)
-    lr = LogisticRegression(featuresCol="_x", labelCol=label, maxIter=20, regParam=1e-3, elasticNetParam=0.0,
-                            standardization=False, probabilityCol="_p", rawPredictionCol="_r", predictionCol="_c")
-    return lr.fit(_inputs(df, before))
+def _fit(df: DataFrame, before: list[str], label: str) -> Model:
+    n, positive = df.agg(F.count(F.lit(1)), F.sum(label)).first()
+    if not n or positive in (0, n):  # nothing to tell apart
+        return Model(None, None, float(bool(n) and positive == n))
+    vocabulary = _best_terms(df, label, float(n), float(positive), TERMS)
+    if not vocabulary:
+        return Model(None, None, positive / n)
+    terms = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="_terms", outputCol="_vec", minTF=1.0)
+    terms.setBinary(True)
+    lr = LogisticRegression(featuresCol="_x", labelCol=label, maxIter=40, regParam=1e-4, standardization=False,
+                            probabilityCol="_p", rawPredictionCol="_r", predictionCol="_c")
+    return Model(terms, lr.fit(_inputs(df, terms, before)))
 
 
-def _score(df: DataFrame, model, before: list[str], name: str) -> DataFrame:
-    if isinstance(model, float):
-        return df.withColumn(name, F.lit(model))
-    scored = model.transform(_inputs(df, before))
-    return scored.withColumn(name, vector_to_array("_p")[1]).drop("_x", "_p", "_r", "_c")
+def _score(df: DataFrame, model: Model, before: list[str], name: str) -> DataFrame:
+    if model.weights is None:
+        return df.withColumn(name, F.lit(model.constant))
+    scored = model.weights.transform(_inputs(df, model.terms, before))
+    return scored.withColumn(name, vector_to_array("_p")[1]).drop("_vec", "_x", "_p", "_r", "_c")
 
 
 def fit_chain(labelled: DataFrame, categories: list[str], folds: int = FOLDS) -> Chain:
-    """``labelled``: ``fold_key``, ``words_vec`` and one 0 / 1 column per category, no nulls.
+    """``labelled``: ``fold_key`` (unique), ``_words`` and one 0 / 1 column per category, no nulls.
 
     Every category but the last is fitted ``folds`` + 1 times: once per fold for out-of-fold
     probabilities, once on all rows for use. A category that has one value only gets a
     constant model (its rate).
     """
-    df = labelled.withColumn("_fold", F.pmod(F.xxhash64("fold_key", F.lit(11)), F.lit(folds)).cast("int"))
     spark, models = labelled.sparkSession, []
+    # a bounded sample in few partitions: every step of a fit is a job over all of them
+    df = with_terms(labelled.coalesce(FIT_TASKS)).withColumn("_fold", F.pmod(F.xxhash64("fold_key", F.lit(11)), F.lit(folds)).cast("int"))
     for i, name in enumerate(categories):
         before = categories[:i]
         if i == len(categories) - 1:
@@ -88,11 +121,12 @@ def fit_chain(labelled: DataFrame, categories: list[str], folds: int = FOLDS) ->
             whole_model, *fold_models = pool.map(inheritable_thread_target(spark)(
                 lambda rows, before=before, name=name: _fit(rows, before, name)), sets)
         models.append(whole_model)
-        parts = [_score(df.where(F.col("_fold") == k), m, before, f"p_{name}") for k, m in enumerate(fold_models)]
+        parts = [_score(df.where(F.col("_fold") == k), m, before, f"p_{name}").select("fold_key", f"p_{name}")
+                 for k, m in enumerate(fold_models)]
         whole = parts[0]
         for part in parts[1:]:
             whole = whole.unionByName(part)
-        df = materialize(whole, "oof")
+        df = df.join(F.broadcast(materialize(whole, "oof")), "fold_key")  # at most the sample's rows
     return Chain(list(categories), models)
 
 
@@ -110,8 +144,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample
     sample = truth.orderBy(F.xxhash64("fold_key", F.lit(5)), "fold_key").limit(sample_rows)
     # at most sample_rows short rows: a broadcast of a bounded size
     rows = docs.select(F.col(key).alias("fold_key"), F.col(text).alias("_doc")).join(F.broadcast(sample), "fold_key")
-    rows = word_features(rows, "_doc").drop("_doc")
-    return fit_chain(materialize(rows, "labelled"), list(categories))
+    rows = with_words(rows, "_doc").withColumn("_words", F.array_distinct("_words")).drop("_doc")
+    # of several documents under one key any one: the labels cannot tell them apart
+    return fit_chain(materialize(rows.dropDuplicates(["fold_key"]), "labelled"), list(categories))
 
 
 def classify(docs: DataFrame, chain: Chain, key: str = "doc_id", text: str = "text",
@@ -123,12 +158,12 @@ def classify(docs: DataFrame, chain: Chain, key: str = "doc_id", text: str = "te
     repeated rows and null keys are scored like any; empty in, empty out. No shuffle.
     """
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_doc"))
-    scored = chain.apply(word_features(rows, "_doc"))
+    scored = chain.apply(with_terms(with_words(rows, "_doc")))
     cols = [f"p_{c}" for c in chain.categories]
     return scored.select(F.col("_key").alias(key), *cols, (F.col(cols[-1]) >= threshold).alias("rejected"))
 
 
 def drop_rejected(docs: DataFrame, chain: Chain, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that ``classify`` does not reject, scored in place (no join)."""
-    scored = chain.apply(word_features(with_row(docs, _doc=F.col(text)), "_doc"))
+    scored = chain.apply(with_terms(with_words(with_row(docs, _doc=F.col(text)), "_doc")))
     return scored.where(F.col(f"p_{chain.categories[-1]}") < threshold).select("row.*")
