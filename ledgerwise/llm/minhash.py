@@ -9,10 +9,12 @@
 4. Links give connected components.
 
 A bucket may hold very many near copies, so its pairs are not all listed. First every member
-is compared with the bucket's hub (its smallest class), which joins most of a group of near
-copies into one component. Then only members outside the bucket's largest component are
-compared with the members of other components. A pair that is never compared is already
-connected, or its set sizes rule it out: components are those of all candidate pairs.
+is compared with the bucket's hub (drawn anew in every bucket), which joins most of a group of
+near copies into one component. Then only members outside the bucket's largest component are
+compared with the members of other components: pair by pair in buckets of at most ``SMALL``
+classes, in larger ones block by block, where a task verifies all pairs of two blocks and
+returns a forest of their links. A pair that is never compared is already connected, or its
+set sizes rule it out: components are those of all candidate pairs.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -35,6 +38,9 @@ HASHES, STEP = 128, 32
 MISS_BANDS = 1e-6
 #: Probability at which a verified pair may be dropped although it reaches the threshold.
 MISS = 1e-9
+#: Largest bucket whose pairs are listed (so at most SMALL / 2 a member); classes, and shingles,
+#: of a block in larger buckets; distinct shingles that are compared at once there.
+SMALL, BLOCK, BLOCK_SHINGLES, COLUMNS = 48, 2048, 1 << 20, 4096
 MEMORY = 300_000
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -142,8 +148,8 @@ def _bands(bands: int, rows: int):
             key ^= key >> np.uint64(31)
             at = pa.array(np.repeat(np.arange(n), bands))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.ravel().view(np.int64)), batch.column(0).take(at), batch.column(1).take(at)],
-                names=["key", "cls", "n"])
+                [pa.array(key.ravel().view(np.int64)), pa.array(np.tile(np.arange(bands, dtype=np.int32), n)),
+                 batch.column(0).take(at), batch.column(1).take(at)], names=["key", "band", "cls", "n"])
 
     return run
 
@@ -193,6 +199,88 @@ def _full_sets(shingle: int):
     return run
 
 
+def _intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all of ``a`` with all of ``b`` (sorted distinct hashes), exact:
+    sums of products of 0 / 1 matrices over a slice of the shared hashes at a time."""
+    shared = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    place = []
+    for sets in (a, b):
+        rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        flat = np.concatenate(sets)
+        at = np.minimum(np.searchsorted(shared, flat), max(0, len(shared) - 1))
+        hit = shared[at] == flat if len(shared) else np.zeros(len(flat), bool)
+        order = np.argsort(at[hit], kind="stable")
+        place.append((rows[hit][order], at[hit][order]))
+    out = np.zeros((len(a), len(b)), dtype=np.float32)
+    for lo in range(0, len(shared), COLUMNS):
+        parts = []
+        for (rows, at), n in zip(place, (len(a), len(b))):
+            s, e = np.searchsorted(at, [lo, lo + COLUMNS])
+            m = np.zeros((n, min(COLUMNS, len(shared) - lo)), dtype=np.float32)
+            m[rows[s:e], at[s:e] - lo] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _block_links(percent: int, bands: int, rows: int):
+    """Verify all pairs of askers and answerers of a bucket's two blocks; a forest of links."""
+    rule = least_matches(percent / 100)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ask, ans = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+        empty = pd.DataFrame({"a": pd.Series(dtype=object), "b": pd.Series(dtype=object)})
+        if ask.empty or ans.empty:
+            return empty
+        band = int(pdf["band"].iloc[0])
+        sig = [np.frombuffer(b"".join(x["sig"]), dtype="<u4").reshape(len(x), HASHES) for x in (ask, ans)]
+        roots, at = np.unique(np.concatenate([ask["root"], ans["root"]]), return_inverse=True)
+        ra, rb = at[:len(ask)], at[len(ask):]
+        na, nb = ask["n"].to_numpy(), ans["n"].to_numpy()
+        # where a component asks, it answers too: one of the two directions is enough
+        open_ = (ra[:, None] != rb[None, :]) & (ans["in_large"].to_numpy()[None, :] | (ra[:, None] < rb[None, :]))
+        open_ &= 100 * np.minimum(na[:, None], nb[None, :]) >= percent * np.maximum(na[:, None], nb[None, :])
+        for k in range(band):  # pairs that share an earlier band are verified in that bucket
+            keys = [np.ascontiguousarray(x[:, k * rows:(k + 1) * rows]).view(f"V{4 * rows}").ravel() for x in sig]
+            _, same = np.unique(np.concatenate(keys), return_inverse=True)
+            open_ &= same[:len(ask), None] != same[None, len(ask):]
+        i, j = np.nonzero(open_)
+        equal, done = np.zeros(len(i), dtype=np.int64), 0
+        for upto, least in rule:  # the sequential test, a slice of pairs at a time
+            for lo in range(0, len(i), 1 << 17):
+                s = slice(lo, lo + (1 << 17))
+                equal[s] += (sig[0][i[s], done:upto] == sig[1][j[s], done:upto]).sum(axis=1)
+            live = equal >= least
+            i, j, equal, done = i[live], j[live], equal[live], upto
+        if not len(i):
+            return empty
+        asked, u = np.unique(i, return_inverse=True)
+        answered, v = np.unique(j, return_inverse=True)
+        sets = [[np.frombuffer(m, dtype=np.uint64) for m in x["members"].iloc[k]] for x, k in ((ask, asked), (ans, answered))]
+        if len(i) * 20 < len(asked) * len(answered):
+            both = np.array([len(np.intersect1d(sets[0][p], sets[1][q], assume_unique=True)) for p, q in zip(u, v)])
+        else:
+            both = _intersections(*sets)[u, v].astype(np.int64)
+        ok = 100 * both >= percent * (na[i] + nb[j] - both)
+        # a spanning forest over the components that the links join
+        up, keep = list(range(len(roots))), []
+        for p, q in zip(i[ok].tolist(), j[ok].tolist()):
+            x, y = int(ra[p]), int(rb[q])
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            while up[y] != y:
+                up[y] = y = up[up[y]]
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                keep.append((p, q))
+        if not keep:
+            return empty
+        p, q = (list(x) for x in zip(*keep))
+        return pd.DataFrame({"a": ask["cls"].iloc[p].to_numpy(), "b": ans["cls"].iloc[q].to_numpy()})
+
+    return run
+
+
 class _Verifier:
     """Verifies candidate pairs of classes; keeps the full sets that it has read."""
 
@@ -204,13 +292,13 @@ class _Verifier:
         both = pairs.join(sig.select(F.col("cls").alias("a"), F.col("sig").alias("sa")), "a").join(
             sig.select(F.col("cls").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
         alive = materialize(both.mapInArrow(_bayes(self.percent / 100), "a binary, b binary"), "alive")
-        self._read_sets(alive)
+        self.read_sets(alive.select(F.col("a").alias("cls")).union(alive.select(F.col("b").alias("cls"))))
         full = lambda c: self.sets.select(F.col("cls").alias(c), F.col("members").alias(f"s{c}"))
         found = alive.join(full("a"), "a").join(full("b"), "b").select("a", "b", "sa", "sb")
         return materialize(found.mapInArrow(_exact(self.percent), "a binary, b binary"), "links")
 
-    def _read_sets(self, alive: DataFrame) -> None:
-        need = alive.select(F.col("a").alias("cls")).union(alive.select(F.col("b").alias("cls"))).distinct()
+    def read_sets(self, need: DataFrame) -> None:
+        need = need.distinct()
         if self.sets is not None:
             need = need.join(self.sets.select("cls"), "cls", "left_anti")
         need = materialize(need.join(self.classes.select("cls", "rep"), "cls").select("cls", F.col("rep").alias("key")),
@@ -227,6 +315,33 @@ def _fits(a: str, b: str, percent: int):
     return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
 
 
+def _listed(members: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs still open in small buckets."""
+    left = members.where("NOT in_large AND cls <> hub").select(
+        "key", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    right = members.where("cls <> hub").select(
+        "key", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), "in_large")
+    pairs = left.join(right, "key").where("ra <> rb AND (in_large OR a < b)").where(_fits("na", "nb", percent))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _blocks(verifier: _Verifier, members: DataFrame, percent: int, band_rows: tuple[int, int]) -> DataFrame:
+    """Links found in large buckets, by pairs of blocks. Blocks hold at most about ``BLOCK`` classes
+    and ``BLOCK_SHINGLES`` shingles (one set at least), so a task's size does not follow the bucket's."""
+    verifier.read_sets(members.select("cls"))
+    n_blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    full = members.withColumn("blocks", n_blocks).join(verifier.classes.select("cls", "sig"), "cls").join(
+        verifier.sets, "cls").select("key", "band", "cls", "n", "root", "in_large", "blocks", "sig", "members")
+    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    cols = ["key", "band", "cls", "n", "root", "in_large", "sig", "members"]
+    asks = full.where("NOT in_large").select(*cols, own.alias("ask"), every.alias("answer"), F.lit(True).alias("asks"))
+    answers = full.select(*cols, every.alias("ask"), own.alias("answer"), F.lit(False).alias("asks"))
+    found = asks.unionByName(answers).groupBy("key", "ask", "answer").applyInPandas(
+        _block_links(percent, *band_rows), "a binary, b binary")
+    return materialize(found, "block_links")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT,
                     shingle: int = SHINGLE) -> DataFrame:
     """One row per document: ``key``, ``n_shingles``, ``component_id`` (smallest key that links
@@ -243,32 +358,31 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     classes = materialize(signed.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
 
-    # buckets of two classes or more, with their hubs
-    bands = classes.select("cls", "n", "sig").mapInArrow(_bands(*banding(percent / 100)), "key long, cls binary, n long")
-    hubs = materialize(bands.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("cls", "n")).alias("h"))
-                       .where("c > 1").select("key", F.col("h.cls").alias("hub"), F.col("h.n").alias("hub_n")), "hubs")
+    # buckets of two classes or more, with a hub each: the class with the smallest hash there
+    band_rows = banding(percent / 100)
+    bands = classes.select("cls", "n", "sig").mapInArrow(_bands(*band_rows), "key long, band int, cls binary, n long")
+    hub = F.min(F.struct(F.xxhash64("cls", "key").alias("x"), "cls", "n"))
+    hubs = materialize(bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"), hub.alias("h"))
+                       .where("size > 1").select("key", "size", "shingles", F.col("h.cls").alias("hub"),
+                                                 F.col("h.n").alias("hub_n")), "hubs")
     members = materialize(bands.join(hubs, "key"), "members")
 
     verifier = _Verifier(rows, classes, percent, shingle)
     star = members.where("cls <> hub").where(_fits("n", "hub_n", percent))
-    links = verifier.links(materialize(star.select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), "star"))
+    star = star.select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b")).distinct()
+    links = verifier.links(materialize(star, "star"))
     roots = materialize(components(links), "roots")
 
     # what is not connected yet: members outside a bucket's largest component against the others
     placed = materialize(members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "key", "cls", "n", "hub", F.coalesce("root", "cls").alias("root")), "placed")
+        "key", "band", "cls", "n", "hub", "size", "shingles", F.coalesce("root", "cls").alias("root")), "placed")
     per_root = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     open_ = materialize(per_root.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m"), F.count(F.lit(1)).alias("k"))
                         .where("k > 1").select("key", F.col("m.root").alias("large")), "open")
-    left = placed.join(open_, "key").where("root <> large AND cls <> hub").select(
-        "key", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    right = placed.join(open_, "key").where("cls <> hub").select(
-        "key", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), (F.col("root") == F.col("large"))
-        .alias("in_large"))
-    rest = materialize(left, "left").join(materialize(right, "right"), "key").where(
-        "ra <> rb AND (in_large OR a < b)").where(_fits("na", "nb", percent))
-    more = verifier.links(materialize(rest.select("a", "b").distinct(), "rest"))
-    roots = components(links.union(more))
+    open_members = materialize(placed.join(open_, "key").withColumn("in_large", F.col("root") == F.col("large")), "rest")
+    more = verifier.links(materialize(_listed(open_members.where(F.col("size") <= SMALL), percent), "listed"))
+    blocks = _blocks(verifier, open_members.where(F.col("size") > SMALL), percent, band_rows)
+    roots = components(links.union(more).union(blocks))
 
     by_class = classes.select("cls", "rep").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select(
         "cls", "rep", F.coalesce("root", "cls").alias("root"))

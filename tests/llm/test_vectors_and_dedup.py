@@ -191,9 +191,13 @@ def test_op9_matches_brute_force(spark, docs):
         [(i, t) for i, t, _ in docs], 3, 85)
 
 
-@pytest.mark.parametrize("k,percent", [(3, 85), (5, 80)])
-def test_op9_groups_of_near_copies(spark, k, percent):
-    """Chains whose ends are far apart, a large group of variants, and a passage that all share."""
+@pytest.mark.parametrize("k,percent,small", [(3, 85, 48), (5, 80, 48), (3, 85, 2)])
+def test_op9_groups_of_near_copies(spark, monkeypatch, k, percent, small):
+    """Chains whose ends are far apart, a large group of variants, and a passage that all share;
+    with pairs listed or, ``small`` = 2, verified in several blocks."""
+    monkeypatch.setattr(minhash, "SMALL", small)
+    if small == 2:
+        monkeypatch.setattr(minhash, "BLOCK", 30)
     rng = random.Random(4)
     words = [f"w{i}" for i in range(3000)]
     base = rng.choices(words, k=120)
