@@ -146,12 +146,17 @@ class StateStore:
     def _pointer(self, name: str) -> str:
         return f"{self.root}/{name}/_current"
 
+    def _exists(self, path: str) -> bool:
+        """Only "no such folder" means absent; a folder that cannot be reached is an error."""
+        sc = self.spark.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p)
+
     def current_version(self, name: str) -> int | None:
-        try:
-            row = self.spark.read.json(self._pointer(name)).agg(F.max("version")).first()
-        except Exception:  # noqa: BLE001 - missing pointer means no version yet
+        if not self._exists(self._pointer(name)):
             return None
-        return None if row is None or row[0] is None else int(row[0])
+        row = self.spark.read.schema("version int").json(self._pointer(name)).agg(F.max("version")).first()
+        return None if row[0] is None else int(row[0])
 
     def read(self, name: str) -> DataFrame | None:
         v = self.current_version(name)
@@ -162,7 +167,9 @@ class StateStore:
     def write(self, name: str, df: DataFrame, partition_by: str | None = None) -> DataFrame:
         v = (self.current_version(name) or 0) + 1
         path = f"{self.root}/{name}/v={v}"
-        w = df.write.mode("overwrite")
+        w = df.write.mode("errorifexists")  # a second writer of this version fails instead of mixing rows
+        if self._exists(path) and not self._exists(f"{path}/_SUCCESS"):
+            w = w.mode("overwrite")  # what a lost job left half-written
         if partition_by:
             w = w.partitionBy(partition_by)
         w.parquet(path)
@@ -175,10 +182,8 @@ class StateStore:
         df.write.mode("append").parquet(f"{self.root}/{name}/log")
 
     def read_log(self, name: str) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(f"{self.root}/{name}/log")
-        except Exception:  # noqa: BLE001 - nothing appended yet
-            return None
+        path = f"{self.root}/{name}/log"
+        return self.spark.read.parquet(path) if self._exists(path) else None
 
 
 # ---- B7 / B8 --------------------------------------------------------------------
@@ -217,12 +222,13 @@ def finish_batch(start_row: DataFrame, row_count, status: str = "SUCCESS", is_mo
                  now: dt.datetime | None = None, error: str | None = None) -> DataFrame:
     """The closing event row. ``row_count`` may be a Column (e.g. an observed count).
 
-    Status is ``SUCCESS``/``FAILED: <msg[:150]>`` plus `` [MOCK]``/`` [LIVE]``,
-    cut to 50 characters. An empty extract still finishes ``SUCCESS`` with 0 rows.
+    Status is ``SUCCESS`` / ``FAILED: <whole message>`` plus the marker `` [MOCK]`` / `` [LIVE]``,
+    never cut (``status_label`` shortens it for display). An empty extract still finishes
+    ``SUCCESS`` with 0 rows.
     """
     now = _naive(now or dt.datetime.now(dt.timezone.utc))
-    text = f"FAILED: {error[:150]}" if error is not None else status
-    label = f"{text}{_marker(is_mock)}"[:50]
+    text = f"FAILED: {error}" if error is not None else status
+    label = f"{text}{_marker(is_mock)}"
     rc = row_count if isinstance(row_count, Column) else F.lit(row_count)
     return start_row.select(
         "batch_id", "source_table", "watermark_start", "watermark_end",
@@ -234,6 +240,12 @@ def finish_batch(start_row: DataFrame, row_count, status: str = "SUCCESS", is_mo
     )
 
 
+def status_label(status: Column, width: int = 50) -> Column:
+    """A status for display: at most ``width`` characters, the marker always whole."""
+    mark = F.regexp_extract(status, r" \[(?:MOCK|LIVE)\]$", 0)
+    return F.concat(F.substring(status, F.lit(1), F.least(F.length(status), F.lit(width)) - F.length(mark)), mark)
+
+
 def batch_log_view(events: DataFrame) -> DataFrame:
     """Current state per batch: the newest event row of each ``batch_id``."""
     return dedupe_last(events, "batch_id", ["event_at", F.col("finished_at").isNotNull()]).drop("event_at")
@@ -243,7 +255,7 @@ def batch_history(log: DataFrame, limit: int | None = 20) -> DataFrame:
     """Newest batches first, ``is_mock`` flag, NULL row count -> 0."""
     out = log.select(
         "batch_id", "source_table", "watermark_start", "watermark_end", "status",
-        F.col("status").contains("[MOCK]").alias("is_mock_data"),
+        F.col("status").endswith("[MOCK]").alias("is_mock_data"),
         F.coalesce(F.col("row_count"), F.lit(0)).cast("long").alias("row_count"),
         "started_at", "finished_at",
     ).orderBy(F.desc("started_at"), "batch_id")

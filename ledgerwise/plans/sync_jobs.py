@@ -50,15 +50,21 @@ def _land(store: staging.StateStore, table: str, batch_id: str, records: DataFra
     return store.spark.read.parquet(path)
 
 
+def _clock(now: dt.datetime | None) -> dt.datetime:
+    """The injected time (tests), else the time right now."""
+    return now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+
+
 def _log_quality(store, checks: DataFrame, batch_id: str, now: dt.datetime) -> None:
     store.append("data_quality_log", quality.record_quality(checks, batch_id, now))
 
 
 def run_subscription_sync(spark: SparkSession, src: dict, store: staging.StateStore, until: dt.datetime,
                           snapshot_date: dt.date, since=None, full_refresh: bool = False, is_mock: bool = False,
-                          now: dt.datetime | None = None) -> dict:
-    """A5 -> C1, C2 -> B1 -> D2 -> D1 -> E1 -> F6 -> B7. Returns row counts."""
-    now = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+                          now: dt.datetime | None = None, finished: dt.datetime | None = None) -> dict:
+    """A5 -> C1, C2 -> B1 -> D2 -> D1 -> E1 -> F6 -> B7. Returns row counts. An empty extract
+    finishes early and rewrites nothing."""
+    now = _clock(now)
     lower = _since(store, "customer_subscription", since, full_refresh)
     bid = str(uuid.uuid4())
     start = staging.start_batch(spark, "customer_subscription", lower, until, is_mock, now, bid)
@@ -67,8 +73,10 @@ def run_subscription_sync(spark: SparkSession, src: dict, store: staging.StateSt
         recs = erp.extract_subscriptions(src["customer_subscription"], src["customer"], src["internet_package"],
                                          lower, until)
         recs_w = _land(store, "customer_subscription", bid, recs)
-        store.append("stg_customer_subscription", staging.stage_subscriptions(recs_w, bid, now))
         n = recs_w.count()
+        if not n:
+            store.append("etl_batch_log", staging.finish_batch(start, 0, "SUCCESS", is_mock, _clock(finished)))
+            return {"batch_id": bid, "rows": 0}
         _log_quality(store, quality.quality_checks(recs_w, "stg_customer_subscription", SUB_REQUIRED,
                                                    SUB_NON_NEGATIVE), bid, now)
         dimp = store.write("dim_package", dims.upsert_package(store.read("dim_package"), recs_w, snapshot_date))
@@ -78,18 +86,50 @@ def run_subscription_sync(spark: SparkSession, src: dict, store: staging.StateSt
         bills = store.read("fact_billing_monthly") or spark.createDataFrame([], BILLING_EMPTY)
         store.write("feature_customer_churn", features.build_churn_features(
             fact, dimc, dimp, bills, snapshot_date, bid, target=store.read("feature_customer_churn")))
+        _replay(store, dimc, bid)
+        # staged last: a batch that failed and runs again has staged nothing yet
+        store.append("stg_customer_subscription", staging.stage_subscriptions(recs_w, bid, now))
     except Exception as e:
-        store.append("etl_batch_log", staging.finish_batch(start, 0, is_mock=is_mock, now=now, error=str(e)))
+        store.append("etl_batch_log", staging.finish_batch(start, 0, is_mock=is_mock, now=_clock(finished), error=str(e)))
         raise
-    store.append("etl_batch_log", staging.finish_batch(start, n, "SUCCESS", is_mock, now))
+    store.append("etl_batch_log", staging.finish_batch(start, n, "SUCCESS", is_mock, _clock(finished)))
     return {"batch_id": bid, "rows": n}
 
 
+def _split_known(inv: DataFrame, dimc: DataFrame | None) -> tuple[DataFrame | None, DataFrame]:
+    """Invoices whose customer the dimension knows, and the others."""
+    if dimc is None:
+        return None, inv
+    known = dimc.where("is_current").select("customer_id").distinct()
+    return inv.join(known, "customer_id", "left_semi"), inv.join(known, "customer_id", "left_anti")
+
+
+def _load_bills(store: staging.StateStore, inv: DataFrame, dimc: DataFrame | None, batch_id: str) -> None:
+    """Facts of known customers; invoices of unknown ones wait in ``pending_invoice``, newest version each."""
+    waiting = store.read("pending_invoice")
+    both = inv if waiting is None else staging.dedupe_last(
+        waiting.unionByName(inv), "source_id", ["source_updated_at"])
+    known, unknown = _split_known(both, dimc)
+    if known is not None:
+        store.write("fact_billing_monthly", facts.fact_billing_monthly(
+            known, dimc, batch_id, target=store.read("fact_billing_monthly")))
+    if waiting is not None or not unknown.isEmpty():
+        store.write("pending_invoice", unknown)
+
+
+def _replay(store: staging.StateStore, dimc: DataFrame, batch_id: str) -> None:
+    """After new customers: load the invoices that waited for them."""
+    waiting = store.read("pending_invoice")
+    if waiting is not None and not _split_known(waiting, dimc)[0].isEmpty():
+        _load_bills(store, waiting.limit(0), dimc, batch_id)
+
+
 def run_billing_sync(spark: SparkSession, src: dict, store: staging.StateStore, until: dt.datetime, as_of,
                      since=None, full_refresh: bool = False, is_mock: bool = False,
-                     now: dt.datetime | None = None) -> dict:
-    """A6, A7 -> C1, C2 -> B2 -> E2 -> B7. Returns row counts."""
-    now = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+                     now: dt.datetime | None = None, finished: dt.datetime | None = None) -> dict:
+    """A6, A7 -> C1, C2 -> B2 -> E2 -> B7. Returns row counts. Invoices of customers that no
+    subscription sync has loaded yet wait and are loaded by the sync that brings the customer."""
+    now = _clock(now)
     lower = _since(store, "sales_invoice", since, full_refresh)
     bid = str(uuid.uuid4())
     start = staging.start_batch(spark, "sales_invoice", lower, until, is_mock, now, bid)
@@ -100,18 +140,16 @@ def run_billing_sync(spark: SparkSession, src: dict, store: staging.StateStore,
         pay = erp.extract_payments(src["sales_payment"], lower, until)
         inv_w = _land(store, "sales_invoice", bid, inv)
         pay_w = _land(store, "sales_payment", bid, pay)
-        store.append("stg_sales_invoice", staging.stage_invoices(inv_w, bid, now))
-        store.append("stg_sales_payment", staging.stage_payments(pay_w, bid, now))
         n_inv, n_pay = inv_w.count(), pay_w.count()
         checks = quality.quality_checks(inv_w, "stg_sales_invoice", INV_REQUIRED, INV_NON_NEGATIVE).unionByName(
             quality.quality_checks(pay_w, "stg_sales_payment", PAY_REQUIRED, PAY_NON_NEGATIVE))
         _log_quality(store, checks, bid, now)
-        dimc = store.read("dim_customer")
-        if dimc is not None:
-            store.write("fact_billing_monthly", facts.fact_billing_monthly(
-                inv_w, dimc, bid, target=store.read("fact_billing_monthly")))
+        if n_inv:
+            _load_bills(store, inv_w, store.read("dim_customer"), bid)
+        store.append("stg_sales_invoice", staging.stage_invoices(inv_w, bid, now))
+        store.append("stg_sales_payment", staging.stage_payments(pay_w, bid, now))
     except Exception as e:
-        store.append("etl_batch_log", staging.finish_batch(start, 0, is_mock=is_mock, now=now, error=str(e)))
+        store.append("etl_batch_log", staging.finish_batch(start, 0, is_mock=is_mock, now=_clock(finished), error=str(e)))
         raise
-    store.append("etl_batch_log", staging.finish_batch(start, n_inv + n_pay, "SUCCESS", is_mock, now))
+    store.append("etl_batch_log", staging.finish_batch(start, n_inv + n_pay, "SUCCESS", is_mock, _clock(finished)))
     return {"batch_id": bid, "invoices": n_inv, "payments": n_pay}

@@ -91,6 +91,19 @@ def window_filter(df: DataFrame, since, until, ts_cols=("updated_at",), null_unt
     return df.where(cond)
 
 
+def changed_in_window(df: DataFrame, since, until, ts_cols) -> DataFrame:
+    """Rows whose first known time lies in ``(since, until]``, and rows without any time.
+
+    The first disjunct is on a bare column, so row groups can be skipped where all are older.
+    """
+    first, known = F.col(ts_cols[0]), F.coalesce(*[F.col(c).cast("timestamp_ntz") for c in ts_cols])
+    inside = known <= _ts(until)
+    bare = first.isNull() | (first <= _ts(until))
+    if since is not None:
+        inside, bare = inside & (known > _ts(since)), bare & (first.isNull() | (first > _ts(since)))
+    return df.where(bare & (known.isNull() | inside))
+
+
 # ---- A5 -----------------------------------------------------------------------
 def extract_subscriptions(sub: DataFrame, cust: DataFrame, pkg: DataFrame, since, until,
                           limit: int | None = None) -> DataFrame:
@@ -135,8 +148,10 @@ def extract_invoices(inv: DataFrame, sub: DataFrame, pay: DataFrame, since, unti
     ``days_late``: last payment after due -> its delay; else open (OVERDUE /
     UNPAID) and past due at ``as_of`` -> days since due; else 0.
     """
-    i = window_filter(inv, since, until, ("updated_at",))
-    paid = pay.where(F.col("payment_status") == "SUCCESS").groupBy(F.col("sales_invoice_id").alias("id")).agg(
+    # a row without a change time is never lost: its creation time decides, without either it always passes
+    times = [c for c in ("updated_at", "created_at") if c in inv.columns]
+    i = changed_in_window(inv, since, until, times)
+    paid = normalize_payment_status(pay).where(F.col("payment_status") == "SUCCESS").groupBy(F.col("sales_invoice_id").alias("id")).agg(
         F.sum("amount").alias("paid_sum"), F.max("payment_date").alias("last_paid")
     )
     s = sub.select(F.col("id").alias("customer_subscription_id"), "customer_id")
@@ -161,7 +176,7 @@ def extract_invoices(inv: DataFrame, sub: DataFrame, pay: DataFrame, since, unti
         "payment_status",
         F.coalesce(F.col("paid_sum"), F.lit(0)).cast("decimal(18,2)").alias("paid_amount"),
         days_late.cast("int").alias("days_late"),
-        F.col("updated_at").alias("source_updated_at"),
+        F.coalesce(*[F.col(c).cast("timestamp_ntz") for c in times], _ts(until)).alias("source_updated_at"),
     )
     if limit is not None:
         out = out.orderBy("source_updated_at", "source_id").limit(limit)
@@ -170,15 +185,15 @@ def extract_invoices(inv: DataFrame, sub: DataFrame, pay: DataFrame, since, unti
 
 # ---- A7 -----------------------------------------------------------------------
 def extract_payments(pay: DataFrame, since, until, limit: int | None = None) -> DataFrame:
-    """Append-only payments, windowed on ``created_at``."""
-    p = window_filter(pay, since, until, ("created_at",))
+    """Append-only payments, windowed on ``created_at``; a payment without one always passes."""
+    p = changed_in_window(normalize_payment_status(pay), since, until, ["created_at"])
     out = p.select(
         F.col("id").alias("source_id"),
         "sales_invoice_id",
         "payment_date",
         "amount",
         "payment_status",
-        F.col("created_at").alias("source_created_at"),
+        F.coalesce(F.col("created_at").cast("timestamp_ntz"), _ts(until)).alias("source_created_at"),
     )
     if limit is not None:
         out = out.orderBy("source_created_at", "source_id").limit(limit)

@@ -51,4 +51,4 @@ def sync_stream(spark: SparkSession, source_path: str, out_root: str, checkpoint
 
 def read_synced(spark: SparkSession, out_root: str, key: str = "source_id") -> DataFrame:
     """Newest row per key over all epochs written by ``sync_stream``."""
-    return latest_by_source(spark.read.parquet(out_root).drop("epoch"), key, ("batch_id",))
+    return latest_by_source(spark.read.parquet(out_root).drop("epoch"), key, ("batch_id", "source_updated_at"))
