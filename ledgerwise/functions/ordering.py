@@ -21,11 +21,9 @@ from ..session import materialize
 _LOW_BITS = (1 << 33) - 1
 
 
-def global_position(df: DataFrame, order_cols, name: str = "pos", checkpoint: bool = True) -> DataFrame:
+def global_position(df: DataFrame, order_cols, name: str = "pos") -> DataFrame:
     """Add a 0-based position column following ``order_cols`` (make them unique)."""
-    sorted_df = df.orderBy(*order_cols).withColumn("_mid", F.monotonically_increasing_id())
-    if checkpoint:
-        sorted_df = materialize(sorted_df, "positions")
+    sorted_df = materialize(df.orderBy(*order_cols).withColumn("_mid", F.monotonically_increasing_id()), "positions")
     tagged = sorted_df.withColumn("_part", F.shiftright("_mid", 33)).withColumn(
         "_off", F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)))
     counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
@@ -36,7 +34,7 @@ def global_position(df: DataFrame, order_cols, name: str = "pos", checkpoint: bo
 
 
 def running_totals(df: DataFrame, order_cols, sum_cols, descending: bool = False,
-                  checkpoint: bool = True, keys=(), how: str = "sum") -> DataFrame:
+                  keys=(), how: str = "sum") -> DataFrame:
     """Inclusive running sums (or maxima, ``how='max'``) of ``sum_cols`` along ``order_cols``,
     per ``keys`` (or over the whole DataFrame); results in ``cum_<col>``.
 
@@ -55,9 +53,7 @@ def running_totals(df: DataFrame, order_cols, sum_cols, descending: bool = False
     agg = F.sum if how == "sum" else F.max
     keys = list(keys)
     order = [F.col(c).desc() if descending else F.col(c).asc() for c in order_cols]
-    sorted_df = df.orderBy(*keys, *order).withColumn("_mid", F.monotonically_increasing_id())
-    if checkpoint:
-        sorted_df = materialize(sorted_df, "running")
+    sorted_df = materialize(df.orderBy(*keys, *order).withColumn("_mid", F.monotonically_increasing_id()), "running")
     tagged = sorted_df.withColumn("_part", F.shiftright("_mid", 33))
     totals = tagged.groupBy(*keys, "_part").agg(*[agg(c).alias(f"_t_{c}") for c in sum_cols])
     w_parts = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -63,14 +63,9 @@ MEDIUM_RISK = 0.30
 
 
 def resolve_params(preset: str | None = None, overrides: dict | None = None) -> dict:
-    """Defaults, then a known preset (unknown names ignored), then non-null overrides."""
-    p = dict(DEFAULT_PARAMS)
-    if preset and preset in PRESETS:
-        p.update(PRESETS[preset])
-    for k, v in (overrides or {}).items():
-        if v is not None:
-            p[k] = v
-    return p
+    """Later layers win: the defaults, a known preset, the overrides that are set."""
+    given = {k: v for k, v in (overrides or {}).items() if v is not None}
+    return DEFAULT_PARAMS | PRESETS.get(preset, {}) | given
 
 
 # ---- J2-J5 -------------------------------------------------------------------------
@@ -192,14 +187,14 @@ def _score_counts(df: DataFrame, score: str, label: str) -> DataFrame:
     )
 
 
-def roc_auc(df: DataFrame, score: str = "score", label: str = "label", checkpoint: bool = True) -> DataFrame:
+def roc_auc(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """Exact ROC AUC with ties counted half (rank-sum form), 4 dp; undefined -> 0.5.
 
     Rows are reduced to one row per distinct score, then the negatives below
     each score come from distributed running totals.
     """
     counts = _score_counts(df, score, label)
-    cum = running_totals(counts, ["s"], ["neg"], checkpoint=checkpoint)
+    cum = running_totals(counts, ["s"], ["neg"])
     part = cum.agg(
         F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") + F.col("neg") * F.lit(0.5))).alias("num"),
         F.sum("pos").alias("P"), F.sum("neg").alias("N"))
@@ -208,11 +203,10 @@ def roc_auc(df: DataFrame, score: str = "score", label: str = "label", checkpoin
                        .alias("roc_auc"))
 
 
-def average_precision(df: DataFrame, score: str = "score", label: str = "label",
-                      checkpoint: bool = True) -> DataFrame:
+def average_precision(df: DataFrame, score: str = "score", label: str = "label",) -> DataFrame:
     """Average precision (step sum over distinct thresholds), 4 dp; undefined -> base rate."""
     counts = _score_counts(df, score, label)
-    cum = running_totals(counts, ["s"], ["pos", "neg"], descending=True, checkpoint=checkpoint)
+    cum = running_totals(counts, ["s"], ["pos", "neg"], descending=True)
     part = cum.agg(
         F.sum(F.col("pos") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("num"),
         F.sum("pos").alias("P"), F.sum(F.col("pos") + F.col("neg")).alias("n"))
@@ -252,7 +246,7 @@ def classification_metrics(df: DataFrame, score: str = "score", label: str = "la
 
 
 def binary_metrics(df: DataFrame, score: str = "score", label: str = "label",
-                   threshold: float = CLASSIFICATION_THRESHOLD, checkpoint: bool = True) -> DataFrame:
+                   threshold: float = CLASSIFICATION_THRESHOLD) -> DataFrame:
     """J10-J12 in one pass: every metric from one table of per-score counts.
 
     The scored rows are reduced to one row per distinct score (partial
@@ -265,7 +259,7 @@ def binary_metrics(df: DataFrame, score: str = "score", label: str = "label",
     ``average_precision`` and ``classification_metrics`` on the rows.
     """
     counts = _score_counts(df, score, label)
-    cum = running_totals(counts, ["s"], ["pos", "neg"], checkpoint=checkpoint)
+    cum = running_totals(counts, ["s"], ["pos", "neg"])
     # Totals as scalar subqueries over the (score-sized) running table.
     p_all = cum.agg(F.sum("pos")).scalar()
     n_all = cum.agg(F.sum("neg")).scalar()
@@ -322,8 +316,9 @@ def _driver(feature, impact, severity, weight, value: Column, description: Colum
 
 
 def _num_text(c: Column) -> Column:
-    """Python-like text of a double (``18.5``, ``20.0``)."""
-    return c.cast("double").cast("string")
+    """Plain text of a double, never with an exponent (``18.5``, ``20.0``, ``12500000.0``)."""
+    text = F.regexp_replace(c.cast("decimal(38,6)").cast("string"), r"0+$", "")
+    return F.when(text.endswith("."), F.concat(text, F.lit("0"))).otherwise(text)
 
 
 def risk_drivers(df: DataFrame, out: str = "top_risk_factors") -> DataFrame:
@@ -355,7 +350,7 @@ def risk_drivers(df: DataFrame, out: str = "top_risk_factors") -> DataFrame:
                                                F.lit(" hari dari jatuh tempo")))))
     g4 = (F.when(tenure >= 24.0, _driver("tenure_months", "DECREASES_RISK", "LOW", -0.20, _num_text(t1),
                                          F.concat(F.lit("Pelanggan loyal jangka panjang ("),
-                                                  _num_text(F.round(tenure / 12.0, 1)), F.lit(" tahun berlangganan)"))))
+                                                  _num_text(F.bround(tenure / 12.0, 1)), F.lit(" tahun berlangganan)"))))
           .when(tenure < 6.0, _driver("tenure_months", "INCREASES_RISK", "MEDIUM", 0.15, _num_text(t1),
                                       F.concat(F.lit("Pelanggan baru ("), _num_text(t1),
                                                F.lit(" bulan) pada fase adaptasi rentan churn")))))
@@ -374,7 +369,7 @@ PREDICTION_COLS = ("snapshot_date", "customer_id", "churn_probability", "risk_le
 
 
 def score_batch(model: PipelineModel, feat: DataFrame, snapshot_date=None, model_version: str = "1.0.0",
-                created_at: dt.datetime | None = None, checkpoint: bool = True) -> DataFrame:
+                created_at: dt.datetime | None = None) -> DataFrame:
     """Score one snapshot (latest when not given).
 
     Null fills as at training; probability kept at 4 dp; tier on the unrounded
@@ -396,14 +391,12 @@ def score_batch(model: PipelineModel, feat: DataFrame, snapshot_date=None, model
         F.coalesce("downgrade_flag_6m", F.lit(False)).alias("downgrade_flag_6m"),
     )
     p = churn_probability(model, f, "p")
-    return predictions_from_scores(p, model_version, created_at, checkpoint)
+    return predictions_from_scores(p, model_version, created_at)
 
 
-def predictions_from_scores(p: DataFrame, model_version: str = "1.0.0", created_at: dt.datetime | None = None,
-                            checkpoint: bool = True) -> DataFrame:
+def predictions_from_scores(p: DataFrame, model_version: str = "1.0.0", created_at: dt.datetime | None = None,) -> DataFrame:
     """J15-J17 on any scored feature rows (column ``p``): tier, per-snapshot rank, drivers."""
-    ranked = global_position(p, [F.col("snapshot_date"), F.col("p").desc(), F.col("customer_id")], "_pos",
-                             checkpoint=checkpoint)
+    ranked = global_position(p, [F.col("snapshot_date"), F.col("p").desc(), F.col("customer_id")], "_pos")
     first = ranked.groupBy("snapshot_date").agg(F.min("_pos").alias("_first"))
     ranked = ranked.join(F.broadcast(first), "snapshot_date")  # one row per snapshot
     created = created_at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)

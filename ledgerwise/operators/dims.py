@@ -98,7 +98,8 @@ def scd2_merge(dim: DataFrame | None, batch: DataFrame, snapshot_date, order=("s
         | _null_safe_changed("c_city", "b_city")
         | _null_safe_changed("c_customer_name", "b_customer_name")
     )
-    same_day = changed & (F.col("c_valid_from") == snap)
+    # a version that starts on the snapshot day or later is overwritten: closing it would end it before it starts
+    same_day = changed & (F.col("c_valid_from") >= snap)
 
     def row(key, name, city, inst, status, vfrom, vto, current, upd):
         return F.struct(
@@ -214,7 +215,7 @@ def lookup_current(fact: DataFrame, dim: DataFrame, nk: str, sk: str, how: str =
     return fact.join(d, nk, how)
 
 
-def lookup_asof(fact: DataFrame, dim: DataFrame, date_col: str, nk: str, cols, checkpoint: bool = True) -> DataFrame:
+def lookup_asof(fact: DataFrame, dim: DataFrame, date_col: str, nk: str, cols) -> DataFrame:
     """Attributes of the version valid at ``fact[date_col]`` (NULL when none is).
 
     An as-of join without pairs: facts and version starts are put in one
@@ -235,8 +236,7 @@ def lookup_asof(fact: DataFrame, dim: DataFrame, date_col: str, nk: str, cols, c
     starts = dim.select(*[F.lit(None).cast(fact.schema[c].dataType).alias(c) for c in fcols],
                         F.col(nk).alias("_k"), F.col("valid_from").cast(t_type).alias("_t"),
                         F.lit(0).alias("_kind"), F.col("valid_from").cast("date").alias("_vf"))
-    scan = running_totals(facts.unionByName(starts), ["_t", "_kind"], ["_vf"], keys=["_k"], how="max",
-                          checkpoint=checkpoint)
+    scan = running_totals(facts.unionByName(starts), ["_t", "_kind"], ["_vf"], keys=["_k"], how="max")
     hits = scan.where(F.col("_kind") == 1).select(*fcols, "_k", F.col("cum__vf").alias("_asof"))
     d = dim.select(F.col(nk).alias("_dk"), F.col("valid_from").cast("date").alias("_dvf"),
                    F.coalesce("valid_to", as_date(OPEN_END)).alias("_vto"), *cols)
@@ -244,7 +244,7 @@ def lookup_asof(fact: DataFrame, dim: DataFrame, date_col: str, nk: str, cols, c
     return hits.join(d, cond, "left").drop("_k", "_asof", "_dk", "_dvf", "_vto")
 
 
-def version_history(dim: DataFrame, customer_id=None, checkpoint: bool = True) -> DataFrame:
+def version_history(dim: DataFrame, customer_id=None) -> DataFrame:
     """Versions in order, with the invariant check ``next version's valid_from == valid_to``.
 
     The version number is a running count per customer (``running_totals``,
@@ -254,7 +254,7 @@ def version_history(dim: DataFrame, customer_id=None, checkpoint: bool = True) -
     """
     d = dim if customer_id is None else dim.where(F.col("customer_id") == customer_id)
     v = running_totals(d.withColumn("_one", F.lit(1)), ["valid_from", "customer_key"], ["_one"],
-                       keys=["customer_id"], checkpoint=checkpoint)
+                       keys=["customer_id"])
     v = v.withColumn("version", F.col("cum__one").cast("int")).drop("_one", "cum__one")
     nxt = v.select(F.col("customer_id").alias("_c"), (F.col("version") - 1).alias("_v"),
                    F.col("valid_from").alias("_next_from"))

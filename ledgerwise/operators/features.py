@@ -111,8 +111,7 @@ def build_churn_features(snap: DataFrame, dimc: DataFrame, dimp: DataFrame, bill
     return upsert(target, rows.select(*FEATURE_COLS), ["snapshot_date", "customer_id"])
 
 
-def downgrade_flags(snapshots: DataFrame, dimc: DataFrame, dimp: DataFrame, months: int = 6,
-                    checkpoint: bool = True) -> DataFrame:
+def downgrade_flags(snapshots: DataFrame, dimc: DataFrame, dimp: DataFrame, months: int = 6,) -> DataFrame:
     """did the customer's package speed fall within the last ``months`` months (30 days each)?
 
     Without a window per customer: each snapshot gets its position in the
@@ -128,7 +127,7 @@ def downgrade_flags(snapshots: DataFrame, dimc: DataFrame, dimp: DataFrame, mont
     s = s.select("snapshot_date", "customer_id", "customer_key", "speed_mbps",
                  F.datediff("snapshot_date", F.lit("1970-01-01").cast("date")).alias("_day"), F.lit(1).alias("_one"))
     order = ["_day", "customer_key"]
-    n = running_totals(s, order, ["_one"], keys=["customer_id"], checkpoint=checkpoint).withColumnRenamed(
+    n = running_totals(s, order, ["_one"], keys=["customer_id"]).withColumnRenamed(
         "cum__one", "_n")
     prev = n.select(F.col("customer_id").alias("_c"), (F.col("_n") + 1).alias("_m"),
                     F.col("speed_mbps").alias("_prev"))
@@ -136,7 +135,7 @@ def downgrade_flags(snapshots: DataFrame, dimc: DataFrame, dimp: DataFrame, mont
     dropped = F.coalesce(F.col("speed_mbps") < F.col("_prev"), F.lit(False))
     j = j.select("snapshot_date", "customer_id", "customer_key", "_day",
                  F.when(dropped, F.col("_day")).alias("_drop_day"))
-    last = running_totals(j, order, ["_drop_day"], keys=["customer_id"], how="max", checkpoint=checkpoint)
+    last = running_totals(j, order, ["_drop_day"], keys=["customer_id"], how="max")
     recent = F.coalesce(F.col("_day") - F.col("cum__drop_day") <= F.lit(months * 30 - 1), F.lit(False))
     return last.select("snapshot_date", F.col("customer_id").cast("long").alias("customer_id"),
                        recent.alias("downgrade_flag_6m"))
@@ -201,15 +200,14 @@ def feature_label_join(feat: DataFrame, lab: DataFrame) -> DataFrame:
     )
 
 
-def temporal_split(df: DataFrame, ratio: float = 0.2, order=("snapshot_date", "customer_id"),
-                   checkpoint: bool = True) -> DataFrame:
+def temporal_split(df: DataFrame, ratio: float = 0.2, order=("snapshot_date", "customer_id"),) -> DataFrame:
     """first ``max(int(n * (1 - ratio)), 1)`` rows (by snapshot, customer) train, rest validation.
 
     Positions come from ``global_position`` (range sort, no single-task
     window). If validation would be empty it reuses the training rows, which
     then appear twice (once per split), as the source system did.
     """
-    pos = global_position(df, list(order), "_pos", checkpoint=checkpoint)
+    pos = global_position(df, list(order), "_pos")
     n = pos.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()  # scalar subquery: one value
     j = pos.withColumn("n", n).withColumn(
         "cut", F.greatest(F.floor(F.col("n") * F.lit(1.0 - ratio)).cast("long"), F.lit(1)))

@@ -167,8 +167,7 @@ def inventory_value(runway: DataFrame) -> DataFrame:
         F.count(F.when(F.col("stockout_risk"), 1)).alias("skus_at_risk"))
 
 
-def ledger_balance(ledger: DataFrame, keys=("warehouse_id", "item_id"), order=("day", "l_orderkey", "l_linenumber"),
-                   checkpoint: bool = True) -> DataFrame:
+def ledger_balance(ledger: DataFrame, keys=("warehouse_id", "item_id"), order=("day", "l_orderkey", "l_linenumber"),) -> DataFrame:
     """Running ``in - out`` per (warehouse, item) in ledger order.
 
     A window partitioned by item would put a hot item's whole history into one
@@ -178,7 +177,7 @@ def ledger_balance(ledger: DataFrame, keys=("warehouse_id", "item_id"), order=("
     rows unique within an item.
     """
     d = ledger.withColumn("_delta", F.col("qty_in") - F.col("qty_out"))
-    return running_totals(d, list(order), ["_delta"], keys=list(keys), checkpoint=checkpoint).withColumnRenamed(
+    return running_totals(d, list(order), ["_delta"], keys=list(keys)).withColumnRenamed(
         "cum__delta", "balance_qty").drop("_delta")
 
 

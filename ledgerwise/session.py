@@ -80,7 +80,8 @@ def local_session(app: str = "ledgerwise", cores: str | int = "*", shuffle_parti
         .config("spark.driver.memory", os.environ.get("LEDGERWISE_DRIVER_MEMORY", "16g"))
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
-    for k, v in {**BASE_CONF, **(extra or {})}.items():
+    scratch = {"spark.checkpoint.dir": tempfile.mkdtemp(prefix="ledgerwise-ckpt-")}
+    for k, v in {**BASE_CONF, **scratch, **(extra or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -89,22 +90,18 @@ def local_session(app: str = "ledgerwise", cores: str | int = "*", shuffle_parti
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by the session.
+    """The run's own folder under the shared checkpoint folder named by the session.
 
-    On a cluster ``spark.checkpoint.dir`` points at shared storage and is used
-    as it is (an unset value is an error there). Only a local session without
-    the setting (tests, bench) gets a fresh scratch folder.
+    ``spark.checkpoint.dir`` is used as it is; where it is unset the folder lies under the
+    session's warehouse, which executors share as well. The run's folder is deleted when the
+    application ends.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(current)
-        return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    path = tempfile.mkdtemp(prefix="ledgerwise-ckpt-", dir="/tmp")
-    sc.setCheckpointDir(path)
+    if not sc.getCheckpointDir():
+        base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+        sc.setCheckpointDir(base)
+        path = sc._jvm.org.apache.hadoop.fs.Path(sc.getCheckpointDir())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
     return sc.getCheckpointDir()
 
 
