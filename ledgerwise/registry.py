@@ -261,6 +261,11 @@ def _metrics(s, d):
     return churn.binary_metrics(_scored_labels(_w(s, d)).select("score", "label"))
 
 
+def _listed(w):
+    """The high-risk list behind the commercial findings: every customer of MEDIUM risk or above."""
+    return churn.high_risk_customers(_fixed_pred(w), w["dim_customer"], limit=None, min_p=churn.MEDIUM_RISK)
+
+
 register("j10_j12_metrics_fixed_score")(_metrics)
 register("j15_j16_tier_rank_fixed_score")(
     lambda s, d: _fixed_pred(_w(s, d)).select("snapshot_date", "customer_id", "churn_probability", "risk_level",
@@ -274,13 +279,12 @@ register("j19_high_risk_customers_fixed_score")(
     lambda s, d: (lambda w: churn.high_risk_customers(_fixed_pred(w), w["dim_customer"], min_p=0.30).drop(
         "top_risk_factors"))(_w(s, d)))
 register("i08_churn_risk_table_fixed_score")(lambda s, d: churn.churn_risk_table(_fixed_pred(_w(s, d))))
-register("k01_chronic_late_fixed_score")(lambda s, d: findings.chronic_late(_fixed_pred(_w(s, d))))
-register("k02_worsening_trend_fixed_score")(lambda s, d: findings.worsening_trend(_fixed_pred(_w(s, d))))
+register("k01_chronic_late_fixed_score")(lambda s, d: findings.chronic_late(_listed(_w(s, d))))
+register("k02_worsening_trend_fixed_score")(lambda s, d: findings.worsening_trend(_listed(_w(s, d))))
 register("h16_churn_distribution_fixed_score")(lambda s, d: findings.churn_distribution(_fixed_pred(_w(s, d))))
 register("g15_snapshot_revenue")(lambda s, d: findings.snapshot_revenue(_w(s, d)["fact_subscription_snapshot"]))
 register("g16_mrr_at_risk_fixed_score")(
-    lambda s, d: (lambda w: findings.mrr_at_risk(_fixed_pred(w), w["fact_subscription_snapshot"],
-                                                 w["dim_customer"]))(_w(s, d)))
+    lambda s, d: (lambda w: findings.mrr_at_risk(_listed(w), w["feature_customer_churn"]))(_w(s, d)))
 register("h15_billing_delay_trend")(lambda s, d: findings.billing_delay_trend(_wl(s, d)["fact_billing_monthly"]))
 
 

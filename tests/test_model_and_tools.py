@@ -110,11 +110,19 @@ def test_global_position_and_split(spark):
 def test_sql_guard(spark):
     spark.range(3).createOrReplaceTempView("t_guard")
     assert findings.safe_sql(spark, "SELECT * FROM t_guard").count() == 3
-    assert findings.safe_sql(spark, "WITH x AS (SELECT id FROM t_guard) SELECT * FROM x", max_rows=2).count() == 2
+    page, more = findings.safe_sql_page(spark, "WITH x AS (SELECT id FROM t_guard) SELECT * FROM x", 2)
+    assert page.count() == 2 and more
+    page, more = findings.safe_sql_page(spark, "SELECT id, (SELECT max(id) FROM t_guard) m FROM t_guard LIMIT 2;", 2)
+    assert page.count() == 2 and not more
     for bad in ("DROP TABLE t_guard", "SELECT 1; DELETE FROM t_guard", "UPDATE t SET a=1",
-                "SELECT 'insert' AS x"):
+                "SELECT 'insert' AS x", "SELECT reflect('java.lang.System', 'getProperty', 'user.home')",
+                "SELECT * FROM t_guard WHERE java_method('java.util.UUID', 'randomUUID') = 'x'",
+                "SELECT * FROM parquet.`/root/testdata/sf0.001/nation.parquet`", "SHOW TABLES", "SET a=b",
+                "SELECT * FROM (SELECT reflect('java.util.UUID', 'randomUUID') AS u) t", "SELECT * FROM missing_view",
+                "WITH x AS (SELECT reflect('java.util.UUID', 'randomUUID') AS u) SELECT * FROM x", "CACHE TABLE t_guard",
+                "SELECT id FROM t_guard WHERE id IN (SELECT 1 FROM csv.`/etc/passwd`)", ""):
         with pytest.raises(PermissionError):
-            findings.validate_query(bad)
+            findings.safe_sql(spark, bad)
 
 
 def test_parse_replies(spark):
