@@ -198,8 +198,11 @@ def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddin
     few = rows.withColumn("r", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("r") <= k + 1)
     nodes = few.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     nodes = materialize(nodes.select("vec", "ids", F.size("vec").alias("dim"), F.col("ids")[0].alias("c")), "nodes")
-    shards = nodes.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards"))
+    shards = materialize(nodes.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards")), "dims")
     dealt = nodes.join(shards, "dim").withColumn("shard", F.pmod(F.xxhash64("vec"), F.col("shards")).cast("int"))
+    # building a graph is work far beyond its bytes: an own task for nearly every shard
+    tasks = shards.agg(F.sum("shards")).first()[0] or 1
+    dealt = dealt.repartition(2 * tasks, "dim", "shard")
     return materialize(dealt.groupBy("dim", "shard").applyInPandas(_build(edges, beam, alpha), INDEX), "index")
 
 
