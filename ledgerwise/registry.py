@@ -438,6 +438,29 @@ def _jobs(s, d):
 
 register("b07_b10_sync_jobs")(_jobs)
 
+
+def _billing_first(s, d):
+    """Tables written by the jobs when billing runs before its customers are known, then again."""
+    store = _staging.StateStore(s, shared_dir(s, f"store-{_uuid.uuid4().hex}"))
+    src = bridge.erp_tables(s, d)
+    sync_jobs.run_billing_sync(s, src, store, warehouse.UNTIL, AS_OF, now=_dt.datetime(2001, 8, 2, 0, 5))
+    sync_jobs.run_subscription_sync(s, src, store, warehouse.UNTIL, AS_OF, now=_dt.datetime(2001, 8, 2, 0, 10))
+    sync_jobs.run_billing_sync(s, src, store, warehouse.UNTIL, AS_OF, full_refresh=True,
+                               now=_dt.datetime(2001, 8, 2, 0, 30))
+    return store
+
+
+def _written_bills(s, d):
+    store = _billing_first(s, d)
+    return _bill_out(store.read("fact_billing_monthly"), store.read("dim_customer"))
+
+
+register("b10_billing_first_facts")(_written_bills)
+register("b02_written_payments")(
+    lambda s, d: staging.latest_by_source(_billing_first(s, d).read_log("stg_sales_payment"), "source_id",
+                                          ("loaded_at", "batch_id")).select(
+        "source_id", "sales_invoice_id", F.col("amount").cast("double").alias("amount"), "payment_status"))
+
 # ---- A11, A12, A13, E3, E4, F7, F8 ----
 from .operators import facts as _facts  # noqa: E402
 

@@ -3,6 +3,7 @@
 import datetime as dt
 import tempfile
 
+import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
@@ -97,3 +98,45 @@ def test_model_registry_and_tuning(spark):
     assert 0.0 <= p[0] <= p[1] <= 1.0
     tvs = churn.tuning_search(df, BinaryClassificationEvaluator(), grid={"max_depth": [2, 3]})
     assert len(tvs.getEstimatorParamMaps()) == 2
+
+
+def test_no_invoice_is_lost(spark, seed):
+    """Billing before its customers, NULL change times, a failed mock batch, an unreadable pointer."""
+    from pyspark.sql import functions as F
+
+    store = staging.StateStore(spark, _scratch())
+    until = dt.datetime(2026, 9, 1)
+    no_times = dict(seed)
+    no_times["sales_invoice"] = seed["sales_invoice"].withColumn(
+        "updated_at", F.when(F.col("id") % 2 == 0, F.col("updated_at")))
+    r = sync_jobs.run_billing_sync(spark, no_times, store, until, AS_OF, now=until, finished=until + dt.timedelta(minutes=3))
+    assert r["invoices"] == 14 and store.read("fact_billing_monthly") is None
+    assert store.read("pending_invoice").count() == 14
+    sync_jobs.run_subscription_sync(spark, seed, store, until, AS_OF, now=until)
+    assert store.read("pending_invoice").count() == 0
+    n = store.read("fact_billing_monthly").count()
+    sync_jobs.run_billing_sync(spark, seed, store, until, AS_OF, full_refresh=True, now=until)
+    assert store.read("fact_billing_monthly").count() == n > 0
+    log = staging.batch_log_view(store.read_log("etl_batch_log")).where(f"batch_id = '{r['batch_id']}'").first()
+    assert log["finished_at"] - log["started_at"] == dt.timedelta(minutes=3)
+
+    broken = dict(seed, sales_invoice=seed["sales_invoice"].withColumn("invoice_number", F.raise_error(F.lit("x" * 300))))
+    with pytest.raises(Exception):
+        sync_jobs.run_billing_sync(spark, broken, store, until, AS_OF, full_refresh=True, is_mock=True, now=until)
+    failed = staging.batch_history(staging.batch_log_view(store.read_log("etl_batch_log")), limit=None).where(
+        "status LIKE 'FAILED%'").withColumn("label", staging.status_label(F.col("status"))).first()
+    assert failed["is_mock_data"] and "x" * 300 in failed["status"]
+    assert len(failed["label"]) <= 50 and failed["label"].endswith(" [MOCK]")
+    with pytest.raises(Exception):
+        staging.StateStore(spark, "nosuchfs://x/y").read("t")
+
+
+def test_version_starting_after_the_snapshot_is_overwritten(spark):
+    from ledgerwise.operators import dims
+
+    row = "customer_id long, customer_name string, city string, installation_date date, status string, source_updated_at timestamp_ntz"
+    first = spark.createDataFrame([(1, "A", "X", dt.date(2026, 9, 20), "ACTIVE", dt.datetime(2026, 8, 1))], row)
+    dim = dims.scd2_merge(None, first, dt.date(2026, 8, 1))
+    later = spark.createDataFrame([(1, "A", "Y", dt.date(2026, 9, 20), "ACTIVE", dt.datetime(2026, 8, 2))], row)
+    out = dims.scd2_merge(dim, later, dt.date(2026, 8, 2)).collect()
+    assert len(out) == 1 and out[0]["city"] == "Y" and out[0]["valid_to"] is None
