@@ -232,11 +232,14 @@ def lookup_asof(fact: DataFrame, dim: DataFrame, date_col: str, nk: str, cols) -
     if not isinstance(t_type, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         t_type = T.DateType()
     facts = fact.select(*fcols, F.col(nk).alias("_k"), F.col(date_col).cast(t_type).alias("_t"),
-                        F.lit(1).alias("_kind"), F.lit(None).cast("date").alias("_vf"))
+                        F.lit(1).alias("_kind"), F.lit(None).cast("date").alias("_vf"),
+                        # facts of one key and date are told apart, so the range sort can split them
+                        F.monotonically_increasing_id().alias("_tie"))
     starts = dim.select(*[F.lit(None).cast(fact.schema[c].dataType).alias(c) for c in fcols],
                         F.col(nk).alias("_k"), F.col("valid_from").cast(t_type).alias("_t"),
-                        F.lit(0).alias("_kind"), F.col("valid_from").cast("date").alias("_vf"))
-    scan = running_totals(facts.unionByName(starts), ["_t", "_kind"], ["_vf"], keys=["_k"], how="max")
+                        F.lit(0).alias("_kind"), F.col("valid_from").cast("date").alias("_vf"),
+                        F.lit(0).cast("long").alias("_tie"))
+    scan = running_totals(facts.unionByName(starts), ["_t", "_kind", "_tie"], ["_vf"], keys=["_k"], how="max")
     hits = scan.where(F.col("_kind") == 1).select(*fcols, "_k", F.col("cum__vf").alias("_asof"))
     d = dim.select(F.col(nk).alias("_dk"), F.col("valid_from").cast("date").alias("_dvf"),
                    F.coalesce("valid_to", as_date(OPEN_END)).alias("_vto"), *cols)
@@ -245,7 +248,7 @@ def lookup_asof(fact: DataFrame, dim: DataFrame, date_col: str, nk: str, cols) -
 
 
 def version_history(dim: DataFrame, customer_id=None) -> DataFrame:
-    """Versions in order, with the invariant check ``next version's valid_from == valid_to``.
+    """Numbered versions, with the invariant check ``next version's valid_from == valid_to``.
 
     The version number is a running count per customer (``running_totals``,
     which range-splits a customer with a very long history over tasks instead
@@ -261,4 +264,4 @@ def version_history(dim: DataFrame, customer_id=None) -> DataFrame:
     j = v.join(nxt, F.col("customer_id").eqNullSafe(F.col("_c")) & (F.col("version") == F.col("_v")), "left")
     chain_ok = (F.when(F.col("_next_from").isNull(), F.col("valid_to").isNull() & F.col("is_current"))
                 .otherwise(F.coalesce(F.col("_next_from") == F.col("valid_to"), F.lit(False))))
-    return j.withColumn("chain_ok", chain_ok).drop("_c", "_v", "_next_from").orderBy("customer_id", "valid_from")
+    return j.withColumn("chain_ok", chain_ok).drop("_c", "_v", "_next_from")

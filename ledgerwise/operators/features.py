@@ -145,7 +145,7 @@ def make_churn_labels(feat: DataFrame, snapshot_date, days: int = LABEL_WINDOW_D
                       target: DataFrame | None = None) -> DataFrame:
     """deterministic synthetic churn labels in ``[snapshot+1, snapshot+days]``.
 
-    Rules in order (first match decides): (1) two or more late of the last 3
+    Fixed values, rules in order (first match decides): (1) two or more late of the last 3
     and WORSENING, or mean delay >= 20 -> churn if ``id % 10`` in 1..7, on
     ``start + id % 25 + 2``; (2) one late and WORSENING -> ``id % 10 == 8``, +15;
     (3) tenure < 3 months and a late bill -> ``id % 10 == 9``, +20.

@@ -209,7 +209,7 @@ def quality_audit_table(dq_log: DataFrame, limit=DEFAULT_LIMIT) -> DataFrame:
     return _limit(out.orderBy(F.desc("_ts"), F.desc("_id")), limit).drop("_ts", "_id")
 
 
-# Table name aliases per domain (trimmed, lower-cased); unknown -> domain default.
+# Fixed values (I9): table name aliases per domain (trimmed, lower-cased); unknown -> domain default.
 AUDIT_ALIASES = {
     "overview": {
         "default": "revenue_at_risk_overview",

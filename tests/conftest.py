@@ -24,7 +24,7 @@ def D(v):
     return Decimal(v).quantize(Decimal("0.01"))
 
 
-# Seed ERP rows (8 customers, 14 invoices, 11 payments) from the reference's seed description.
+# Seed ERP rows (8 customers, 14 invoices, 11 payments) from the reference's seed description.
 SUBS = [  # id, customer, package, start, fee, billing_day, status
     (1, 1001, 4, "2024-02-01", 1250000, 1, "ACTIVE"), (2, 1002, 3, "2024-04-15", 550000, 15, "ACTIVE"),
     (3, 1003, 2, "2024-05-10", 385000, 10, "ACTIVE"), (4, 1004, 3, "2024-06-01", 550000, 1, "SUSPENDED"),

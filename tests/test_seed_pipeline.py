@@ -82,7 +82,7 @@ def test_scd2_two_versions(spark):
     b2 = b1.withColumn("status", F.lit("SUSPENDED")).withColumn("source_updated_at",
                                                                   F.lit("2026-06-01 00:00:00").cast("timestamp_ntz"))
     d2 = dims.scd2_merge(d1, b2, dt.date(2026, 6, 1))
-    rows = dims.version_history(d2, 7).collect()
+    rows = dims.version_history(d2, 7).orderBy("version").collect()
     assert [(r["status"], r["valid_to"], r["is_current"]) for r in rows] == [
         ("ACTIVE", dt.date(2026, 6, 1), False), ("SUSPENDED", None, True)]
     assert all(r["chain_ok"] for r in rows)
