@@ -134,9 +134,9 @@ def test_no_invoice_is_lost(spark, seed):
 def test_version_starting_after_the_snapshot_is_overwritten(spark):
     from ledgerwise.operators import dims
 
-    row = "customer_id long, customer_name string, city string, installation_date date, status string, source_updated_at timestamp_ntz"
-    first = spark.createDataFrame([(1, "A", "X", dt.date(2026, 9, 20), "ACTIVE", dt.datetime(2026, 8, 1))], row)
+    row = "source_id long, customer_id long, customer_name string, city string, installation_date date, status string, source_updated_at timestamp_ntz"
+    first = spark.createDataFrame([(1, 1, "A", "X", dt.date(2026, 9, 20), "ACTIVE", dt.datetime(2026, 8, 1))], row)
     dim = dims.scd2_merge(None, first, dt.date(2026, 8, 1))
-    later = spark.createDataFrame([(1, "A", "Y", dt.date(2026, 9, 20), "ACTIVE", dt.datetime(2026, 8, 2))], row)
+    later = spark.createDataFrame([(1, 1, "A", "Y", dt.date(2026, 9, 20), "ACTIVE", dt.datetime(2026, 8, 2))], row)
     out = dims.scd2_merge(dim, later, dt.date(2026, 8, 2)).collect()
     assert len(out) == 1 and out[0]["city"] == "Y" and out[0]["valid_to"] is None
