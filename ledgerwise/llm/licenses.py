@@ -4,15 +4,21 @@ Texts are normalised (lower case, words of letters and digits), turned into sets
 bigrams and compared with every template whose size allows the threshold: with a Dice
 coefficient of at least t, the smaller set has at least t / (2 - t) times the larger set's
 size. A document is compared line by line, paragraph by paragraph and as a whole, since
-licence notices mostly stand on lines of their own.
+licence notices mostly stand on lines of their own; and windows over its word sequence find
+the others, in mid-line or over several paragraphs of a longer text.
+
+A document's parts have no bigrams that it has not itself. So a template of which the document
+holds too few bigrams is ruled out for all of its parts by one look at each bigram.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -86,37 +92,167 @@ class TemplateIndex:
     def __init__(self, templates: dict[str, str], threshold: float):
         if not 0 < threshold <= 1:
             raise ValueError("threshold must be in (0, 1]")
-        sets = [(len(b), name, b) for name, t in templates.items() if (b := bigrams(words_of(t)))]
+        words = {name: words_of(t) for name, t in templates.items()}
+        sets = [(len(b), name, b) for name, w in words.items() if (b := bigrams(w))]
         self.sets = sorted(sets, key=lambda x: x[:2])
         self.sizes, self.threshold = [x[0] for x in self.sets], threshold
         self.ratio = threshold / (2 - threshold)
+        self.by_name = {name: b for _, name, b in self.sets}
+        #: A window is at most so many bigrams long: the template's length over the ratio.
+        self.longest = {name: int((len(words[name]) - 1) / self.ratio + 1e-9) for name in self.by_name}
+        self.single = {name for name in self.by_name if len(words[name]) == 1}
+        self.homes: dict[tuple[str, str], list[str]] = {}
+        for _, name, b in self.sets:
+            for g in b:
+                self.homes.setdefault(g, []).append(name)
+        self.known = frozenset(self.homes)
 
     def candidates(self, least: int, most: int) -> list:
         """Templates not ruled out for a text with ``least`` to ``most`` distinct bigrams."""
         return self.sets[bisect_left(self.sizes, least * self.ratio - 1e-9):
                          bisect_right(self.sizes, most / self.ratio + 1e-9)]
 
-    def best(self, words: list[str]) -> tuple[float, str] | None:
+    def near(self, words: list[str]) -> set[str]:
+        """Templates that some part of the words may match: enough of their bigrams are there."""
+        n = Counter(name for g in self.known.intersection(zip(words, words[1:])) for name in self.homes[g])
+        return self.single | {name for name, c in n.items() if c >= len(self.by_name[name]) * self.ratio - 1e-9}
+
+    def best(self, words: list[str], near: set[str]) -> tuple[float, str] | None:
         """The nearest template at the threshold or above; ties go to the first name."""
         # every distinct word but the first ends some bigram, so there are at least as many bigrams
         if not words or not self.candidates(max(1, len(set(words)) - 1), max(1, len(words) - 1)):
             return None
         grams, found = bigrams(words), None
         for size, name, other in self.candidates(len(grams), len(grams)):
-            dice = 2 * len(grams & other) / (len(grams) + size)
+            dice = 2 * len(grams & other) / (len(grams) + size) if name in near else 0
             if dice >= self.threshold and (found is None or (-dice, name) < (-found[0], found[1])):
                 found = dice, name
         return found
 
 
+def template_windows(index: TemplateIndex, name: str, grams: list[tuple[str, str]], before: list[int]):
+    """(dice, first, last) of stretches of ``grams`` near a template, none overlapping another.
+
+    ``before`` has the place of each bigram's last occurrence, or -1. Every window at the
+    threshold or above, at most ``longest`` long, overlaps one that is given: of overlapping
+    ones the nearest is.
+    """
+    other, longest, t = index.by_name[name], index.longest[name], index.threshold
+    n, least = len(other), len(other) * index.ratio - 1e-9
+    hit = np.fromiter((g in other for g in grams), bool, len(grams))
+    # a window has at most so many distinct bigrams that are not the template's
+    slack, places, todo, out = n * (2 - 2 * t) / t + 1e-9, np.flatnonzero(hit).tolist(), [], []
+    first = places[0] if places else 0
+    for a, b in zip(places, [*places[1:], None]):
+        if b is None or b - a - 1 > slack and len(set(grams[a + 1:b])) > slack:
+            todo.append((first, a + 1))
+            first = b
+    while todo:
+        lo, hi = todo.pop()
+        if hit[lo:hi].sum() < least:
+            continue
+        # of the windows that begin at each place and end at j: distinct bigrams, and the template's among them
+        size, same = np.zeros(hi - lo, np.int64), np.zeros(hi - lo, np.int64)
+        floor, j, best = lo, lo, None
+        while j < hi:
+            s = max(floor, j - longest + 1)
+            a = max(before[j] + 1, s)
+            size[a - lo:j + 1 - lo] += 1
+            done = False
+            if hit[j]:
+                same[a - lo:j + 1 - lo] += 1
+                if same[s - lo] >= least:
+                    dice = 2 * same[s - lo:j + 1 - lo] / (size[s - lo:j + 1 - lo] + n)
+                    i = s + int(dice.argmax())
+                    d = float(dice[i - s])
+                    i += int(hit[i:].argmax())  # as near from its first bigram of the template on
+                    if d >= t and (best is None or d > best[0] and i <= best[2] or (d, i) == best[:2]):
+                        best = d, i, j
+                    done = d >= t and i > best[2]
+            if best and (done or j - best[2] >= longest or j == hi - 1):
+                out.append(best)
+                todo.append((floor, best[1]))
+                size[best[2] + 1 - lo:j + 1 - lo] = 0
+                same[best[2] + 1 - lo:j + 1 - lo] = 0
+                floor, j, best = best[2] + 1, best[2], None
+            j += 1
+    return sorted(out, key=lambda x: x[1])
+
+
+def spans_of_words(text: str) -> list[tuple[int, int]]:
+    """Places of ``words_of(text)`` in the text; lower case may be longer than the text."""
+    low = text.lower()
+    spans = [m.span() for m in _WORDS.finditer(low)]
+    if len(low) != len(text):
+        place = [i for i, c in enumerate(text) for _ in c.lower()]
+        spans = [(place[s], place[e - 1] + 1) for s, e in spans]
+    return spans
+
+
+def find_windows(index: TemplateIndex, text: str, words: list[str], near: set[str], units: list) -> list:
+    """Findings of windows over the word sequence that ``units`` do not give already.
+
+    Where two are over much the same text, the nearer one is given; one whose template is part
+    of a longer finding's template, and which lies inside that finding, belongs to it.
+    """
+    grams, last, before, hits = list(zip(words, words[1:])), {}, [], []
+    for i, g in enumerate(grams):
+        before.append(last.get(g, -1))
+        last[g] = i
+    spans = spans_of_words(text)
+    for name in sorted(near - index.single):
+        hits += [("window", name, d, spans[i][0], spans[j + 1][1])
+                 for d, i, j in template_windows(index, name, grams, before)]
+    group, groups, end = [], [], -1
+    for f in sorted([*units, *hits], key=lambda f: f[3:]):  # findings that overlap, directly or by others
+        if f[3] >= end:
+            group = []
+            groups.append(group)
+        group.append(f)
+        end = max(end, f[4])
+    out = []
+    for group in groups:
+        kept = [f for f in group if f[0] != "window"]
+        for f in sorted((f for f in group if f[0] == "window"), key=lambda f: (-f[2], f[1], f[3])):
+            if not any(_same_place(f, k) for k in kept):
+                kept.append(f)
+        out += [f for f in kept if f[0] == "window" and not any(_part_of(index, f, k) for k in kept)]
+    return sorted(out, key=lambda f: f[3:])
+
+
+def _same_place(f, k) -> bool:
+    """Whether ``k`` says at least as much of the text of ``f``."""
+    common = min(f[4], k[4]) - max(f[3], k[3])
+    if k[0] != "window" and k[1] == f[1]:
+        return common > 0
+    return k[2] >= f[2] and 2 * common >= max(f[4] - f[3], k[4] - k[3])
+
+
+def _part_of(index: TemplateIndex, f, k) -> bool:
+    small, large = index.by_name[f[1]], index.by_name[k[1]]
+    return (len(large) > len(small) and k[3] <= f[3] and f[4] <= k[4]
+            and len(small & large) >= index.threshold * len(small))
+
+
 def find_licenses(index: TemplateIndex, text: str) -> list[tuple[str, str, float, int, int]]:
     """(unit, licence, dice, start, end) of every line, paragraph (lines up to a blank one) and
-    the whole text that is near a template; a unit equal to a smaller one is not repeated."""
+    the whole text that is near a template, and of windows elsewhere; a unit equal to a smaller
+    one is not repeated, nor a window of the same licence over a unit."""
+    words = words_of(text)
+    near = index.near(words)
+    if not near:
+        return []
+    found = find_units(index, text, near)
+    return found + find_windows(index, text, words, near, found)
+
+
+def find_units(index: TemplateIndex, text: str, near: set[str]) -> list[tuple[str, str, float, int, int]]:
+    """Findings of lines, paragraphs and the whole text."""
     found, at, block, whole, block_start = [], 0, [], [], 0
     lines = text.split("\n")
 
     def add(unit, words, start, end):
-        if (got := index.best(words)) is not None:
+        if (got := index.best(words, near)) is not None:
             found.append((unit, got[1], got[0], start, end))
 
     n_block = n_blocks = block_end = 0
@@ -146,7 +282,7 @@ FINDINGS = "unit string, license string, dice double, start int, end int"
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, key: str = "doc_id",
          text: str = "text") -> DataFrame:
-    """One row per finding: ``key``, ``unit`` (line, paragraph, whole), ``license``, ``dice``,
+    """One row per finding: ``key``, ``unit`` (line, paragraph, whole, window), ``license``, ``dice``,
     ``start``, ``end`` (code points, end exclusive).
 
     A null or empty text has no findings; repeated rows and null keys are scanned like any;

@@ -184,6 +184,52 @@ def test_op3_paragraph_whole_and_edges(spark, clashing):
         licenses.TemplateIndex(licenses.TEMPLATES, 0)
 
 
+MIT_BLOCKS = [licenses.TEMPLATES["mit"].split(" The above")[0],
+              "The above" + licenses.TEMPLATES["mit"].split(" The above")[1].split(" THE SOFTWARE")[0],
+              "THE SOFTWARE" + licenses.TEMPLATES["mit"].split(" THE SOFTWARE", 1)[1]]
+CODE = "\n".join(f"def function_{i}(a{i}, b{i}):\n    return a{i} + {i} * b{i}\n" for i in range(60))
+
+
+def test_op3_licence_of_several_paragraphs_in_a_longer_file():
+    import textwrap
+
+    index = licenses.TemplateIndex(licenses.TEMPLATES, 0.8)
+    gpl = licenses.TEMPLATES["gpl-3.0-header"].split(" This program is distributed")
+    for name, blocks in (("mit", MIT_BLOCKS), ("gpl-3.0-header", [gpl[0], "This program is distributed" + gpl[1]])):
+        notice = "\n\n".join("\n".join(textwrap.wrap(b, 60)) for b in blocks)
+        text = f"Copyright (c) 2020 Somebody\n\n{notice}\n\n{CODE}\n{notice}\n\n{CODE}"
+        found = licenses.find_licenses(index, text)
+        assert [f[:3] for f in found] == [("window", name, 1.0)] * 2
+        assert [text[s:e] for *_, s, e in found] == [notice.rstrip(".")] * 2
+    apache = licenses.TEMPLATES["apache-2.0-header"].replace(" You may", "\n\nYou may").replace(" Unless", "\n\nUnless")
+    assert ("window", "apache-2.0-header") in {f[:2] for f in licenses.find_licenses(index, f"{CODE}\n{apache}\n\n{CODE}")}
+
+
+def test_op3_notice_in_mid_line():
+    index = licenses.TemplateIndex(licenses.TEMPLATES, 0.8)
+    text = "İİ the tool, written in winter by four people, is released under the MIT License and was never sold in shops"
+    (unit, name, dice, s, e), = licenses.find_licenses(index, text)
+    assert (unit, name, dice, text[s:e]) == ("window", "mit-notice", 1.0, "released under the MIT License")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("abcdefgh"), min_size=2, max_size=14),
+       st.lists(st.sampled_from("abcdefghxyz"), max_size=45), st.sampled_from([0.5, 0.8, 1.0]))
+def test_op3_every_near_window_overlaps_a_given_one(template, words, threshold):
+    index = licenses.TemplateIndex({"t": " ".join(template)}, threshold)
+    other, grams, last, before = set(zip(template, template[1:])), list(zip(words, words[1:])), {}, []
+    for i, g in enumerate(grams):
+        before.append(last.get(g, -1))
+        last[g] = i
+    dice = lambda i, j: 2 * len(set(grams[i:j + 1]) & other) / (len(set(grams[i:j + 1])) + len(other))
+    got = licenses.template_windows(index, "t", grams, before)
+    assert all(d == dice(i, j) >= threshold for d, i, j in got)
+    assert all(a[2] < b[1] for a, b in zip(got, got[1:]))
+    for i in range(len(grams)):
+        for j in range(i, min(len(grams), i + index.longest["t"])):
+            assert dice(i, j) < threshold or any(i <= b and a <= j for _, a, b in got)
+
+
 # -- op6 -------------------------------------------------------------------------------
 def brute_table(shards, size):
     h = lambda s, salt: int(hashlib.md5((s + salt).encode()).hexdigest()[:15], 16)
