@@ -13,6 +13,7 @@ holds too few bigrams is ruled out for all of its parts by one look at each bigr
 
 from __future__ import annotations
 
+import importlib.resources
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
@@ -75,6 +76,15 @@ TEMPLATES = {
 }
 
 
+def all_templates() -> dict[str, str]:
+    """Name and text of ``TEMPLATES`` and of the files in ``license_texts``: full texts, headers."""
+    files = [f for f in importlib.resources.files(__package__).joinpath("license_texts").iterdir() if f.name.endswith(".txt")]
+    texts = {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in sorted(files, key=lambda f: f.name)}
+    if both := TEMPLATES.keys() & texts.keys():
+        raise ValueError(f"two templates of one name: {sorted(both)}")
+    return TEMPLATES | texts
+
+
 def words_of(text: str) -> list[str]:
     return _WORDS.findall(text.lower())
 
@@ -212,19 +222,19 @@ def find_windows(index: TemplateIndex, text: str, words: list[str], near: set[st
         end = max(end, f[4])
     out = []
     for group in groups:
-        kept = [f for f in group if f[0] != "window"]
+        given = [f for f in group if f[0] != "window"]
+        kept = given[:]
         for f in sorted((f for f in group if f[0] == "window"), key=lambda f: (-f[2], f[1], f[3])):
             if not any(_same_place(f, k) for k in kept):
                 kept.append(f)
-        out += [f for f in kept if f[0] == "window" and not any(_part_of(index, f, k) for k in kept)]
+        out += [f for f in kept[len(given):] if not any(_part_of(index, f, k) for k in kept) and not any(
+            k[1] == f[1] and k[3] < f[4] and f[3] < k[4] for k in given)]
     return sorted(out, key=lambda f: f[3:])
 
 
 def _same_place(f, k) -> bool:
-    """Whether ``k`` says at least as much of the text of ``f``."""
+    """Whether ``k`` is over much the same text as ``f`` and at least as near."""
     common = min(f[4], k[4]) - max(f[3], k[3])
-    if k[0] != "window" and k[1] == f[1]:
-        return common > 0
     return k[2] >= f[2] and 2 * common >= max(f[4] - f[3], k[4] - k[3])
 
 
@@ -283,14 +293,15 @@ FINDINGS = "unit string, license string, dice double, start int, end int"
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, key: str = "doc_id",
          text: str = "text") -> DataFrame:
     """One row per finding: ``key``, ``unit`` (line, paragraph, whole, window), ``license``, ``dice``,
-    ``start``, ``end`` (code points, end exclusive).
+    ``start``, ``end`` (code points, end exclusive). ``templates``: name to text, a bounded table
+    (several for one licence are fine); by default ``all_templates()``.
 
     A null or empty text has no findings; repeated rows and null keys are scanned like any;
     of two templates equally near, the first name is given; empty in, empty out. Texts are
     read once, nothing is shuffled.
     """
     ship(docs.sparkSession)
-    templates = TEMPLATES if templates is None else templates
+    templates = all_templates() if templates is None else templates
     rows = docs.select(F.col(key).alias("key"), text_of(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
 

@@ -205,6 +205,24 @@ def test_op3_licence_of_several_paragraphs_in_a_longer_file():
     assert ("window", "apache-2.0-header") in {f[:2] for f in licenses.find_licenses(index, f"{CODE}\n{apache}\n\n{CODE}")}
 
 
+def test_op3_every_template_is_found_alone_and_in_a_longer_text():
+    texts = licenses.all_templates()
+    index, flat = licenses.TemplateIndex(texts, 0.8), " ".join(CODE.split())
+    assert {"bsd-2-clause", "bsd-3-clause", "unlicense", "gpl-2.0", "gpl-3.0", "lgpl-2.1", "lgpl-3.0", "agpl-3.0", "epl-2.0",
+            "apache-2.0", "mpl-2.0", "cc0-1.0"} | set(licenses.TEMPLATES) <= set(texts)
+    for name, text in texts.items():
+        assert (name, 1.0) in {f[1:3] for f in licenses.find_licenses(index, text)}
+        found = licenses.find_licenses(index, f"{flat} {text} {flat}")
+        assert max((f for f in found if f[0] in ("window", "whole")), key=lambda f: f[2])[1] == name
+        assert {f[1] for f in found if f[0] == "window"} <= {name}
+
+
+def test_op3_query_finds_full_texts(spark):
+    texts = licenses.all_templates()
+    rows = spark.createDataFrame([(n, texts[n]) for n in ("bsd-3-clause", "gpl-3.0")], "doc_id string, text string")
+    assert {("bsd-3-clause",) * 2, ("gpl-3.0",) * 2} <= {(r.doc_id, r.license) for r in licenses.scan(rows).collect()}
+
+
 def test_op3_notice_in_mid_line():
     index = licenses.TemplateIndex(licenses.TEMPLATES, 0.8)
     text = "İİ the tool, written in winter by four people, is released under the MIT License and was never sold in shops"
