@@ -27,14 +27,29 @@ _ASSIGN = re.compile(
     r"|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # = 18 or more characters; a run is maximal either way
 _HEX = re.compile(r"[0-9a-f]{16,}")
-# -- rules that the method adds: tokens with a public prefix, private key headers --------
+# -- rules that the method adds: tokens with a public prefix, private keys in PEM ---------
 _GITHUB = re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}")
 _PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
-RULE_VERSION = "2"
+_PEM_END = re.compile(r"-----END [A-Z ]*PRIVATE KEY-----")
+# a line break, also one written as an escape, with quotes, commas or comment signs around it
+_BREAK = r"""(?:(?:\\r)?\\n|(?:\\r)?(?:\\n)?[ \t"',\\]*(?:\+[ \t]*)?\r?\n[ \t"'>#*]*)"""
+# what follows a header that has no END: lines "Name: value" with a blank line, then base64 lines
+_PEM_BODY = re.compile(
+    rf"(?:{_BREAK}(?:Proc-Type|DEK-Info|Comment|[A-Z][A-Za-z]*-[A-Z][A-Za-z-]*):[^\r\n\\]*)*(?:{_BREAK}(?={_BREAK}))?"
+    rf"""(?:{_BREAK}[A-Za-z0-9+/]+={{0,2}}(?=[ \t"',+\\]*(?:\r?\n|\Z)|\\[rn]))*""")
+RULE_VERSION = "3"
 
 LEDGER_SCHEMA = "blob string, spans string, n_assign long, n_access long, n_hex long, base string"
 
 
+def _pem_end(text: str, at: int) -> int:
+    """Where the key ends whose header ends at ``at``: at its END line, which no other header
+    comes before; without one, after the base64 lines that follow."""
+    other = text.find("-----BEGIN ", at)
+    end = _PEM_END.search(text, at, other if other >= 0 else len(text))
+    return (end or _PEM_BODY.match(text, at)).end()
+
+
 def find_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's place in KINDS, end), sorted."""
     out = []
@@ -46,7 +61,7 @@ def find_spans(text: str) -> list[tuple[int, int, int]]:
     if "gh" in text:
         out += [(m.start(), 3, m.end()) for m in _GITHUB.finditer(text)]
     if "-----BEGIN" in text:
-        out += [(m.start(), 4, m.end()) for m in _PEM.finditer(text)]
+        out += [(m.start(), 4, _pem_end(text, m.end())) for m in _PEM.finditer(text)]
     return sorted(out)
 
 

@@ -80,6 +80,43 @@ def test_op1_edges(spark, clashing, tmp_path):
     assert empty.count() == 0
 
 
+def pem_texts():
+    import base64
+
+    body = base64.b64encode(bytes(range(256)) * 3 + b"tail").decode()
+    lines = [body[i:i + 64] for i in range(0, len(body), 64)]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    more = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123456789ABCDEF", ""]
+    return lines, {
+        "whole": "\n".join([begin, *lines, end]), "crlf": "\r\n".join([begin, *lines, end]),
+        "no end": "\n".join([begin, *lines]), "no end, crlf": "\r\n".join([begin, *lines]),
+        "encrypted": "\n".join([begin, *more, *lines, end]), "encrypted, no end": "\n".join([begin, *more, *lines]),
+        "escaped": "\\n".join([begin, *lines, end]), "escaped, no end": "\\n".join([begin, *lines]),
+        "indented, no end": "\n    ".join([begin, *lines]),
+        "quoted, no end": '" +\n  "'.join(x + "\\n" for x in [begin, *lines]),
+        "other label": "\n".join([begin, *lines, "-----END PRIVATE KEY-----"])}
+
+
+@pytest.mark.parametrize("name", pem_texts()[1])
+def test_op1_no_line_of_a_private_key_is_left(name):
+    lines, texts = pem_texts()
+    text = f"Some words before.\n{texts[name]}\nSome words after it.\n{texts['no end']}\n\nand {texts['whole']} the end"
+    spans = ",".join(f"{blob_ledger.KINDS[k]}:{s}:{e}" for s, k, e in blob_ledger.find_spans(text))
+    left = blob_ledger.cover(text, spans, "[secret]")
+    assert not any(x[:12] in left for x in lines) and "PRIVATE KEY" not in left
+    assert left.startswith("Some words before.\n[secret]") and "Some words after it.\n[secret]" in left
+    assert left.endswith("and [secret] the end")
+
+
+def test_op1_private_keys_leave_the_table_too(spark, tmp_path):
+    lines, texts = pem_texts()
+    rows = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    for r in blob_ledger.redact(rows, blob_ledger.BlobLedger(spark, str(tmp_path / "pem")), "1").collect():
+        assert not any(x[:12] in r.text for x in lines)
+    talk = "a header is -----BEGIN PRIVATE KEY----- and nothing of this sentence is a key"
+    assert blob_ledger.find_spans(talk) == [(12, 4, 39)]
+
+
 # -- op2 -------------------------------------------------------------------------------
 def brute_targets(sizes):
     order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
