@@ -45,14 +45,18 @@ class WordEncoder:
     """Ids (little-endian unsigned 32 bit) of whole texts by a word-level BPE with word ends.
 
     White space always ends a word, so a text's ids are its words' ids in a row; frequent
-    words are remembered. Words outside the plain letters go to the tokenizer itself.
+    words are remembered. Words outside the plain letters go to the tokenizer itself, and so do
+    whole texts that hold an added token, such as ``<|endoftext|>``.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
-        self.full.encode_special_tokens = True
+        added = self.full.get_added_tokens_decoder().values()
+        if any(t.normalized for t in added):
+            raise ValueError(f"{path}: added tokens that are looked for in normalized texts are not supported")
+        self.added = re.compile("|".join(re.escape(t.content) for t in added) or r"(?!)")
         self.model = self.full.model
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in kept]
@@ -85,7 +89,7 @@ class WordEncoder:
         return got
 
     def __call__(self, text: str) -> bytes:
-        if _ODD_SPACE.search(text):
+        if _ODD_SPACE.search(text) or self.added.search(text):
             return self._ids(text)
         known = self.words.get
         return b"".join([known(w) or self._word(w) for w in text.split()])

@@ -388,6 +388,20 @@ def test_word_encoder_equals_the_tokenizer(text):
     assert np.frombuffer(enc(text), "<u4").tolist() == enc.full.encode(text, add_special_tokens=False).ids
 
 
+def test_op8_added_tokens_have_their_own_ids(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer("word_bpe_49k.json")
+    fresh, enc = Tokenizer.from_file(path), packing.WordEncoder(path)
+    texts = ["hello <|endoftext|> world", "a<|endoftext|>b", "<|startoftext|>", "x <|startoftext|>  <|endoftext|>\x85 y",
+             "<|ENDOFTEXT|> <| endoftext |>", "<|endoftext", "plain words"]
+    want = {i: fresh.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+    assert want[0] == [3306, 49407, 1002]
+    assert {i: np.frombuffer(enc(t), "<u4").tolist() for i, t in enumerate(texts)} == want
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check_pieces(queries.digest_pieces(packing.pack(rows, path)).collect(), {i: ids + [1] for i, ids in want.items()})
+
+
 # -- op10 ------------------------------------------------------------------------------
 PATH = queries.tokenizer("byte_bpe_50k.tiktoken")
 
