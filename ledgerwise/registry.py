@@ -282,7 +282,8 @@ register("i08_churn_risk_table_fixed_score")(lambda s, d: churn.churn_risk_table
 register("k01_chronic_late_fixed_score")(lambda s, d: findings.chronic_late(_listed(_w(s, d))))
 register("k02_worsening_trend_fixed_score")(lambda s, d: findings.worsening_trend(_listed(_w(s, d))))
 register("h16_churn_distribution_fixed_score")(lambda s, d: findings.churn_distribution(_fixed_pred(_w(s, d))))
-register("g15_snapshot_revenue")(lambda s, d: findings.snapshot_revenue(_w(s, d)["fact_subscription_snapshot"]))
+register("g15_snapshot_revenue")(lambda s, d: (lambda w: findings.snapshot_revenue(
+    w["fact_subscription_snapshot"], w["dim_customer"]))(_w(s, d)))
 register("g16_mrr_at_risk_fixed_score")(
     lambda s, d: (lambda w: findings.mrr_at_risk(_listed(w), w["feature_customer_churn"]))(_w(s, d)))
 register("h15_billing_delay_trend")(lambda s, d: findings.billing_delay_trend(_wl(s, d)["fact_billing_monthly"]))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import AS_OF
 from ledgerwise.operators import churn, staging
-from ledgerwise.plans import sync_jobs
+from ledgerwise.plans import findings, sync_jobs
 
 
 def _scratch():
@@ -140,3 +140,22 @@ def test_version_starting_after_the_snapshot_is_overwritten(spark):
     later = spark.createDataFrame([(1, 1, "A", "Y", dt.date(2026, 9, 20), "ACTIVE", dt.datetime(2026, 8, 2))], row)
     out = dims.scd2_merge(dim, later, dt.date(2026, 8, 2)).collect()
     assert len(out) == 1 and out[0]["city"] == "Y" and out[0]["valid_to"] is None
+
+
+def test_snapshot_revenue_counts_a_customer_once_after_a_status_change(spark, seed):
+    store = staging.StateStore(spark, _scratch() + "/store")
+    sync_jobs.run_subscription_sync(spark, seed, store, dt.datetime(2026, 9, 1), dt.date(2026, 9, 1),
+                                    now=dt.datetime(2026, 9, 1, 1))
+    revenue = lambda: tuple(findings.snapshot_revenue(
+        store.read("fact_subscription_snapshot"), store.read("dim_customer")).first())
+    n, mrr, _ = revenue()
+    src = dict(seed)
+    changed = F.lit("2026-09-02 08:00:00").cast(seed["customer_subscription"].schema["updated_at"].dataType)
+    for table in ("customer_subscription", "customer"):
+        mine = F.col("customer_id" if table == "customer_subscription" else "id") == 1002
+        src[table] = seed[table].withColumn("status", F.when(mine, "TERMINATED").otherwise(F.col("status"))).withColumn(
+            "updated_at", F.when(mine, changed).otherwise(F.col("updated_at")))
+    sync_jobs.run_subscription_sync(spark, src, store, dt.datetime(2026, 9, 3), dt.date(2026, 9, 3),
+                                    now=dt.datetime(2026, 9, 3, 1))
+    assert store.read("dim_customer").where("customer_id = 1002").count() == 2
+    assert revenue()[:2] == (n - 1, mrr - 550000)
