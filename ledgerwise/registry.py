@@ -457,6 +457,18 @@ def _written_bills(s, d):
 
 
 register("b10_billing_first_facts")(_written_bills)
+
+
+def _replayed_bills(s, d):
+    """Facts as the replay alone leaves them, billing having run before its customers were known."""
+    store = _staging.StateStore(s, shared_dir(s, f"store-{_uuid.uuid4().hex}"))
+    src = bridge.erp_tables(s, d)
+    sync_jobs.run_billing_sync(s, src, store, warehouse.UNTIL, AS_OF, now=_dt.datetime(2001, 8, 2, 0, 5))
+    sync_jobs.run_subscription_sync(s, src, store, warehouse.UNTIL, AS_OF, now=_dt.datetime(2001, 8, 2, 0, 10))
+    return _bill_out(store.read("fact_billing_monthly"), store.read("dim_customer"))
+
+
+register("b10_replayed_facts")(_replayed_bills)
 register("b02_written_payments")(
     lambda s, d: staging.latest_by_source(_billing_first(s, d).read_log("stg_sales_payment"), "source_id",
                                           ("loaded_at", "batch_id")).select(
