@@ -59,9 +59,9 @@ def test_query_matches_oracle(spark, duck, name):
 
 
 def test_every_query_has_an_oracle_but_the_fitted_model():
-    import __spark_entry__ as E
+    from ledgerwise import oracle, registry
 
-    missing = sorted(set(E.queries()) - set(E.oracle_sql()))
+    missing = sorted(set(registry.QUERIES) - set(oracle.SQL))
     assert missing == ["j12_validation_metrics", "j13_feature_importance", "j14_score_batch"]
 
 
@@ -80,16 +80,17 @@ def test_plan_audit_flags_bad_plans_and_passes_bounded_ones(spark):
 
 
 def test_registered_plans_pass_the_audit(spark):
-    import __spark_entry__ as E
     from plan_audit import audit, plan_text
 
+    from ledgerwise import registry
+
     # the sample by default; LEDGERWISE_FULL_AUDIT=1 audits every query (tools/plan_audit.py does too)
-    names = SAMPLE if not os.environ.get("LEDGERWISE_FULL_AUDIT") else list(E.queries())
+    names = SAMPLE if not os.environ.get("LEDGERWISE_FULL_AUDIT") else list(registry.QUERIES)
     flagged = {}
     for name in names:
         if name in ("j12_validation_metrics", "j13_feature_importance", "j14_score_batch"):  # fit a model
             continue
-        fn = E.queries()[name]
+        fn = registry.QUERIES[name]
         notes = audit(plan_text(fn(spark, SF_DIR)))
         if notes:
             flagged[name] = notes
