@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import ann, blob_ledger, licenses, metric_join, minhash, mixing, packing, shard, token_counts, toxicity, whitening
+from . import ann, blob_ledger, licenses, metric_join, minhash, mixing, packing, rare_features, shard, token_counts, toxicity, whitening
 from .common import table
 
 #: Folder of the public tokenizers' files; None: the installed package's.
@@ -99,6 +99,10 @@ def standard_edits():
         F.struct(F.greatest(n, F.lit(0)).alias("start"), (n + 20).alias("end"), F.lit("\nEnd.").alias("replacement")))
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rare_features.fingerprint(table(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
     each = rows.select("vec_id", "n", "deviation", "explained", "identity_error", F.posexplode("whitened").alias("at", "whitened"))
@@ -117,5 +121,6 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_token_counts": op10_token_counts,
+    "op12_fingerprints": op12_fingerprints,
     "op13_whitening": op13_whitening,
 }
