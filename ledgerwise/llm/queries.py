@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import ann, blob_ledger, licenses, metric_join, minhash, mixing, packing, rare_features, shard, token_counts, toxicity, whitening
+from . import (ann, blob_ledger, hard_negatives, licenses, metric_join, minhash, mixing, packing, rare_features, shard,
+               token_counts, toxicity, whitening)
 from .common import table
 
 #: Folder of the public tokenizers' files; None: the installed package's.
@@ -99,6 +100,13 @@ def standard_edits():
         F.struct(F.greatest(n, F.lit(0)).alias("start"), (n + 20).alias("end"), F.lit("\nEnd.").alias("replacement")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").where(F.col("label").isNotNull() & whitening.complete("embedding"))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    noisy = rows.select("vec_id", label.alias("label"), hard_negatives.whole_numbers("embedding").alias("x"))
+    return hard_negatives.mine(noisy, "vec_id % 100 = 0")
+
+
 def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rare_features.fingerprint(table(spark, sf_dir, "documents"))
 
@@ -121,6 +129,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_token_counts": op10_token_counts,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_fingerprints": op12_fingerprints,
     "op13_whitening": op13_whitening,
 }
