@@ -340,10 +340,9 @@ def fingerprint(docs: DataFrame, counts: np.ndarray | None = None, key: str = "d
     tails = walked.where("last").select("key", "part", "text").join(order, "part").join(starts, "next_part")
     done = tails.select("key", "text", "after").mapInArrow(_edge(rank, _arrow_schema(spark, head)), head)
     out = walked.where("NOT last").select("key", *_NAMES).unionByName(done)
-    return out.select(
-        F.col("key").alias(key), "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"),
-        F.base64("fingerprint").alias("fingerprint"), F.base64("edited_fingerprint").alias("edited_fingerprint"),
-        "near_edited", "near_next")
+    as_text = lambda c: F.translate(F.base64(c), "\r\n", "").alias(c)  # noqa: E731  (Spark may break lines)
+    return out.select(F.col("key").alias(key), "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"),
+                      as_text("fingerprint"), as_text("edited_fingerprint"), "near_edited", "near_next")
 
 
 def _arrow_schema(spark, ddl: str) -> pa.Schema:
