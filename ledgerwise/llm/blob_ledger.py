@@ -14,7 +14,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, ship, text_of, with_row
@@ -107,6 +107,11 @@ class BlobLedger:
         found.write.mode("overwrite").parquet(f"{self.path}/run={run}")
 
 
+def _bucket(blob: str) -> Column:
+    """One of 2^20 buckets: a set of them is a broadcast of a bounded size."""
+    return F.pmod(F.xxhash64(blob), F.lit(1 << 20)).cast("int").alias("_b")
+
+
 def _findings(ledger: BlobLedger) -> DataFrame:
     """One row per blob with findings, written once: a join with it can split a hot blob's paths."""
     found = ledger.read().where("spans <> ''").groupBy("blob").agg(
@@ -122,24 +127,23 @@ def scan_versions(versions: DataFrame, ledger: BlobLedger, run: str, key: str =
     ``base`` and ``spans`` (strings of spans). A null text is the empty text; a null or
     repeated key is a path like any other; an empty table gives an empty result.
 
-    Texts move once, and only those that must be scanned: one row stands for each unseen
-    blob. Keys and hashes of all rows are written to the shared folder first.
+    Texts move once, and only those that must be scanned: a fixed-size broadcast drops most
+    others in the scan, copies are reduced to one row per blob in every task before they move,
+    and each unseen blob is scanned once. Keys and hashes of all rows are written to the
+    shared folder first.
     """
     ship(versions.sparkSession)
     rows = versions.select(F.col(key).alias("path"), text_of(text).alias("text")).withColumn(
         "blob", F.sha2("text", 256))
     paths = materialize(rows.select("path", "blob"), "blobs")
-    # one path per blob; min() of a struct keeps a null path, which min() of the path would skip
-    unseen = paths.groupBy("blob").agg(F.min(F.struct("path")).alias("s")).select("blob", F.col("s.path").alias("path"))
+    unseen = paths.select("blob").distinct()
     seen = ledger.read()
     if seen is not None:
         unseen = unseen.join(seen.select("blob").distinct(), "blob", "left_anti")
     unseen = materialize(unseen, "unseen")
-    todo = rows.alias("r").join(
-        unseen.alias("u"), (F.col("r.blob") == F.col("u.blob")) & F.col("r.path").eqNullSafe(F.col("u.path")),
-        "left_semi").select("blob", "text")
+    new = rows.select("blob", "text", _bucket("blob")).join(F.broadcast(unseen.select(_bucket("blob")).distinct()), "_b", "left_semi")
+    todo = new.groupBy("blob").agg(F.first("text").alias("text")).join(unseen, "blob", "left_semi")
     ledger.append(todo.mapInPandas(_scan, LEDGER_SCHEMA), run)
-    # a version repeated under one path is scanned per row: equal blobs, equal results
     found = _findings(ledger)
     zero, none = F.lit(0).cast("long"), F.lit("")
     return paths.join(found, "blob", "left").select(
@@ -151,19 +155,24 @@ def redact(docs: DataFrame, ledger: BlobLedger, run: str, key: str = "doc_id", t
            mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span that the scan finds replaced by ``mark`` (overlapping spans by one).
 
-    All rows stay; other columns are as they were, a null text too.
+    All rows stay; other columns are as they were, a null text too. Rows whose text shares no
+    hash bucket with a blob that has findings do not move.
     """
     scan_versions(docs, ledger, run, key, text)
     found = ledger.read().where("spans <> ''").select(F.col("blob").alias("hit"), "spans").dropDuplicates(["hit"])
-    rows = with_row(docs, blob=F.sha2(text_of(text), 256), text=F.col(text)).join(
-        materialize(found, "hits"), F.col("blob") == F.col("hit"), "left")
+    found = materialize(found, "hits")
+    blob = F.sha2(text_of(text), 256)
+    tagged = with_row(docs, blob=blob, text=F.col(text)).withColumn("_b", _bucket("blob"))
+    buckets = F.broadcast(found.select(_bucket("hit")).distinct())
+    far = tagged.join(buckets, "_b", "left_anti").select("row.*")
+    rows = tagged.join(buckets, "_b", "left_semi").join(found, F.col("blob") == F.col("hit"), "left")
 
     @F.pandas_udf("string")
     def blank(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([cover(t, s, mark) for t, s in zip(texts, spans)], dtype=object)
 
     # only rows with findings go through Python
-    clean = rows.where("spans IS NULL").select("row.*")
+    clean = far.unionByName(rows.where("spans IS NULL").select("row.*"))
     hit = rows.where("spans IS NOT NULL").select("row", blank("text", "spans").alias("text"))
     out = hit.select(*[(F.col("text") if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
     return clean.unionByName(out)

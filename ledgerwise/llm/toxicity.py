@@ -5,128 +5,265 @@ that tell the category apart (words and beginnings of words, the best by chi-squ
 probabilities of the categories before it. While training, those probabilities come from
 models that did not see the row (out-of-fold predictions, terms chosen anew for each), so a
 later model meets inputs as reliable as those it gets on unseen documents.
+
+Terms are 32-bit hashes. The whole chain is fitted by one task on the bounded sample of labelled
+documents, with sparse matrices; every document is then scored in one pass over its words.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
+import re
+import zlib
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizerModel, RegexTokenizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of, with_row
+from .common import materialize, ship, text_of, with_row
 
 #: The fit reads at most this many labelled documents, those with the smallest hashes of their keys.
 SAMPLE_ROWS = 20_000
-FOLDS, FIT_TASKS = 3, 8
+FOLDS = 3
 #: Terms of a model, and the labelled documents that must hold a term.
 TERMS, LEAST_DOCS = 1000, 3
 #: Lengths of the words' beginnings that are terms of their own.
 BEGINNINGS = (4, 5)
 #: Rejecting probability: toxic documents are rare among the labels, so well under a half.
 THRESHOLD = 0.25
+#: Of the solver: weight of the squared weights in the mean loss, steps, steps remembered, smallest gradient.
+DECAY, STEPS, REMEMBERED, FLAT = 1e-4, 60, 10, 1e-6
+#: Words whose terms are remembered.
+MEMORY = 300_000
 
+_WORD = re.compile(r"[^\W_]+")
 
-@dataclass
-class Model:
-    """One link of a chain: a term vocabulary and weights, or (without either) a constant."""
-
-    terms: CountVectorizerModel | None
-    weights: LogisticRegressionModel | None
-    constant: float = 0.0
-
-
-@dataclass
-class Chain:
-    categories: list[str]
-    models: list[Model]
-
-    def apply(self, rows: DataFrame) -> DataFrame:
-        """Add ``p_<category>`` for every category, in the order of the chain."""
-        for i, (name, model) in enumerate(zip(self.categories, self.models)):
-            rows = _score(rows, model, self.categories[:i], f"p_{name}")
-        return rows
 
+def _hash(term: str) -> int:
+    return zlib.crc32(term.encode("utf-8", "surrogatepass"))
 
-def with_words(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``_words``: the whole text's lower-case words."""
-    words = RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"[^\p{L}\p{N}]+", toLowercase=True)
-    return words.transform(docs.withColumn("_text", text_of(text))).drop("_text")
 
+class _Terms(dict):
+    """Word to the hashes of its terms: itself and its beginnings, which carry over to inflected words
+    that no label has shown; with ``known``, to the places of those that it holds."""
 
-def with_terms(rows: DataFrame) -> DataFrame:
-    """``_words`` to ``_terms``: the words and their beginnings, which carry over to inflected
-    words that no label has shown."""
-    starts = [F.expr(f"transform(_words, w -> concat('{n}:', substring(w, 1, {n})))") for n in BEGINNINGS]
-    return rows.withColumn("_terms", F.concat("_words", *starts)).drop("_words")
+    def __init__(self, known: dict[int, int] | None = None):
+        super().__init__()
+        self.known = known
 
+    def __missing__(self, word: str) -> tuple:
+        if len(self) >= MEMORY:
+            self.clear()
+        terms = {_hash(word), *(_hash(f"{n}:{word[:n]}") for n in BEGINNINGS)}
+        if self.known is not None:
+            terms = {self.known[t] for t in terms if t in self.known}
+        out = self[word] = tuple(terms)
+        return out
 
-def _inputs(df: DataFrame, model: CountVectorizerModel, before: list[str]) -> DataFrame:
-    cols = ["_vec", *[f"p_{c}" for c in before]]
-    return VectorAssembler(inputCols=cols, outputCol="_x").transform(model.transform(df))
 
+def terms_of(text: str, memory: _Terms) -> list[int]:
+    """The whole text's distinct terms, sorted."""
+    out: set = set()
+    for word in set(_WORD.findall(text.lower())):
+        out.update(memory[word])
+    return sorted(out)
 
-def _best_terms(df: DataFrame, label: str, n: float, positive: float, terms: int) -> list[str]:
-    """The ``terms`` terms whose presence depends most on the label (chi-squared), from sums per term."""
-    per = df.select(label, F.explode(F.array_distinct("_terms")).alias("term")).groupBy("term").agg(
-        F.count(F.lit(1)).cast("double").alias("has"), F.sum(label).alias("both")).where(F.col("has") >= LEAST_DOCS)
-    off = F.col("both") * n - F.col("has") * positive
-    score = off * off / (F.col("has") * (n - F.col("has") + 1.0))
-    return [r["term"] for r in per.orderBy(score.desc(), "term").limit(terms).collect()]
 
+@dataclass
+class Model:
+    """One link of a chain: weights of terms and of the categories before it, or a constant."""
+
+    terms: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    before: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    intercept: float = 0.0
+    constant: float | None = None
+
+    def predict(self, rows: np.ndarray, terms: np.ndarray, n: int, before: np.ndarray) -> np.ndarray:
+        """Probabilities of ``n`` documents, given as (document, term) pairs and earlier probabilities."""
+        if self.constant is not None:
+            return np.full(n, self.constant)
+        margin = np.full(n, self.intercept) + before @ self.before
+        if len(self.terms):
+            at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+            hit = self.terms[at] == terms
+            margin += np.bincount(rows[hit], weights=self.weights[at[hit]], minlength=n)
+        return sigmoid(margin)
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
+
+
+def best_terms(codes: np.ndarray, rows: np.ndarray, y: np.ndarray, width: int, limit: int = TERMS) -> np.ndarray:
+    """The ``limit`` codes whose presence depends most on ``y`` (chi-squared), in order of their codes."""
+    n, positive = float(len(y)), float(y.sum())
+    has = np.bincount(codes, minlength=width).astype(np.float64)
+    both = np.bincount(codes, weights=y[rows], minlength=width)
+    off = both * n - has * positive
+    score = np.where(has >= LEAST_DOCS, off * off / (has * (n - has + 1) + 1e-300), -1.0)
+    best = np.lexsort((np.arange(width), -score))[:limit]
+    return np.sort(best[score[best] >= 0])
+
+
+def minimise(loss, start: np.ndarray) -> np.ndarray:
+    """Limited-memory BFGS with a halving line search; ``loss`` returns value and gradient."""
+    x, (value, grad) = start, loss(start)
+    kept: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(STEPS):
+        if np.abs(grad).max() < FLAT:
+            break
+        way = -grad
+        used = []
+        for s, d, rho in reversed(kept):
+            a = rho * (s @ way)
+            way = way - a * d
+            used.append(a)
+        if kept:
+            s, d, _ = kept[-1]
+            way = way * ((s @ d) / (d @ d))
+        for (s, d, rho), a in zip(kept, reversed(used)):
+            way = way + (a - rho * (d @ way)) * s
+        slope = grad @ way
+        step = 1.0 if kept else min(1.0, 1.0 / max(np.abs(grad).sum(), 1e-12))
+        while step > 1e-10:
+            new_value, new_grad = loss(x + step * way)
+            if new_value <= value + 1e-4 * step * slope:
+                break
+            step /= 2
+        else:
+            break
+        moved, turned = step * way, new_grad - grad
+        x, value, grad = x + moved, new_value, new_grad
+        if moved @ turned > 1e-12:
+            kept = [*kept, (moved, turned, 1 / (moved @ turned))][-REMEMBERED:]
+    return x
+
+
+def fit(rows: np.ndarray, codes: np.ndarray, names: np.ndarray, before: np.ndarray, y: np.ndarray) -> Model:
+    """A model of ``y`` from (document, code) pairs and earlier probabilities; ``names``: codes' terms.
+
+    Without two classes the model is a constant, without terms and earlier categories the rate."""
+    n, positive = len(y), float(y.sum())
+    if positive in (0.0, float(n)):
+        return Model(constant=float(n > 0 and positive == n))
+    chosen = best_terms(codes, rows, y, len(names))
+    if not len(chosen):
+        return Model(constant=positive / n)
+    place = np.full(len(names), -1)
+    place[chosen] = np.arange(len(chosen))
+    col = place[codes]
+    r, c = rows[col >= 0], col[col >= 0]
+    k, e = len(chosen), before.shape[1]
+
+    def loss(w):
+        margin = np.bincount(r, weights=w[c], minlength=n) + before @ w[k:k + e] + w[-1]
+        value = np.logaddexp(0, margin).sum() - (y * margin).sum()
+        off = sigmoid(margin) - y
+        grad = np.concatenate([np.bincount(c, weights=off[r], minlength=k), before.T @ off, [off.sum()]]) / n
+        grad[:-1] += DECAY * w[:-1]
+        return value / n + DECAY / 2 * (w[:-1] @ w[:-1]), grad
+
+    w = minimise(loss, np.zeros(k + e + 1))
+    return Model(names[chosen], w[:k], w[k:k + e], float(w[-1]))
+
+
+def fit_models(terms: list[np.ndarray], y: np.ndarray, fold: np.ndarray, folds: int = FOLDS) -> tuple[list[Model], np.ndarray]:
+    """The chain's models for the columns of ``y`` (documents x categories, 0 or 1), and the
+    out-of-fold probabilities that later models were fitted with.
+
+    A document's probability comes from a model of all other folds' documents, whose own inputs were
+    out-of-fold too. A document whose fold holds all documents gets a constant."""
+    n, many = y.shape
+    rows = np.repeat(np.arange(n), [len(t) for t in terms])
+    names, codes = np.unique(np.concatenate([np.zeros(0, np.int64), *terms]).astype(np.int64), return_inverse=True)
+    unseen, models = np.zeros((n, many)), []
+    for i in range(many):
+        models.append(fit(rows, codes, names, unseen[:, :i], y[:, i]))
+        if i == many - 1:
+            break
+        for k in range(folds):
+            own = fold == k
+            if not own.any():
+                continue
+            place = np.cumsum(~own) - 1
+            others = ~own[rows]
+            model = fit(place[rows[others]], codes[others], names, unseen[~own, :i], y[~own, i])
+            place = np.cumsum(own) - 1
+            unseen[own, i] = model.predict(place[rows[~others]], names[codes[~others]], int(own.sum()), unseen[own, :i])
+    return models, unseen
 
-def _fit(df: DataFrame, before: list[str], label: str) -> Model:
-    n, positive = df.agg(F.count(F.lit(1)), F.sum(label)).first()
-    if not n or positive in (0, n):  # nothing to tell apart
-        return Model(None, None, float(bool(n) and positive == n))
-    vocabulary = _best_terms(df, label, float(n), float(positive), TERMS)
-    if not vocabulary:
-        return Model(None, None, positive / n)
-    terms = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="_terms", outputCol="_vec", minTF=1.0)
-    terms.setBinary(True)
-    lr = LogisticRegression(featuresCol="_x", labelCol=label, maxIter=40, regParam=1e-4, standardization=False,
-                            probabilityCol="_p", rawPredictionCol="_r", predictionCol="_c")
-    return Model(terms, lr.fit(_inputs(df, terms, before)))
 
+@dataclass
+class Chain:
+    categories: list[str]
+    models: list[Model]
 
-def _score(df: DataFrame, model: Model, before: list[str], name: str) -> DataFrame:
-    if model.weights is None:
-        return df.withColumn(name, F.lit(model.constant))
-    scored = model.weights.transform(_inputs(df, model.terms, before))
-    return scored.withColumn(name, vector_to_array("_p")[1]).drop("_vec", "_x", "_p", "_r", "_c")
+    def scorer(self):
+        """A column function: text to its probabilities, in the order of the chain."""
+        models = self.models
+        union = np.unique(np.concatenate([np.zeros(0, np.int64), *[m.terms for m in models]]))
+        weights = np.zeros((len(models), len(union)))
+        for i, m in enumerate(models):
+            weights[i, np.searchsorted(union, m.terms)] = m.weights
+        known = {t: i for i, t in enumerate(union.tolist())}
+
+        @F.pandas_udf("array<double>")
+        def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            memory = _Terms(known)
+            for texts in batches:
+                p = np.zeros((len(texts), len(models)))
+                margin = np.array([weights[:, terms_of(t, memory)].sum(axis=1) for t in texts]).reshape(len(texts), -1)
+                for i, m in enumerate(models):
+                    p[:, i] = m.constant if m.constant is not None else sigmoid(
+                        margin[:, i] + m.intercept + p[:, :i] @ m.before)
+                yield pd.Series(list(p))
+
+        return score
+
+    def probabilities(self, text: Column) -> Column:
+        return self.scorer()(F.coalesce(text, F.lit("")))
+
+
+def _gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    memory = _Terms()
+    for batch in batches:
+        found = [terms_of(t, memory) for t in batch.column("text").to_pylist()]
+        keep = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(found, pa.list_(pa.int64()))],
+                                         names=[*keep, "terms"])
+
+
+def _fit_task(categories: int, folds: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("fold_key")  # the same chain whatever order the rows come in
+        y = pdf[[f"y{i}" for i in range(categories)]].to_numpy(np.float64)
+        models, _ = fit_models(pdf["terms"].tolist(), y, pdf["fold"].to_numpy(), folds)
+        return pd.DataFrame([{
+            "category": i, "terms": m.terms.astype("<i8").tobytes(), "weights": m.weights.astype("<f8").tobytes(),
+            "before": m.before.astype("<f8").tobytes(), "intercept": m.intercept, "constant": m.constant}
+            for i, m in enumerate(models)]).astype({"constant": "float64"})
+
+    return run
 
 
 def fit_chain(labelled: DataFrame, categories: list[str], folds: int = FOLDS) -> Chain:
-    """``labelled``: ``fold_key`` (unique), ``_words`` and one 0 / 1 column per category, no nulls.
-
-    Every category but the last is fitted ``folds`` + 1 times: once per fold for out-of-fold
-    probabilities, once on all rows for use. A category that has one value only gets a
-    constant model (its rate).
-    """
-    spark, models = labelled.sparkSession, []
-    # a bounded sample in few partitions: every step of a fit is a job over all of them
-    df = with_terms(labelled.coalesce(FIT_TASKS)).withColumn("_fold", F.pmod(F.xxhash64("fold_key", F.lit(11)), F.lit(folds)).cast("int"))
-    for i, name in enumerate(categories):
-        before = categories[:i]
-        if i == len(categories) - 1:
-            models.append(_fit(df, before, name))
-            break
-        sets = [df, *[df.where(F.col("_fold") != k) for k in range(folds)]]
-        with ThreadPool(len(sets)) as pool:  # independent fits run side by side
-            whole_model, *fold_models = pool.map(inheritable_thread_target(spark)(
-                lambda rows, before=before, name=name: _fit(rows, before, name)), sets)
-        models.append(whole_model)
-        parts = [_score(df.where(F.col("_fold") == k), m, before, f"p_{name}").select("fold_key", f"p_{name}")
-                 for k, m in enumerate(fold_models)]
-        whole = parts[0]
-        for part in parts[1:]:
-            whole = whole.unionByName(part)
-        df = df.join(F.broadcast(materialize(whole, "oof")), "fold_key")  # at most the sample's rows
+    """``labelled``: ``fold_key`` (unique), ``terms`` and 0 / 1 columns ``y0``, ``y1``, ... per category, no nulls.
+
+    One job with one task that holds the bounded sample's terms. A category that has one value only
+    gets a constant model (its rate), and so has every category without labelled documents (0)."""
+    rows = labelled.withColumn("fold", F.pmod(F.xxhash64("fold_key", F.lit(11)), F.lit(folds)).cast("int"))
+    found = rows.groupBy().applyInPandas(
+        _fit_task(len(categories), folds),
+        "category int, terms binary, weights binary, before binary, intercept double, constant double").collect()
+    models = [Model(constant=0.0) for _ in categories]
+    for r in found:
+        get = lambda c, kind, r=r: np.frombuffer(bytes(r[c]), kind).copy()
+        constant = None if r["constant"] is None or np.isnan(r["constant"]) else r["constant"]
+        models[r["category"]] = Model(get("terms", "<i8"), get("weights", "<f8"), get("before", "<f8"), r["intercept"], constant)
     return Chain(list(categories), models)
 
 
@@ -138,15 +275,19 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample
     category's null conditions, count as 0; a key with several labels has a category if one
     of them says so. Without labelled documents every probability is 0.
     """
-    flags = [F.coalesce(F.expr(cond).cast("int"), F.lit(0)).alias(f"_y{i}") for i, cond in enumerate(categories.values())]
+    ship(docs.sparkSession)
+    flags = [F.coalesce(F.expr(cond).cast("int"), F.lit(0)).alias(f"y{i}") for i, cond in enumerate(categories.values())]
     truth = labels.where(F.col(key).isNotNull()).select(F.col(key).alias("fold_key"), *flags)
-    truth = truth.groupBy("fold_key").agg(*[F.max(f"_y{i}").cast("double").alias(c) for i, c in enumerate(categories)])
+    truth = truth.groupBy("fold_key").agg(*[F.max(f"y{i}").cast("double").alias(f"y{i}") for i in range(len(categories))])
     sample = truth.orderBy(F.xxhash64("fold_key", F.lit(5)), "fold_key").limit(sample_rows)
     # at most sample_rows short rows: a broadcast of a bounded size
-    rows = docs.select(F.col(key).alias("fold_key"), F.col(text).alias("_doc")).join(F.broadcast(sample), "fold_key")
-    rows = with_words(rows, "_doc").withColumn("_words", F.array_distinct("_words")).drop("_doc")
-    # of several documents under one key any one: the labels cannot tell them apart
-    return fit_chain(materialize(rows.dropDuplicates(["fold_key"]), "labelled"), list(categories))
+    rows = docs.select(F.col(key).alias("fold_key"), text_of(text).alias("text")).join(F.broadcast(sample), "fold_key")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
+    gathered = rows.mapInArrow(_gather, f"{kinds}, terms array<long>")
+    # of several documents under one key the one with the first terms: the labels cannot tell them apart
+    flags = [F.first(f"y{i}").alias(f"y{i}") for i in range(len(categories))]
+    one = gathered.groupBy("fold_key").agg(F.min("terms").alias("terms"), *flags)
+    return fit_chain(materialize(one, "labelled"), list(categories))
 
 
 def classify(docs: DataFrame, chain: Chain, key: str = "doc_id", text: str = "text",
@@ -157,13 +298,14 @@ def classify(docs: DataFrame, chain: Chain, key: str = "doc_id", text: str = "te
     The whole text counts; a null or empty text has no words and only the models' intercepts;
     repeated rows and null keys are scored like any; empty in, empty out. No shuffle.
     """
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_doc"))
-    scored = chain.apply(with_terms(with_words(rows, "_doc")))
-    cols = [f"p_{c}" for c in chain.categories]
-    return scored.select(F.col("_key").alias(key), *cols, (F.col(cols[-1]) >= threshold).alias("rejected"))
+    ship(docs.sparkSession)
+    scored = docs.select(F.col(key).alias(key), chain.probabilities(F.col(text)).alias("p"))
+    cols = [F.col("p")[i].alias(f"p_{c}") for i, c in enumerate(chain.categories)]
+    return scored.select(key, *cols, (F.col("p")[len(cols) - 1] >= threshold).alias("rejected"))
 
 
 def drop_rejected(docs: DataFrame, chain: Chain, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that ``classify`` does not reject, scored in place (no join)."""
-    scored = chain.apply(with_terms(with_words(with_row(docs, _doc=F.col(text)), "_doc")))
-    return scored.where(F.col(f"p_{chain.categories[-1]}") < threshold).select("row.*")
+    ship(docs.sparkSession)
+    scored = with_row(docs, p=chain.probabilities(F.col(text)))
+    return scored.where(F.col("p")[len(chain.categories) - 1] < threshold).select("row.*")

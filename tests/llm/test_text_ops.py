@@ -450,3 +450,21 @@ def test_op10_edges_and_edit_table(spark, clashing):
                                   "doc_id long, seq int, start int, end int, replacement string")
     out = {r.doc_id: r for r in token_counts.apply_edit_table(states, edits, PATH).collect()}
     assert out[1].text == "Oh, hello world" and out[2].text == "untouched" and out[2].encoded_chars == 0
+
+
+def test_op1_each_blob_is_scanned_once(spark):
+    """A row, a key or a null key that repeats very often is one blob: one ledger row, all paths answered."""
+    from ledgerwise.session import shared_dir
+
+    hot = spark.range(900).selectExpr("7L AS doc_id", "'token = abcdefghijklmno1' AS text")
+    none = spark.range(600).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "CAST(NULL AS STRING) AS text")
+    docs = hot.unionByName(none).repartition(5)
+    ledger = blob_ledger.BlobLedger(spark, shared_dir(spark, f"ledger-{queries.run_name()}"))
+    got = blob_ledger.scan_versions(docs, ledger, "a").collect()
+    assert ledger.read().count() == 2 and len(got) == 1500
+    assert {(r.doc_id, r.n_assign) for r in got} == {(7, 1), (None, 0)}
+    more = docs.unionByName(spark.createDataFrame([(8, "AKIA" + "Q" * 20)], "doc_id long, text string"))
+    assert len(blob_ledger.scan_versions(more, ledger, "b").collect()) == 1501
+    assert ledger.read().count() == 3  # only the new blob was scanned
+    out = blob_ledger.redact(more, ledger, "c").collect()
+    assert sorted({(r.doc_id, r.text) for r in out}, key=repr) == [(7, "[secret]"), (8, "[secret]"), (None, None)] and len(out) == 1501

@@ -266,3 +266,50 @@ def test_op7_edges(spark, clashing):
     assert toxicity.classify(clashing.limit(0), chain).count() == 0
     one = toxicity.train(clashing, labels.where("doc_id = 1"), {"toxic": "toxic = 1"})
     assert {r.p_toxic for r in toxicity.classify(clashing, one).collect()} == {1.0}
+
+
+def chain_rows(rng, n=2000):
+    """Three categories, each said by words of its own and likelier after the one before."""
+    y = np.zeros((n, 3))
+    y[:, 0] = rng.random(n) < 0.4
+    y[:, 1] = rng.random(n) < 0.15 + 0.5 * y[:, 0]
+    y[:, 2] = rng.random(n) < 0.1 + 0.6 * y[:, 1]
+    marks = np.arange(9).reshape(3, 3) + 1000
+    terms = [np.array(sorted({*rng.integers(0, 60, 12).tolist(), *(int(rng.choice(marks[c])) for c in range(3)
+                                                                   if y[i, c] and rng.random() < 0.7)})) for i in range(n)]
+    return terms, y
+
+
+def test_chain_of_three_gets_out_of_fold_inputs():
+    rng = np.random.default_rng(8)
+    terms, y = chain_rows(rng)
+    fold = rng.integers(0, 3, len(y))
+    models, unseen = toxicity.fit_models(terms, y, fold, 3)
+    assert [len(m.before) for m in models] == [0, 1, 2] and (unseen[:, 2] == 0).all()
+    for k in range(3):
+        # labels of a fold change nothing in the probabilities that its documents got
+        other = y.copy()
+        other[fold == k] = 1 - other[fold == k]
+        _, changed = toxicity.fit_models(terms, other, fold, 3)
+        assert np.allclose(changed[fold == k, 0], unseen[fold == k, 0])
+        assert not np.allclose(changed[fold != k, 0], unseen[fold != k, 0])
+    # the chain uses the category before: its weight is positive, and it helps on new documents
+    assert models[1].before[0] > 0 and models[2].before.sum() > 0
+    new, truth = chain_rows(np.random.default_rng(9))
+    rows = np.repeat(np.arange(len(new)), [len(t) for t in new])
+    p = np.zeros((len(new), 3))
+    for i, m in enumerate(models):
+        p[:, i] = m.predict(rows, np.concatenate(new), len(new), p[:, :i])
+        hit = p[truth[:, i] == 1, i][:, None] > p[truth[:, i] == 0, i][None, :]
+        assert hit.mean() > 0.75
+
+
+def test_solver_reaches_the_minimum():
+    rng = np.random.default_rng(1)
+    x = (rng.random((300, 6)) < 0.4).astype(float)
+    y = (rng.random(300) < 1 / (1 + np.exp(-(x @ [2, -1, 0, 1, -2, 0.5] - 0.3)))).astype(float)
+    rows, codes = np.nonzero(x)
+    model = toxicity.fit(rows, codes, np.arange(6) * 10, np.zeros((300, 0)), y)
+    p = model.predict(rows, codes * 10, 300, np.zeros((300, 0)))
+    grad = np.append(x.T @ (p - y) / 300 + toxicity.DECAY * model.weights, (p - y).mean())
+    assert np.abs(grad).max() < 1e-5
