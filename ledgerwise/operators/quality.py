@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Texts of the quality log.
@@ -28,10 +28,18 @@ def quality_checks(df: DataFrame, table: str, not_null=(), non_negative=()) -> D
     C2 counts cells < 0 (NULL passes); C3: an empty input gives one WARN row
     instead of the null check.
     """
+    return check_rows(df.agg(*check_measures(not_null, non_negative)), table, not_null, non_negative)
+
+
+def check_measures(not_null=(), non_negative=()) -> list[Column]:
+    """The aggregates behind the checks: a separate pass, or observed while the rows are written."""
     aggs = [F.count(F.lit(1)).alias("_n")]
     aggs += [F.sum(F.col(c).isNull().cast("long")).alias(f"_null_{c}") for c in not_null]
-    aggs += [F.sum(F.when(F.col(c) < 0, 1).otherwise(0)).alias(f"_neg_{c}") for c in non_negative]
-    one = df.agg(*aggs)
+    return aggs + [F.sum(F.when(F.col(c) < 0, 1).otherwise(0)).alias(f"_neg_{c}") for c in non_negative]
+
+
+def check_rows(one: DataFrame, table: str, not_null=(), non_negative=()) -> DataFrame:
+    """C1-C3 from one row of ``check_measures``."""
     rows = []
     n = F.col("_n")
     if not_null:

@@ -115,8 +115,7 @@ def write_snapshot(df: DataFrame, path: str, part_col: str) -> None:
     date - often all of the rows - to one task, while AQE splits rebalanced
     partitions above the advisory size across tasks (and merges small ones),
     so each task writes few, evenly sized files. Never point ``path`` at a
-    folder the same plan reads: write to a new version folder and switch a
-    pointer (see ``StateStore``).
+    folder the same plan reads (``partitioned.merge_partitions`` writes beside it first).
     """
     spark = df.sparkSession
     prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
@@ -128,9 +127,11 @@ def write_snapshot(df: DataFrame, path: str, part_col: str) -> None:
 
 
 class StateStore:
-    """Versioned Parquet tables under one shared root folder.
+    """The jobs' tables under one shared root folder.
 
-    ``write(name, df)`` writes ``<root>/<name>/v=<n>`` and then appends a
+    Facts and current staging rows grow with history and are kept by partition: ``merge(name, ...)``
+    rewrites only the partitions of its rows. The small tables that a job replaces as a whole (the two
+    dimensions, waiting invoices) are versioned: ``write(name, df)`` writes ``<root>/<name>/v=<n>`` and then appends a
     one-row pointer file under ``<root>/<name>/_current`` (written last, so a
     lost job leaves the previous version current). The pointer folder is
     append-only - the current version is the highest committed pointer - so
@@ -158,7 +159,18 @@ class StateStore:
         row = self.spark.read.schema("version int").json(self._pointer(name)).agg(F.max("version")).first()
         return None if row[0] is None else int(row[0])
 
+    def merge(self, name: str, incoming: DataFrame, keys, part_col: str, order=None) -> list:
+        """``partitioned.merge_partitions`` on the table ``name``."""
+        from .partitioned import merge_partitions
+
+        return merge_partitions(self.spark, f"{self.root}/{name}", incoming, keys, part_col, order)
+
     def read(self, name: str) -> DataFrame | None:
+        from .partitioned import read_partitioned
+
+        merged = read_partitioned(self.spark, f"{self.root}/{name}")
+        if merged is not None:
+            return merged
         v = self.current_version(name)
         if v is None:
             return None

@@ -1,11 +1,12 @@
 """Batch sync jobs (survey B9, B10): one driver function per job, one lineage per step.
 
-Each step's output is written to the ``StateStore`` (new version folder,
-pointer last) and re-read, so the next step starts from written rows: a lost
-executor re-runs at most one step, and no step re-computes the extract.
+Each step's output is written to the ``StateStore`` and re-read, so the next step starts from
+written rows: a lost executor re-runs at most one step, and no step re-computes the extract.
+Facts, features and current staging rows are merged partition by partition: a run rewrites the
+snapshot dates, invoice periods and months of its own rows and no others.
 Extracted records are landed once per batch (``_extract/<table>/batch_id=``)
-and every later step reads them; row counts are counts of that folder, not a
-second pass over the source.
+and every later step reads them; row counts, quality measures and the highest change time are
+observed while they are landed, so the source is scanned once.
 
 The watermark is the ``watermark_end`` of the newest successful batch in the
 batch log (A2); an explicit ``since`` wins, a full refresh has no lower bound
@@ -18,7 +19,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dims, facts, features, quality, staging
@@ -43,11 +44,40 @@ def _since(store: staging.StateStore, source_table: str, since, full_refresh: bo
     return erp.effective_since(since, last, full_refresh)
 
 
-def _land(store: staging.StateStore, table: str, batch_id: str, records: DataFrame) -> DataFrame:
-    """Write the extracted records of one batch once and continue from the written rows."""
+def _land(store: staging.StateStore, table: str, batch_id: str, records: DataFrame, change_time: str,
+          not_null, non_negative) -> tuple[DataFrame, dict, DataFrame]:
+    """Write the extracted records of one batch once and continue from the written rows.
+
+    Returns them, what was observed on the way (``rows``, ``last_change``), and the quality checks.
+    """
     path = f"{store.root}/_extract/{table}/batch_id={batch_id}"
-    records.write.mode("overwrite").parquet(path)
-    return store.spark.read.parquet(path)
+    seen = Observation()
+    measures = [*quality.check_measures(not_null, non_negative), F.max(change_time).alias("_last")]
+    records.observe(seen, *measures).write.mode("overwrite").parquet(path)
+    got = seen.get
+    names = [f"_null_{c}" for c in not_null] + [f"_neg_{c}" for c in non_negative]
+    one = store.spark.createDataFrame([tuple([got.get("_n", 0), *[got.get(c) for c in names]])],
+                                      ", ".join(f"{c} long" for c in ["_n", *names]))
+    checks = quality.check_rows(one, f"stg_{table}", not_null, non_negative)
+    return store.spark.read.parquet(path), {"rows": got.get("_n", 0), "last_change": got.get("_last")}, checks
+
+
+#: Pattern of the periods that partition current staging rows: months, so that a batch of recent changes
+#: rewrites little.
+PERIOD = "yyyy-MM"
+#: Current staging rows: table -> (date whose period partitions it, order of its versions).
+CURRENT = {
+    "stg_customer_subscription": ("start_date", ("source_updated_at", "loaded_at", "batch_id")),
+    "stg_sales_invoice": ("invoice_date", ("source_updated_at", "loaded_at", "batch_id")),
+    "stg_sales_payment": ("payment_date", ("source_created_at", "loaded_at", "batch_id")),
+}
+
+
+def _stage(store: staging.StateStore, table: str, rows: DataFrame) -> None:
+    """Append the batch to the staging log, and merge it into the current rows of its periods."""
+    store.append(table, rows)
+    date, order = CURRENT[table]
+    store.merge(f"current_{table}", rows.withColumn("period", F.date_format(date, PERIOD)), ["source_id"], "period", list(order))
 
 
 def _clock(now: dt.datetime | None) -> dt.datetime:
@@ -72,28 +102,30 @@ def run_subscription_sync(spark: SparkSession, src: dict, store: staging.StateSt
     try:
         recs = erp.extract_subscriptions(src["customer_subscription"], src["customer"], src["internet_package"],
                                          lower, until)
-        recs_w = _land(store, "customer_subscription", bid, recs)
-        n = recs_w.count()
+        recs_w, seen, checks = _land(store, "customer_subscription", bid, recs, "source_updated_at", SUB_REQUIRED, SUB_NON_NEGATIVE)
+        n = seen["rows"]
         if not n:
             store.append("etl_batch_log", staging.finish_batch(start, 0, "SUCCESS", is_mock, _clock(finished)))
             return {"batch_id": bid, "rows": 0}
-        _log_quality(store, quality.quality_checks(recs_w, "stg_customer_subscription", SUB_REQUIRED,
-                                                   SUB_NON_NEGATIVE), bid, now)
+        _log_quality(store, checks, bid, now)
         dimp = store.write("dim_package", dims.upsert_package(store.read("dim_package"), recs_w, snapshot_date))
         dimc = store.write("dim_customer", dims.scd2_merge(store.read("dim_customer"), recs_w, snapshot_date))
-        fact = store.write("fact_subscription_snapshot", facts.fact_subscription_snapshot(
-            recs_w, dimc, dimp, snapshot_date, bid, target=store.read("fact_subscription_snapshot")))
-        bills = store.read("fact_billing_monthly") or spark.createDataFrame([], BILLING_EMPTY)
-        store.write("feature_customer_churn", features.build_churn_features(
-            fact, dimc, dimp, bills, snapshot_date, bid, target=store.read("feature_customer_churn")))
+        store.merge("fact_subscription_snapshot", facts.fact_subscription_snapshot(recs_w, dimc, dimp, snapshot_date, bid),
+                    ["snapshot_date", "customer_key"], "snapshot_date")
+        fact = store.read("fact_subscription_snapshot")  # F6 reads this snapshot's partition of it
+        bills = store.read("fact_billing_monthly")
+        if bills is None:
+            bills = spark.createDataFrame([], BILLING_EMPTY)
+        store.merge("feature_customer_churn", features.build_churn_features(fact, dimc, dimp, bills, snapshot_date, bid),
+                    ["snapshot_date", "customer_id"], "snapshot_date")
         _replay(store, dimc, bid)
         # staged last: a batch that failed and runs again has staged nothing yet
-        store.append("stg_customer_subscription", staging.stage_subscriptions(recs_w, bid, now))
+        _stage(store, "stg_customer_subscription", staging.stage_subscriptions(recs_w, bid, now))
     except Exception as e:
         store.append("etl_batch_log", staging.finish_batch(start, 0, is_mock=is_mock, now=_clock(finished), error=str(e)))
         raise
     store.append("etl_batch_log", staging.finish_batch(start, n, "SUCCESS", is_mock, _clock(finished)))
-    return {"batch_id": bid, "rows": n}
+    return {"batch_id": bid, **seen}
 
 
 def _split_known(inv: DataFrame, dimc: DataFrame | None) -> tuple[DataFrame | None, DataFrame]:
@@ -108,11 +140,12 @@ def _load_bills(store: staging.StateStore, inv: DataFrame, dimc: DataFrame | Non
     """Facts of known customers; invoices of unknown ones wait in ``pending_invoice``, newest version each."""
     waiting = store.read("pending_invoice")
     both = inv if waiting is None else staging.dedupe_last(
-        waiting.unionByName(inv), "source_id", ["source_updated_at"])
+        waiting.withColumn("_now", F.lit(0)).unionByName(inv.withColumn("_now", F.lit(1))), "source_id",
+        ["source_updated_at", "_now"]).drop("_now")
     known, unknown = _split_known(both, dimc)
     if known is not None:
-        store.write("fact_billing_monthly", facts.fact_billing_monthly(
-            known, dimc, batch_id, target=store.read("fact_billing_monthly")))
+        store.merge("fact_billing_monthly", facts.fact_billing_monthly(known, dimc, batch_id),
+                    ["invoice_period", "customer_key"], "invoice_period")
     if waiting is not None or not unknown.isEmpty():
         store.write("pending_invoice", unknown)
 
@@ -138,18 +171,32 @@ def run_billing_sync(spark: SparkSession, src: dict, store: staging.StateStore,
         inv = erp.extract_invoices(src["sales_invoice"], src["customer_subscription"], src["sales_payment"],
                                    lower, until, as_of)
         pay = erp.extract_payments(src["sales_payment"], lower, until)
-        inv_w = _land(store, "sales_invoice", bid, inv)
-        pay_w = _land(store, "sales_payment", bid, pay)
-        n_inv, n_pay = inv_w.count(), pay_w.count()
-        checks = quality.quality_checks(inv_w, "stg_sales_invoice", INV_REQUIRED, INV_NON_NEGATIVE).unionByName(
-            quality.quality_checks(pay_w, "stg_sales_payment", PAY_REQUIRED, PAY_NON_NEGATIVE))
-        _log_quality(store, checks, bid, now)
+        inv_w, inv_seen, checks = _land(store, "sales_invoice", bid, inv, "source_updated_at", INV_REQUIRED, INV_NON_NEGATIVE)
+        pay_w, pay_seen, more = _land(store, "sales_payment", bid, pay, "source_created_at", PAY_REQUIRED, PAY_NON_NEGATIVE)
+        n_inv, n_pay = inv_seen["rows"], pay_seen["rows"]
+        _log_quality(store, checks.unionByName(more), bid, now)
         if n_inv:
             _load_bills(store, inv_w, store.read("dim_customer"), bid)
-        store.append("stg_sales_invoice", staging.stage_invoices(inv_w, bid, now))
-        store.append("stg_sales_payment", staging.stage_payments(pay_w, bid, now))
+        _stage(store, "stg_sales_invoice", staging.stage_invoices(inv_w, bid, now))
+        _stage(store, "stg_sales_payment", staging.stage_payments(pay_w, bid, now))
     except Exception as e:
         store.append("etl_batch_log", staging.finish_batch(start, 0, is_mock=is_mock, now=_clock(finished), error=str(e)))
         raise
     store.append("etl_batch_log", staging.finish_batch(start, n_inv + n_pay, "SUCCESS", is_mock, _clock(finished)))
     return {"batch_id": bid, "invoices": n_inv, "payments": n_pay}
+
+
+# ---- B3: analytics over what the jobs have written ---------------------------------------------
+def written_tables(store: staging.StateStore) -> dict:
+    """The tables that the KPI, chart and audit plans read, as the jobs have left them.
+
+    Staging tables are the current rows, one per source id however often it was loaded. Current rows are
+    kept by the period of a business date; should the source move that date, the newest version still wins.
+    """
+    out = {"dim_customer": store.read("dim_customer"), "dim_package": store.read("dim_package")}
+    for table, (_, order) in CURRENT.items():
+        rows = store.read(f"current_{table}")
+        if rows is None:
+            raise LookupError(f"no batch has loaded {table} yet")
+        out[table] = staging.latest_by_source(rows.drop("period"), "source_id", order).withColumn("id", F.col("source_id"))
+    return out

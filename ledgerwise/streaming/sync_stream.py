@@ -1,32 +1,58 @@
-"""A10: incremental sync as a Structured Streaming job.
+"""A10: incremental sync as a Structured Streaming job that keeps the current state.
 
 The source system polls by a high-water mark kept in its batch log; here the
 stream's checkpoint plays that role. Each micro-batch is transformed with the
-same DataFrame functions as the batch jobs and written to its own epoch
-folder with ``mode('overwrite')``, so a re-played epoch (after a failure)
-replaces its own output instead of duplicating it. Readers take the newest
-row per key across epochs (``latest_by_source``).
+same DataFrame functions as the batch jobs and merged into the current rows, one
+per key: the newest by ``order`` wins, later epochs win ties. Only the partitions
+that a micro-batch touches are read and rewritten, as few files of even size, so the
+state stays as large as its rows and needs no compaction of its own. A re-played epoch
+(after a failure) brings the same versions again and changes nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.partitioned import merge_partitions, read_partitioned
 from ..operators.staging import latest_by_source
 
+BUCKETS = 32
+
+
+def key_bucket(key: str, buckets: int = BUCKETS) -> Column:
+    """A partition that a key never leaves."""
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def merge_epoch(batch: DataFrame, epoch_id: int, out_root: str, key: str = "source_id", order=(),
+                partition: Column | None = None) -> list:
+    """Merge the rows of one epoch into the state under ``out_root``; returns the partitions rewritten.
+
+    ``order``: columns that tell a key's versions apart in time, such as the change time of the source
+    (nulls are oldest). Of versions that ``order`` does not tell apart the later epoch's wins, and within
+    one epoch the greatest row, so the outcome never depends on the order of rows.
+    """
+    rows = batch.withColumn("batch_id", F.lit(f"epoch-{epoch_id:012d}")).withColumn(
+        "_part", key_bucket(key) if partition is None else partition)
+    ties = [c for c in batch.columns if c not in order]
+    return merge_partitions(batch.sparkSession, out_root, rows, [key], "_part", [*order, "batch_id", *ties])
+
 
 def sync_stream(spark: SparkSession, source_path: str, out_root: str, checkpoint_location: str,
                 transform: Callable[[DataFrame], DataFrame], fmt: str = "parquet",
-                max_files_per_trigger: int | None = 1000, available_now: bool = True, glob_filter: str | None = None):
+                max_files_per_trigger: int | None = 1000, available_now: bool = True, glob_filter: str | None = None,
+                key: str = "source_id", order=(), partition: Column | None = None):
     """Start the stream and return the ``StreamingQuery`` (``availableNow`` drains what exists, then stops).
 
     ``source_path`` is a folder; ``glob_filter`` picks the files of one table in a shared folder.
     ``max_files_per_trigger`` bounds one micro-batch (``availableNow`` honours it and
     drains a backlog in several epochs), so a failure re-runs one bounded epoch
-    instead of the whole backlog; ``None`` takes everything in one epoch.
+    instead of the whole backlog; ``None`` takes everything in one epoch. ``key``, ``order`` and
+    ``partition`` (default: a hash bucket of the key) are those of ``merge_epoch``; a partition of a
+    business date keeps a stream of recent changes off older months.
     """
     probe = spark.read.format(fmt)
     if glob_filter:
@@ -40,15 +66,15 @@ def sync_stream(spark: SparkSession, source_path: str, out_root: str, checkpoint
     stream = reader.load(source_path)
 
     def write_epoch(batch_df: DataFrame, epoch_id: int) -> None:
-        out = transform(batch_df).withColumn("batch_id", F.lit(f"epoch-{epoch_id:012d}")).withColumn(
-            "loaded_at", F.current_timestamp().cast("timestamp_ntz"))
-        out.write.mode("overwrite").parquet(f"{out_root}/epoch={epoch_id:012d}")
+        merge_epoch(transform(batch_df), epoch_id, out_root, key, order, partition)
 
     w = stream.writeStream.foreachBatch(write_epoch).option("checkpointLocation", checkpoint_location)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
 
 
-def read_synced(spark: SparkSession, out_root: str, key: str = "source_id") -> DataFrame:
-    """Newest row per key over all epochs written by ``sync_stream``."""
-    return latest_by_source(spark.read.parquet(out_root).drop("epoch"), key, ("batch_id", "source_updated_at"))
+def read_synced(spark: SparkSession, out_root: str, key: str = "source_id", order=()) -> DataFrame:
+    """The current rows, one per key. A key whose ``partition`` has moved has a row in each of them:
+    the newest still wins."""
+    rows = read_partitioned(spark, out_root).drop("_part")
+    return latest_by_source(rows, key, (*order, "batch_id", *[c for c in rows.columns if c not in (key, "batch_id", *order)]))
