@@ -1,6 +1,6 @@
 """Churn model (survey 2.J) with ``pyspark.ml``.
 
-Fitting: exact medians / quartiles (one distributed aggregate each) become
+Fitting: exact medians / quartiles (ranked over all tasks) become
 constants of a ``SQLTransformer``, followed by ``VectorAssembler`` and a
 class-weighted ``GBTClassifier`` in one ``Pipeline`` - the fitted
 ``PipelineModel`` carries the whole preprocessing and saves / loads as one.
@@ -12,6 +12,8 @@ distributed aggregates; no row-at-a-time Python.
 from __future__ import annotations
 
 import datetime as dt
+import functools
+import itertools
 import json
 import time
 
@@ -24,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ordering import global_position, running_totals
+from ..functions.quantiles import exact_quantiles
 
 # ---- J1 --------------------------------------------------------------------------
 # Model inputs in their fixed order.
@@ -69,27 +72,21 @@ def resolve_params(preset: str | None = None, overrides: dict | None = None) ->
 
 
 # ---- J2-J5 -------------------------------------------------------------------------
-def _median_of(df: DataFrame, cols) -> dict:
-    row = df.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in cols]).first()
-    return {c: (row[c] if row[c] is not None else 0.0) for c in cols}
-
-
 def fit_preprocessor(train: DataFrame) -> dict:
     """Exact medians for imputation, then quartiles of the imputed columns for scaling.
 
-    ``percentile`` interpolates linearly like the reference's quantiles; each
-    call is one distributed aggregate whose state is bounded by the distinct
-    values of the column. Only the resulting constants reach the driver.
+    Both come from ``exact_quantiles``: values are counted and ranked over all tasks, no task holds a
+    column. Only the resulting constants reach the driver.
     """
-    med = _median_of(train, NUMERICAL_FEATURES)
-    imputed = [F.coalesce(F.col(c).cast("double"), F.lit(float(med[c]))) for c in NUMERICAL_FEATURES]
-    q = train.agg(*[F.percentile(e, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c)
-                    for e, c in zip(imputed, NUMERICAL_FEATURES)]).first()
+    found = {r["column"]: r["quantiles"] for r in exact_quantiles(train, NUMERICAL_FEATURES, [0.5]).collect()}
+    med = {c: float(found[c][0]) if found[c] else 0.0 for c in NUMERICAL_FEATURES}
+    imputed = {c: F.coalesce(F.col(c).cast("double"), F.lit(med[c])) for c in NUMERICAL_FEATURES}
+    quartiles = {r["column"]: r["quantiles"] for r in exact_quantiles(train, imputed, [0.25, 0.5, 0.75]).collect()}
     scale = {}
     for c in NUMERICAL_FEATURES:
-        q25, q50, q75 = q[c] if q[c] is not None else (0.0, 0.0, 0.0)
+        q25, q50, q75 = quartiles[c] or (0.0, 0.0, 0.0)
         iqr = q75 - q25
-        scale[c] = {"median": float(med[c]), "center": float(q50), "iqr": float(iqr) if iqr != 0 else 1.0}
+        scale[c] = {"median": med[c], "center": float(q50), "iqr": float(iqr) if iqr != 0 else 1.0}
     return scale
 
 
@@ -161,6 +158,61 @@ def tuning_search(train: DataFrame, evaluator, parallelism: int = 4, grid: dict
                                 trainRatio=0.8, parallelism=parallelism, seed=42)
 
 
+def temporal_folds(df: DataFrame, folds: int = 3, date_col: str = "snapshot_date") -> list:
+    """Dates that each validate once: the last ``folds`` snapshots that have an earlier one to train on.
+
+    The number of snapshots is bounded by the calendar."""
+    days = [r[0] for r in df.select(date_col).where(F.col(date_col).isNotNull()).distinct().orderBy(date_col).collect()]
+    return days[1:][-folds:]
+
+
+def fold_sides(df: DataFrame, day, date_col: str = "snapshot_date") -> tuple[DataFrame, DataFrame]:
+    """Rows before ``day`` to train on, rows of ``day`` to validate on: no later row is ever trained on."""
+    at = F.lit(str(day)).cast("date")
+    return df.where(F.col(date_col) < at), df.where(F.col(date_col) == at)
+
+
+def auc_by(scored: DataFrame, groups, label: str = "label", score: str = "score") -> DataFrame:
+    """ROC AUC per group in one pass: counts per distinct score, one running total over all groups.
+
+    A group without both classes has NULL."""
+    groups = list(groups)
+    y = F.coalesce(F.col(label).cast("int"), F.lit(0))
+    counts = scored.groupBy(*groups, F.col(score).alias("s")).agg(
+        F.sum(y).cast("long").alias("pos"), F.sum(1 - y).cast("long").alias("neg"))
+    run = running_totals(counts, ["s"], ["neg"], keys=groups)
+    below = F.col("cum_neg") - F.col("neg") / 2
+    out = run.groupBy(*groups).agg(F.sum(F.col("pos") * below).alias("_u"), F.sum("pos").alias("positives"),
+                                   F.sum("neg").alias("negatives"))
+    pairs = F.col("positives").cast("double") * F.col("negatives")
+    return out.select(*groups, "positives", "negatives", F.when(pairs > 0, F.col("_u") / pairs).alias("auc"))
+
+
+def temporal_tuning(df: DataFrame, grid: dict | None = None, folds: int = 3, preset: str | None = None,
+                    date_col: str = "snapshot_date", label: str = "label") -> DataFrame:
+    """J8 by time: every grid point is fitted on the rows before each fold's snapshot and scored on it.
+
+    Returns one row per point, best first: ``point`` (its place in the grid), ``params`` (JSON),
+    ``auc`` (mean over the folds that have both classes) and ``folds`` (how many). Ties keep the
+    grid's order. The scored rows of all points and folds go through one metrics pass.
+    """
+    grid = grid or TUNING_GRID
+    points = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
+    parts = []
+    for day in temporal_folds(df, folds, date_col):
+        train, val = fold_sides(df, day, date_col)
+        for i, point in enumerate(points):
+            model = fit_churn(train, preset, point, label)
+            scored = churn_probability(model, val.withColumnRenamed(label, "_y"), "score")
+            parts.append(scored.select(F.lit(i).alias("point"), F.lit(str(day)).alias("fold"), "score", F.col("_y").alias("label")))
+    if not parts:
+        raise ValueError("at least two snapshots are needed to validate by time")
+    scored = functools.reduce(DataFrame.unionByName, parts)
+    by_point = auc_by(scored, ["point", "fold"]).groupBy("point").agg(F.avg("auc").alias("auc"), F.count("auc").alias("folds"))
+    names = df.sparkSession.createDataFrame([(i, json.dumps(p)) for i, p in enumerate(points)], "point int, params string")
+    return names.join(by_point, "point").select("point", "params", "auc", "folds").orderBy(F.desc_nulls_last("auc"), "point")
+
+
 # ---- J9 / J15 -----------------------------------------------------------------------
 def churn_probability(model: PipelineModel, df: DataFrame, out: str = "churn_probability") -> DataFrame:
     """P(churn) from the fitted pipeline (probability vector element 1)."""
@@ -376,13 +428,19 @@ def score_batch(model: PipelineModel, feat: DataFrame, snapshot_date=None, model
     value; rank 1..n by probability (ties by customer id) from a distributed
     global position, never a single-task window.
     """
+    p = churn_probability(model, scoring_rows(feat, snapshot_date), "p")
+    return predictions_from_scores(p, model_version, created_at)
+
+
+def scoring_rows(feat: DataFrame, snapshot_date=None) -> DataFrame:
+    """The feature rows of one snapshot (the latest when not given), null fills as at training."""
     f = feat
     if snapshot_date is None:
         latest = feat.agg(F.max("snapshot_date")).scalar()
         f = f.where(F.col("snapshot_date") == latest)
     else:
         f = f.where(F.col("snapshot_date") == F.lit(str(snapshot_date)).cast("date"))
-    f = f.select(
+    return f.select(
         "snapshot_date", "customer_id", "tenure_months", "monthly_fee_current", "package_speed_mbps",
         F.coalesce("late_payment_count_3m", F.lit(0)).alias("late_payment_count_3m"),
         F.coalesce("late_payment_count_6m", F.lit(0)).alias("late_payment_count_6m"),
@@ -390,8 +448,6 @@ def score_batch(model: PipelineModel, feat: DataFrame, snapshot_date=None, model
         F.coalesce(F.nullif("payment_status_trend", F.lit("")), F.lit("STABLE")).alias("payment_status_trend"),
         F.coalesce("downgrade_flag_6m", F.lit(False)).alias("downgrade_flag_6m"),
     )
-    p = churn_probability(model, f, "p")
-    return predictions_from_scores(p, model_version, created_at)
 
 
 def predictions_from_scores(p: DataFrame, model_version: str = "1.0.0", created_at: dt.datetime | None = None,) -> DataFrame:

@@ -140,9 +140,12 @@ class StateStore:
     so ``upsert`` on a table that feeds its own next version is safe.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, period: str = "yyyy-MM"):
+        """``period``: pattern of the periods that partition current staging rows. Months, so that a batch of
+        recent changes rewrites little; longer ones where a month is only a few files' rows."""
         self.spark = spark
         self.root = root.rstrip("/")
+        self.period = period
 
     def _pointer(self, name: str) -> str:
         return f"{self.root}/{name}/_current"

@@ -62,9 +62,6 @@ def _land(store: staging.StateStore, table: str, batch_id: str, records: DataFra
     return store.spark.read.parquet(path), {"rows": got.get("_n", 0), "last_change": got.get("_last")}, checks
 
 
-#: Pattern of the periods that partition current staging rows: months, so that a batch of recent changes
-#: rewrites little.
-PERIOD = "yyyy-MM"
 #: Current staging rows: table -> (date whose period partitions it, order of its versions).
 CURRENT = {
     "stg_customer_subscription": ("start_date", ("source_updated_at", "loaded_at", "batch_id")),
@@ -77,7 +74,7 @@ def _stage(store: staging.StateStore, table: str, rows: DataFrame) -> None:
     """Append the batch to the staging log, and merge it into the current rows of its periods."""
     store.append(table, rows)
     date, order = CURRENT[table]
-    store.merge(f"current_{table}", rows.withColumn("period", F.date_format(date, PERIOD)), ["source_id"], "period", list(order))
+    store.merge(f"current_{table}", rows.withColumn("period", F.date_format(date, store.period)), ["source_id"], "period", list(order))
 
 
 def _clock(now: dt.datetime | None) -> dt.datetime:

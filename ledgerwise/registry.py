@@ -426,8 +426,12 @@ from .operators import staging as _staging  # noqa: E402
 from .plans import sync_jobs  # noqa: E402
 
 
+def _store(s):
+    return _staging.StateStore(s, shared_dir(s, f"store-{_uuid.uuid4().hex}"), period="yyyy")
+
+
 def _jobs(s, d):
-    store = _staging.StateStore(s, shared_dir(s, f"store-{_uuid.uuid4().hex}"))
+    store = _store(s)
     src = bridge.erp_tables(s, d)
     t1 = _dt.datetime(2001, 7, 1)
     sync_jobs.run_subscription_sync(s, src, store, t1, _dt.date(2001, 7, 1), now=_dt.datetime(2001, 7, 1, 0, 5))
@@ -443,7 +447,7 @@ register("b07_b10_sync_jobs")(_jobs)
 
 def _billing_first(s, d):
     """Tables written by the jobs when billing runs before its customers are known, then again."""
-    store = _staging.StateStore(s, shared_dir(s, f"store-{_uuid.uuid4().hex}"))
+    store = _store(s)
     src = bridge.erp_tables(s, d)
     sync_jobs.run_billing_sync(s, src, store, warehouse.UNTIL, AS_OF, now=_dt.datetime(2001, 8, 2, 0, 5))
     sync_jobs.run_subscription_sync(s, src, store, warehouse.UNTIL, AS_OF, now=_dt.datetime(2001, 8, 2, 0, 10))
@@ -462,7 +466,7 @@ register("b10_billing_first_facts")(_written_bills)
 
 def _replayed_bills(s, d):
     """Facts as the replay alone leaves them, billing having run before its customers were known."""
-    store = _staging.StateStore(s, shared_dir(s, f"store-{_uuid.uuid4().hex}"))
+    store = _store(s)
     src = bridge.erp_tables(s, d)
     sync_jobs.run_billing_sync(s, src, store, warehouse.UNTIL, AS_OF, now=_dt.datetime(2001, 8, 2, 0, 5))
     sync_jobs.run_subscription_sync(s, src, store, warehouse.UNTIL, AS_OF, now=_dt.datetime(2001, 8, 2, 0, 10))
@@ -485,7 +489,7 @@ def _loaded_twice(s, d):
     seen = (s.sparkContext.applicationId, d)
     if seen in _TWICE:
         return _TWICE[seen]
-    store = _staging.StateStore(s, shared_dir(s, f"store-{_uuid.uuid4().hex}"))
+    store = _store(s)
     src = bridge.erp_tables(s, d)
     for hour in (1, 2):
         for job, more in ((sync_jobs.run_subscription_sync, 0), (sync_jobs.run_billing_sync, 30)):
@@ -587,6 +591,53 @@ def _a13(s, d):
 
 
 register("a13_audit_tables")(_a13)
+register("a13_audit_summary")(lambda s, d: erp.audit_summary(_a13(s, d)))
+
+# ---- J2, J3 exact quantiles; J14, C7 scoring job on the fixed score ----
+from .functions import quantiles as _quantiles  # noqa: E402
+from .plans import scoring_job  # noqa: E402
+
+
+def _with_gaps(feat):
+    """The features with every seventh customer's numbers missing."""
+    some = F.col("customer_id") % 7 != 0
+    return feat.select("customer_id", *[F.when(some, F.col(c)).alias(c) for c in churn.NUMERICAL_FEATURES])
+
+
+def _quartiles(df, columns):
+    q = _quantiles.exact_quantiles(df, columns, [0.25, 0.5, 0.75])
+    return q.select("column", "n", *[F.round(F.col("quantiles")[i], 6).alias(c) for i, c in enumerate(("q25", "q50", "q75"))])
+
+
+register("j02_feature_quantiles")(lambda s, d: _quartiles(_with_gaps(_w(s, d)["feature_customer_churn"]), churn.NUMERICAL_FEATURES))
+register("j02_line_quantiles")(
+    lambda s, d: _quartiles(bridge.read_raw(s, d, "lineitem"), ["l_extendedprice", "l_quantity", "l_discount"]))
+
+
+def _j03(s, d):
+    scale = churn.fit_preprocessor(_with_gaps(_w(s, d)["feature_customer_churn"]))
+    rows = [(c, round(v["median"], 6), round(v["center"], 6), round(v["iqr"], 6)) for c, v in scale.items()]
+    return s.createDataFrame(rows, "column string, median double, center double, iqr double")
+
+
+register("j03_preprocessor")(_j03)
+
+
+def _scored_store(s, d, times=2):
+    """A store whose features have been scored ``times`` times by the fixed score."""
+    store = _store(s)
+    feat = _w(s, d)["feature_customer_churn"]
+    store.merge("feature_customer_churn", feat, ["snapshot_date", "customer_id"], "snapshot_date")
+    for _ in range(times):
+        scoring_job.run_scoring(store, lambda f: f.withColumn("p", fixed_score(f)), "rule-score",
+                                now=_dt.datetime(2001, 8, 2, 2, 0, 0))
+    return store
+
+
+register("j14_scoring_job_fixed_score")(lambda s, d: _scored_store(s, d).read(scoring_job.PREDICTIONS).select(
+    "snapshot_date", "customer_id", "churn_probability", "risk_level", "risk_tier_rank"))
+register("c07_prediction_audit_fixed_score")(lambda s, d: _scored_store(s, d).read_log("data_quality_log").select(
+    "check_name", "table_name", "status", "details"))
 
 # ---- A8, A9, J20 ----
 

@@ -10,6 +10,7 @@ row-group skipping or the JDBC ``WHERE``), even where the exact rule needs a
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,24 +35,93 @@ JDBC_DRIVERS = {
 }
 
 
+#: Rows that one task may read over JDBC, and that a partition of a larger table aims at.
+ONE_TASK_ROWS, TASK_ROWS = 100_000, 1_000_000
+MAX_PARTITIONS = 2_000
+
+
+def range_predicates(column: str, low, high, parts: int) -> list[str]:
+    """``parts`` (at most the span) half-open ranges of a whole-number key, as WHERE conditions. Every
+    row meets exactly one: the first takes smaller keys and NULLs, the last larger ones, so rows
+    that come after the probe are read too."""
+    if low is None or high is None:
+        return ["1 = 1"]  # no key is known: an empty table, or NULL keys only
+    low, high = int(low), int(high)
+    parts = max(1, min(parts, high - low + 1))
+    cuts = [low + (high - low + 1) * i // parts for i in range(1, parts)]
+    if not cuts:
+        return ["1 = 1"]
+    inner = [f"{column} >= {a} AND {column} < {b}" for a, b in zip(cuts, cuts[1:])]
+    return [f"{column} < {cuts[0]} OR {column} IS NULL", *inner, f"{column} >= {cuts[-1]}"]
+
+
+# A whole-number hash of any column in the source's own SQL.
+KEY_HASHES = {
+    "jdbc:postgresql:": "ABS(HASHTEXT(CAST({c} AS TEXT))::BIGINT)",
+    "jdbc:mysql:": "CRC32(CAST({c} AS CHAR))",
+}
+
+
+def hash_predicates(url: str, column: str, parts: int) -> list[str]:
+    """``parts`` conditions on a hash of ``column``, for text keys and keys that cluster; NULLs are in the first."""
+    form = next(f for p, f in KEY_HASHES.items() if url.startswith(p)).format(c=column)
+    return [f"MOD({form}, {parts}) = {i}" + (f" OR {column} IS NULL" if i == 0 else "") for i in range(parts)]
+
+
+def jdbc_plan(url: str, table: str, probe: Callable[[str], tuple], partition_column: str | None = None,
+              hash_column: str | None = None, task_rows: int = TASK_ROWS) -> list[str] | None:
+    """WHERE conditions of the tasks that read ``table``, or None for a table that one task may read.
+
+    ``probe`` runs a query in the source that returns one row: the row count, and the smallest and
+    largest key where a ``partition_column`` is given. A larger table without a column to split it
+    by is refused instead of being pulled through one task.
+    """
+    keys = f", MIN({partition_column}), MAX({partition_column})" if partition_column else ""
+    n, *ends = probe(f"SELECT COUNT(*){keys} FROM {table}")
+    if n <= ONE_TASK_ROWS:
+        return None
+    parts = min(MAX_PARTITIONS, -(-n // task_rows))
+    if partition_column:
+        return range_predicates(partition_column, *ends, parts)
+    if hash_column:
+        return hash_predicates(url, hash_column, parts)
+    raise ValueError(f"{table} has {n} rows: name a partition column or a hash column, one task would read them all")
+
+
+def jdbc_options(opts: dict) -> dict:
+    """The reader's options: the driver class by the URL's prefix (PostgreSQL or MySQL), rows a round trip."""
+    driver = next((d for p, d in JDBC_DRIVERS.items() if opts.get("url", "").startswith(p)), None)
+    if driver is None:
+        raise ValueError(f"unsupported JDBC URL: {opts.get('url', '')[:20]}")
+    return {"driver": driver, "fetchsize": "10000", **opts}
+
+
 def read_source(spark: SparkSession, table: str, fmt: str = "parquet", opts: dict | None = None) -> DataFrame:
     """A1: read-only source table.
 
-    ``fmt='jdbc'``: ``opts`` carries ``url`` (the driver class is chosen from the
-    URL prefix, PostgreSQL or MySQL) and, for parallel reads, ``partitionColumn``,
-    ``lowerBound``, ``upperBound``, ``numPartitions``; ``table`` may be a name or a
-    parenthesised query. Other formats: ``table`` is a path.
+    ``fmt='jdbc'``: ``opts`` carries ``url`` and ``partitionColumn`` (a whole-number key) or ``hashColumn``
+    (any other); the table's size and key range are asked for first, and the tasks read disjoint
+    parts of about ``taskRows`` rows (``jdbc_plan``). With ``lowerBound``, ``upperBound`` and
+    ``numPartitions`` given as well nothing is asked. ``table`` may be a name or a parenthesised
+    query with an alias. Other formats: ``table`` is a path.
     """
     opts = dict(opts or {})
-    if fmt == "jdbc":
-        url = opts.get("url", "")
-        driver = next((d for p, d in JDBC_DRIVERS.items() if url.startswith(p)), None)
-        if driver is None:
-            raise ValueError(f"unsupported JDBC URL: {url[:20]}")
-        opts.setdefault("driver", driver)
-        opts.setdefault("fetchsize", "10000")
+    if fmt != "jdbc":
+        return spark.read.format(fmt).options(**opts).load(table)
+    opts = jdbc_options(opts)
+    if {"partitionColumn", "lowerBound", "upperBound", "numPartitions"} <= set(opts):
         return spark.read.format("jdbc").option("dbtable", table).options(**opts).load()
-    return spark.read.format(fmt).options(**opts).load(table)
+    column, hashed = opts.pop("partitionColumn", None), opts.pop("hashColumn", None)
+    rows = int(opts.pop("taskRows", TASK_ROWS))
+
+    def probe(query: str) -> tuple:
+        return tuple(spark.read.format("jdbc").option("query", query).options(**opts).load().first())
+
+    parts = jdbc_plan(opts["url"], table, probe, column, hashed, rows)
+    if parts is None:
+        return spark.read.format("jdbc").option("dbtable", table).options(**opts).load()
+    properties = {k: v for k, v in opts.items() if k != "url"}
+    return spark.read.jdbc(opts["url"], table, predicates=parts, properties=properties)
 
 
 # ---- A2 / A3 ------------------------------------------------------------------
@@ -267,3 +337,17 @@ def audit_tables(spark: SparkSession, names) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def audit_summary(tables: DataFrame) -> DataFrame:
+    """The rows of ``audit_tables`` with their total from one ``rollup``: rows altogether, tables
+    checked, and the names of the missing ones (only tables' names are gathered)."""
+    missing = F.array_sort(F.collect_list(F.when(F.col("status") == "MISSING", F.col("table_name"))))
+    out = tables.withColumn("name", F.col("table_name")).rollup("name").agg(
+        F.grouping("name").alias("_total"), F.max("status").alias("status"), F.sum("row_count").alias("row_count"),
+        F.count(F.lit(1)).alias("tables"), missing.alias("missing"))
+    total = F.col("_total") == 1
+    return out.select(
+        F.when(total, "TOTAL").otherwise(F.col("name")).alias("table_name"),
+        F.when(total, F.when(F.size("missing") == 0, "READY").otherwise("MISSING")).otherwise(F.col("status")).alias("status"),
+        "row_count", "tables", F.array_join("missing", ",").alias("missing_tables"))
