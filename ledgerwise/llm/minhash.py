@@ -303,7 +303,9 @@ class _Verifier:
             need = need.join(self.sets.select("cls"), "cls", "left_anti")
         need = materialize(need.join(self.classes.select("cls", "rep"), "cls").select("cls", F.col("rep").alias("key")),
                            "need")
-        texts = id_filter(self.rows, "key", need.select("key").distinct())
+        texts = id_filter(self.rows, "key", need.select("key").where("key IS NOT NULL").distinct())
+        # classes that have null keys only are found among the rows without a key
+        texts = texts.unionByName(self.rows.where("key IS NULL"))
         # a repeated key may hold other texts as well: the digest says which are meant
         sets = texts.select("text").mapInArrow(_full_sets(self.shingle), "cls binary, members binary").join(
             need.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
@@ -347,15 +349,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     """One row per document: ``key``, ``n_shingles``, ``component_id`` (smallest key that links
     reach, itself included) and ``kept`` (``key`` = ``component_id``).
 
-    Texts that are null, empty or white space have no shingles and link with nothing; a null
-    key links with nothing and is kept, its ``component_id`` null. Rows with equal texts are
+    Texts that are null, empty or white space have no shingles and link with nothing. A row with a
+    null key links others like any, but names no component and is kept, its ``component_id`` null. Rows with equal texts are
     one class; a key may repeat, each row counts by its own text. Empty in, empty out.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), text_of(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
     signed = materialize(rows.mapInArrow(_sign(shingle), f"doc_id {kind}, n_shingles long, cls binary, sig binary"), "signed")
-    classes = materialize(signed.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(
+    classes = materialize(signed.where("cls IS NOT NULL").groupBy("cls").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
 
     # buckets of two classes or more, with a hub each: the class with the smallest hash there

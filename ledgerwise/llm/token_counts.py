@@ -26,7 +26,7 @@ from .common import ship, text_of
 
 #: Characters after which a segment ends at the next sure boundary.
 SEGMENT = 256
-_SURE = re.compile(r"\S(?= [A-Za-z])")
+_SURE = re.compile(r"\S(?=[ \n]\S)")
 # -- fixed value: the vocabulary's pre-token pattern ---------------------------------------
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -113,6 +113,11 @@ def apply_edit(enc, text: str, ends: list[int], tree: np.ndarray, edit) -> tuple
     return text, [*ends[:first], *cuts, *[e + shift for e in ends[last + 1:]]], tree, len(middle)
 
 
+def state_of(enc, text: str) -> tuple[list[int], np.ndarray]:
+    ends = cut(text)
+    return ends, sum_tree(count_segments(enc, text, 0, ends))
+
+
 def build(path: str, text: Column) -> Column:
     """A document's state: segment lengths and the sum tree (a struct of two arrays)."""
 
@@ -122,8 +127,8 @@ def build(path: str, text: Column) -> Column:
         for texts in batches:
             rows = []
             for t in texts:
-                ends = cut(t)
-                rows.append((np.diff([0, *ends]), sum_tree(count_segments(enc, t, 0, ends))))
+                ends, tree = state_of(enc, t or "")
+                rows.append((np.diff([0, *ends]), tree))
             yield pd.DataFrame(rows, columns=["lengths", "tree"])
 
     return trees(text)
@@ -131,7 +136,8 @@ def build(path: str, text: Column) -> Column:
 
 def edit(path: str, text: Column, state: Column, edits: Column) -> Column:
     """Text and state after ``edits``, an array of structs (start, end, replacement), each
-    in the code points of the text that the one before left."""
+    in the code points of the text that the one before left. A null edit, and one with a null
+    start or end, does nothing; a null replacement is the empty text, and so is a null text."""
 
     @F.pandas_udf(EDITED)
     def edited(batches: Iterator[tuple[pd.Series, pd.DataFrame, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -139,9 +145,16 @@ def edit(path: str, text: Column, state: Column, edits: Column) -> Column:
         for texts, states, changes in batches:
             rows = []
             for t, lengths, tree, todo in zip(texts, states["lengths"], states["tree"], changes):
-                ends, tree, done = np.cumsum(lengths).tolist(), np.array(tree, dtype=np.int64), 0
+                t, done = t or "", 0
+                if lengths is None:
+                    ends, tree = state_of(enc, t)
+                else:
+                    ends, tree = np.cumsum(lengths).tolist(), np.array(tree, dtype=np.int64)
                 for e in (todo if todo is not None else ()):
-                    t, ends, tree, n = apply_edit(enc, t, ends, tree, tuple(e.values()) if isinstance(e, dict) else e)
+                    e = tuple(e.values()) if isinstance(e, dict) else e
+                    if e is None or e[0] is None or e[1] is None:
+                        continue
+                    t, ends, tree, n = apply_edit(enc, t, ends, tree, e)
                     done += n
                 rows.append((np.diff([0, *ends]), tree, t, done))
             yield pd.DataFrame(rows, columns=["lengths", "tree", "text", "encoded_chars"])

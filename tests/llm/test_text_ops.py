@@ -468,3 +468,29 @@ def test_op1_each_blob_is_scanned_once(spark):
     assert ledger.read().count() == 3  # only the new blob was scanned
     out = blob_ledger.redact(more, ledger, "c").collect()
     assert sorted({(r.doc_id, r.text) for r in out}, key=repr) == [(7, "[secret]"), (8, "[secret]"), (None, None)] and len(out) == 1501
+
+
+def test_op10_other_scripts_and_lines_keep_edits_local(spark):
+    enc = token_counts.encoding(queries.tokenizer("byte_bpe_50k.tiktoken"))
+    scripts = {"cyrillic": "слово за словом идёт ", "greek": "λόγος και πάλι λόγος ", "chinese": "一 段 文 字 很 长 ", "lines": "строка\n",
+               "digits": "12 345, 6.7 (8) "}
+    for text in (s * (22_000 // len(s)) for s in scripts.values()):
+        ends, tree = token_counts.state_of(enc, text)
+        assert len(ends) > 50 and tree[1] == len(enc.encode_ordinary(text))
+        after, ends, tree, encoded = token_counts.apply_edit(enc, text, ends, tree, (11_000, 11_001, "x"))
+        assert encoded <= 4 * token_counts.SEGMENT and tree[1] == len(enc.encode_ordinary(after))
+
+
+def test_op10_null_edits_and_states(spark):
+    schema = "doc_id long, text string, edits array<struct<start:int,end:int,replacement:string>>"
+    rows = [(1, "hello world", [None, (None, 2, "x"), (0, None, "x")]), (2, "hello world", [(0, 5, None)]), (3, None, [(0, 0, "new")]), (4, None, None)]
+    path = queries.tokenizer("byte_bpe_50k.tiktoken")
+    got = {r.doc_id: r for r in token_counts.count_with_edits(spark.createDataFrame(rows, schema), F.col("edits"), path).collect()}
+    assert got[1].tokens_before == got[1].tokens_after == 2 and got[1].encoded_chars == 0
+    assert got[2].n_chars_after == 6 and got[3].n_chars_after == 3 and got[4].tokens_after == 0
+    states = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string").withColumn(
+        "state", F.when(F.col("doc_id") > 5, token_counts.build(path, F.col("text"))))  # no state yet
+    edits = spark.createDataFrame([(1, 1, 0, 4, "any"), (1, 2, None, None, "x"), (2, 1, 0, 0, "now")],
+                                  "doc_id long, seq int, start int, end int, replacement string")
+    out = {r.doc_id: r.text for r in token_counts.apply_edit_table(states, edits, path).collect()}
+    assert out == {1: "any text", 2: "now"}

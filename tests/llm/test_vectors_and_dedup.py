@@ -168,7 +168,7 @@ def brute_near(texts, k, percent):
     for a in range(len(texts)):
         comp.root(a)
         for b in range(a):
-            if sets[a] and sets[b] and texts[a][0] is not None and texts[b][0] is not None:
+            if sets[a] and sets[b]:
                 both = len(sets[a] & sets[b])
                 if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                     comp.join(a, b)
@@ -176,7 +176,8 @@ def brute_near(texts, k, percent):
     for a, (key, _) in enumerate(texts):
         if key is not None:
             least[comp.root(a)] = min(least.get(comp.root(a), key), key)
-    return sorted(((key, len(sets[a]), least.get(comp.root(a))) for a, (key, _) in enumerate(texts)), key=str)
+    return sorted(((key, len(sets[a]), least.get(comp.root(a)) if key is not None else None)
+                   for a, (key, _) in enumerate(texts)), key=str)
 
 
 def near_of(df, **how):
@@ -313,3 +314,12 @@ def test_solver_reaches_the_minimum():
     p = model.predict(rows, codes * 10, 300, np.zeros((300, 0)))
     grad = np.append(x.T @ (p - y) / 300 + toxicity.DECAY * model.weights, (p - y).mean())
     assert np.abs(grad).max() < 1e-5
+
+
+def test_op9_a_null_key_between_two_others_links_them(spark):
+    words = [f"w{i}" for i in range(40)]
+    text = lambda lo: " ".join(words[lo:lo + 34])  # noqa: E731  (neighbours are near, the ends are not)
+    rows = [(1, text(0)), (None, text(2)), (3, text(4)), (9, "quite another text with words of its own"), (None, None), (None, "alone it is here")]
+    got = near_of(spark.createDataFrame(rows, "doc_id long, text string"), percent=85, shingle=3)
+    assert got == brute_near(rows, 3, 85)
+    assert {c for k, _, c in got if k in (1, 3)} == {1}
