@@ -152,9 +152,9 @@ def edit(path: str, text: Column, state: Column, edits: Column) -> Column:
                     ends, tree = np.cumsum(lengths).tolist(), np.array(tree, dtype=np.int64)
                 for e in (todo if todo is not None else ()):
                     e = tuple(e.values()) if isinstance(e, dict) else e
-                    if e is None or e[0] is None or e[1] is None:
+                    if e is None or any(x is None or x != x for x in e[:2]):  # pandas may turn null into NaN
                         continue
-                    t, ends, tree, n = apply_edit(enc, t, ends, tree, e)
+                    t, ends, tree, n = apply_edit(enc, t, ends, tree, (int(e[0]), int(e[1]), e[2]))
                     done += n
                 rows.append((np.diff([0, *ends]), tree, t, done))
             yield pd.DataFrame(rows, columns=["lengths", "tree", "text", "encoded_chars"])
