@@ -6,7 +6,7 @@ probabilities of the categories before it. While training, those probabilities c
 models that did not see the row (out-of-fold predictions, terms chosen anew for each), so a
 later model meets inputs as reliable as those it gets on unseen documents.
 
-Terms are 32-bit hashes. The whole chain is fitted by one task on the bounded sample of labelled
+Terms are hashed into ``BUCKETS`` buckets. The whole chain is fitted by one task on the bounded sample of labelled
 documents, with sparse matrices; every document is then scored in one pass over its words.
 """
 
@@ -36,14 +36,14 @@ BEGINNINGS = (4, 5)
 THRESHOLD = 0.25
 #: Of the solver: weight of the squared weights in the mean loss, steps, steps remembered, smallest gradient.
 DECAY, STEPS, REMEMBERED, FLAT = 1e-4, 60, 10, 1e-6
-#: Words whose terms are remembered.
-MEMORY = 300_000
+#: Words whose terms are remembered; buckets that terms are hashed to.
+MEMORY, BUCKETS = 300_000, 1 << 22
 
 _WORD = re.compile(r"[^\W_]+")
 
 
 def _hash(term: str) -> int:
-    return zlib.crc32(term.encode("utf-8", "surrogatepass"))
+    return zlib.crc32(term.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)
 
 
 class _Terms(dict):
@@ -98,15 +98,16 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def best_terms(codes: np.ndarray, rows: np.ndarray, y: np.ndarray, width: int, limit: int = TERMS) -> np.ndarray:
-    """The ``limit`` codes whose presence depends most on ``y`` (chi-squared), in order of their codes."""
+def best_terms(codes: np.ndarray, rows: np.ndarray, y: np.ndarray, limit: int = TERMS) -> np.ndarray:
+    """The ``limit`` terms whose presence depends most on ``y`` (chi-squared), in order."""
     n, positive = float(len(y)), float(y.sum())
-    has = np.bincount(codes, minlength=width).astype(np.float64)
-    both = np.bincount(codes, weights=y[rows], minlength=width)
+    has = np.bincount(codes)
+    both = np.bincount(codes[y[rows] > 0], minlength=len(has))
+    often = np.flatnonzero(has >= LEAST_DOCS)
+    has, both = has[often].astype(np.float64), both[often]
     off = both * n - has * positive
-    score = np.where(has >= LEAST_DOCS, off * off / (has * (n - has + 1) + 1e-300), -1.0)
-    best = np.lexsort((np.arange(width), -score))[:limit]
-    return np.sort(best[score[best] >= 0])
+    score = off * off / (has * (n - has + 1))
+    return np.sort(often[np.lexsort((often, -score))[:limit]])
 
 
 def minimise(loss, start: np.ndarray) -> np.ndarray:
@@ -143,17 +144,17 @@ def minimise(loss, start: np.ndarray) -> np.ndarray:
     return x
 
 
-def fit(rows: np.ndarray, codes: np.ndarray, names: np.ndarray, before: np.ndarray, y: np.ndarray) -> Model:
-    """A model of ``y`` from (document, code) pairs and earlier probabilities; ``names``: codes' terms.
+def fit(rows: np.ndarray, codes: np.ndarray, before: np.ndarray, y: np.ndarray) -> Model:
+    """A model of ``y`` from (document, term) pairs and earlier probabilities.
 
     Without two classes the model is a constant, without terms and earlier categories the rate."""
     n, positive = len(y), float(y.sum())
     if positive in (0.0, float(n)):
         return Model(constant=float(n > 0 and positive == n))
-    chosen = best_terms(codes, rows, y, len(names))
+    chosen = best_terms(codes, rows, y)
     if not len(chosen):
         return Model(constant=positive / n)
-    place = np.full(len(names), -1)
+    place = np.full(int(codes.max()) + 1, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     col = place[codes]
     r, c = rows[col >= 0], col[col >= 0]
@@ -168,7 +169,7 @@ def fit(rows: np.ndarray, codes: np.ndarray, names: np.ndarray, before: np.ndarr
         return value / n + DECAY / 2 * (w[:-1] @ w[:-1]), grad
 
     w = minimise(loss, np.zeros(k + e + 1))
-    return Model(names[chosen], w[:k], w[k:k + e], float(w[-1]))
+    return Model(chosen, w[:k], w[k:k + e], float(w[-1]))
 
 
 def fit_models(terms: list[np.ndarray], y: np.ndarray, fold: np.ndarray, folds: int = FOLDS) -> tuple[list[Model], np.ndarray]:
@@ -178,22 +179,23 @@ def fit_models(terms: list[np.ndarray], y: np.ndarray, fold: np.ndarray, folds:
     A document's probability comes from a model of all other folds' documents, whose own inputs were
     out-of-fold too. A document whose fold holds all documents gets a constant."""
     n, many = y.shape
-    rows = np.repeat(np.arange(n), [len(t) for t in terms])
-    names, codes = np.unique(np.concatenate([np.zeros(0, np.int64), *terms]).astype(np.int64), return_inverse=True)
+    # pairs of the bounded sample, four bytes each side
+    rows = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t in terms])
+    codes = np.concatenate([np.zeros(0, np.int32), *terms]).astype(np.int32, copy=False)
     unseen, models = np.zeros((n, many)), []
     for i in range(many):
-        models.append(fit(rows, codes, names, unseen[:, :i], y[:, i]))
+        models.append(fit(rows, codes, unseen[:, :i], y[:, i]))
         if i == many - 1:
             break
         for k in range(folds):
             own = fold == k
             if not own.any():
                 continue
-            place = np.cumsum(~own) - 1
             others = ~own[rows]
-            model = fit(place[rows[others]], codes[others], names, unseen[~own, :i], y[~own, i])
-            place = np.cumsum(own) - 1
-            unseen[own, i] = model.predict(place[rows[~others]], names[codes[~others]], int(own.sum()), unseen[own, :i])
+            place = np.cumsum(~own, dtype=np.int32) - 1
+            model = fit(place[rows[others]], codes[others], unseen[~own, :i], y[~own, i])
+            place = np.cumsum(own, dtype=np.int32) - 1
+            unseen[own, i] = model.predict(place[rows[~others]], codes[~others], int(own.sum()), unseen[own, :i])
     return models, unseen
 
 
@@ -233,7 +235,7 @@ def _gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [terms_of(t, memory) for t in batch.column("text").to_pylist()]
         keep = [c for c in batch.schema.names if c != "text"]
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(found, pa.list_(pa.int64()))],
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(found, pa.list_(pa.int32()))],
                                          names=[*keep, "terms"])
 
 
@@ -283,7 +285,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample
     # at most sample_rows short rows: a broadcast of a bounded size
     rows = docs.select(F.col(key).alias("fold_key"), text_of(text).alias("text")).join(F.broadcast(sample), "fold_key")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
-    gathered = rows.mapInArrow(_gather, f"{kinds}, terms array<long>")
+    gathered = rows.mapInArrow(_gather, f"{kinds}, terms array<int>")
     # of several documents under one key the one with the first terms: the labels cannot tell them apart
     flags = [F.first(f"y{i}").alias(f"y{i}") for i in range(len(categories))]
     one = gathered.groupBy("fold_key").agg(F.min("terms").alias("terms"), *flags)
