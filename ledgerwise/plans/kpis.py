@@ -227,3 +227,81 @@ def period_change(monthly: DataFrame, value_col: str, month_col: str = "month")
     prev = F.lag(value_col).over(w)
     return monthly.select(month_col, value_col, prev.alias("previous"),
                           F.when(prev != 0, (F.col(value_col) - prev) / F.abs(prev) * 100.0).alias("change_pct"))
+
+
+# ---- G17, G18: cards with change and trend ---------------------------------------
+# Fixed values: (key, column of the wide row, label, unit, what follows the number, has thresholds).
+COMMERCIAL_CARDS = [
+    ("active_customers", "active_customers", "Pelanggan Aktif", "customers", " Akun", False),
+    ("active_subscriptions", "active_subscriptions", "Langganan Aktif", "subscriptions", " Layanan", False),
+    ("mrr", "mrr", "Monthly Recurring Revenue (MRR)", "IDR", "", False),
+    ("unpaid_customers", "unpaid_customers", "Pelanggan Menunggak", "customers", " Pelanggan", True),
+    ("avg_tenure", "avg_tenure_months", "Rata-Rata Lama Berlangganan (Tenure)", "months", " Bulan", False),
+    ("churn_proxy", "churn_proxy", "Churn / Nonaktif Proxy", "subscriptions", " Layanan", True),
+]
+FINANCE_CARDS = [
+    ("net_cashflow", "net_cashflow", "Net Operating Cash Flow", "IDR", "", False),
+    ("total_invoiced", "total_invoiced", "Total Tagihan Diterbitkan", "IDR", "", False),
+    ("total_paid", "total_paid", "Total Penerimaan Kas Masuk", "IDR", "", False),
+    ("outstanding_ar", "outstanding_ar", "Outstanding Piutang (AR)", "IDR", "", True),
+    ("collection_rate", "collection_rate", "Collection Rate", "%", "%", False),
+    ("dso", "dso_days", "Days Sales Outstanding (DSO)", "days", " Hari", True),
+    ("tax_collected", "tax_collected", "Estimasi Pajak PPN (11%)", "IDR", "", False),
+    ("partial_payment_rate", "partial_payment_rate", "Rasio Pembayaran Sebagian", "%", "%", False),
+]
+# Digits shown by unit; all others show whole numbers.
+DIGITS = {"%": 1, "days": 1, "months": 1}
+
+
+def known_by(t: dict, day) -> dict:
+    """The tables cut to rows dated until ``day``: customers by installation, subscriptions by
+    start, invoices and payments by their date. Undated rows stay; statuses are today's, as
+    the source keeps no status history."""
+    dated = {"dim_customer": "installation_date", "stg_customer_subscription": "start_date",
+             "stg_sales_invoice": "invoice_date", "stg_sales_payment": "payment_date"}
+    return t | {name: t[name].where(F.col(col).isNull() | (F.col(col) <= as_date(day))) for name, col in dated.items()}
+
+
+def card_rows(now: DataFrame, before: DataFrame, cards) -> DataFrame:
+    """Cards of one wide KPI row, with the change in percent and the trend against an
+    earlier row (change NULL where the earlier value is zero or missing; trend ``up``, ``down`` or ``flat``).
+    Two one-row tables meet here, whatever the size of the data."""
+    def long(wide, is_now):
+        return wide.select(F.posexplode(F.array(*[F.col(c).cast("double") for _, c, *_ in cards])).alias("pos", "v"),
+                           F.lit(is_now).alias("is_now"))
+
+    both = long(now, True).unionByName(long(before, False)).groupBy("pos").agg(
+        F.max(F.when(F.col("is_now"), F.col("v"))).alias("v"), F.max(F.when(~F.col("is_now"), F.col("v"))).alias("was"))
+
+    def pick(of):
+        return F.element_at(F.array(*[of(c) for c in cards]), F.col("pos") + 1)
+
+    v, was = F.col("v"), F.col("was")
+    unit = pick(lambda c: F.lit(c[3]))
+    digits = pick(lambda c: F.lit(DIGITS.get(c[3], 0)))
+    shown = F.when(digits == 1, F.bround(v, 1)).otherwise(F.when(pick(lambda c: F.lit(c[0])) == "tax_collected",
+                                                               F.bround(v, 0)).otherwise(v))
+    return both.select(
+        F.col("pos").alias("position"),
+        pick(lambda c: F.lit(c[0])).alias("key"),
+        pick(lambda c: F.lit(c[2])).alias("label"),
+        shown.alias("value"),
+        F.concat(F.when(unit == "IDR", F.lit("Rp ")).otherwise(F.lit("")),
+                 F.when(digits == 1, F.format_number(v, 1)).otherwise(F.format_number(v, 0)),
+                 pick(lambda c: F.lit(c[4]))).alias("formatted_value"),
+        unit.alias("unit"),
+        F.when(was != 0, (v - was) / F.abs(was) * 100.0).alias("change_percentage"),
+        F.when(v > was, F.lit("up")).when(v < was, F.lit("down")).otherwise(F.lit("flat")).alias("trend"),
+        pick(lambda c: kpi_status(c[0], v) if c[5] else F.lit("good")).alias("status"),
+    )
+
+
+def commercial_cards(t: dict, as_of) -> DataFrame:
+    """G18, commercial: every card, against the rows known one month earlier."""
+    day = F.add_months(as_date(as_of), -1)
+    return card_rows(commercial_kpis(t, as_of), commercial_kpis(known_by(t, day), day), COMMERCIAL_CARDS)
+
+
+def finance_cards(t: dict, as_of) -> DataFrame:
+    """G18, finance: every card, against the rows known one month earlier."""
+    return card_rows(finance_kpis(t), finance_kpis(known_by(t, F.add_months(as_date(as_of), -1))), FINANCE_CARDS)
