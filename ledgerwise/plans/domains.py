@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import SUCCESS, UNPAID_STATUSES, as_date, days_between, upper_eq, upper_in
+from ..functions.columns import ACTIVE, SUCCESS, UNPAID_STATUSES, as_date, days_between, upper_eq, upper_in
 from ..functions.ordering import running_totals
 from ..sources import bridge
 
@@ -61,6 +61,39 @@ def composite_health(scores: DataFrame, weights: dict | None = None) -> DataFram
     return scores.select("*", F.when(den > 0, num / den).otherwise(F.lit(None)).alias("health_index"))
 
 
+# Weights of the six domains in the health index; the source leaves them open, so they are a parameter.
+DOMAIN_WEIGHTS = {"finance": 0.25, "commercial": 0.20, "procurement": 0.15, "inventory": 0.15, "assets": 0.10, "service": 0.15}
+
+
+def domain_scores(t: dict, dt: dict, as_of) -> DataFrame:
+    """L1: one row with a score from 0 to 100 for each domain, NULL for a domain without rows.
+
+    finance: collected share of what is due; commercial: active share of the subscriptions;
+    procurement: lines received on time; inventory: items not about to run out; assets: healthy
+    share; service: tickets solved in time. Each is an aggregate of its own tables, put side
+    by side as scalars.
+    """
+    def share(df, part, whole, name):
+        p, w = F.sum(part).cast("double"), F.sum(whole).cast("double")
+        return df.agg(F.when(w > 0, p / w * 100.0).alias(name))
+
+    one = F.lit(1)
+    active = F.when(upper_eq("status", ACTIVE), 1).otherwise(0)
+    sound = F.when(F.col("stockout_risk"), 0).otherwise(1)
+    done = vendor_performance(dt["po_lines"])
+    tickets = sla_compliance(dt["events"])
+    scores = [
+        share(t["stg_customer_subscription"], active, one, "commercial"),
+        share(done, F.col("on_time_lines"), F.col("completed_lines"), "procurement"),
+        share(stockout_runway(dt["ledger"], as_of), sound, one, "inventory"),
+        asset_health(dt["part"]).agg(F.max("healthy_asset_ratio").alias("assets")),
+        share(tickets, F.col("met"), F.col("met") + F.col("breached"), "service"),
+    ]
+    finance = collection_efficiency(t, as_of).select(
+        F.when(F.col("amount_due") > 0, F.col("collection_efficiency")).alias("finance"))
+    return finance.select("finance", *[s.scalar().alias(s.columns[0]) for s in scores])
+
+
 def collection_efficiency(t: dict, as_of) -> DataFrame:
     """L2: collected on invoices already due / amount of invoices already due x 100."""
     due = t["stg_sales_invoice"].where(F.col("due_date") <= as_date(as_of)).select("source_id", "total_amount")

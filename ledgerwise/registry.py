@@ -353,6 +353,8 @@ def _l01(s, d):
 
 
 register("l01_composite_health")(_l01)
+register("l01_six_domain_health")(lambda s, d: domains.composite_health(
+    domains.domain_scores(wh(s, d), _dt_tables(s, d), AS_OF), domains.DOMAIN_WEIGHTS))
 register("l02_collection_efficiency")(lambda s, d: domains.collection_efficiency(wh(s, d), AS_OF))
 register("l03_ar_aging_60_ratio")(lambda s, d: domains.ar_aging_60_ratio(wh(s, d), AS_OF))
 register("l04_po_lead_times")(lambda s, d: domains.po_lead_times(_dt_tables(s, d)["po_lines"]))
