@@ -249,8 +249,16 @@ FINANCE_CARDS = [
     ("tax_collected", "tax_collected", "Estimasi Pajak PPN (11%)", "IDR", "", False),
     ("partial_payment_rate", "partial_payment_rate", "Rasio Pembayaran Sebagian", "%", "%", False),
 ]
+OVERVIEW_TREND_CARDS = [
+    ("health_score", "health_score", "Indeks Kesehatan Operasional", "score", " / 100", False),
+    ("active_customers", "active_customers", "Pelanggan Aktif", "customers", " Pelanggan", False),
+    ("mrr", "mrr", "Monthly Recurring Revenue", "IDR", "", False),
+    ("net_cashflow", "net_cashflow", "Net Operating Cash Flow", "IDR", "", False),
+    ("unpaid_ar", "unpaid_ar", "Total Piutang Belum Tertagih", "IDR", "", True),
+    ("collection_rate", "collection_rate", "Tingkat Penagihan (Collection Rate)", "%", "%", True),
+]
 # Digits shown by unit; all others show whole numbers.
-DIGITS = {"%": 1, "days": 1, "months": 1}
+DIGITS = {"%": 1, "days": 1, "months": 1, "score": 1}
 
 
 def known_by(t: dict, day) -> dict:
@@ -305,3 +313,9 @@ def commercial_cards(t: dict, as_of) -> DataFrame:
 def finance_cards(t: dict, as_of) -> DataFrame:
     """G18, finance: every card, against the rows known one month earlier."""
     return card_rows(finance_kpis(t), finance_kpis(known_by(t, F.add_months(as_date(as_of), -1))), FINANCE_CARDS)
+
+
+def overview_cards(t: dict, as_of) -> DataFrame:
+    """G18, overview: every card, against the rows known one month earlier."""
+    day = F.add_months(as_date(as_of), -1)
+    return card_rows(overview_kpis(t, as_of), overview_kpis(known_by(t, day), day), OVERVIEW_TREND_CARDS)

@@ -381,6 +381,7 @@ register("l16_root_cause_breakdown")(lambda s, d: domains.root_cause_breakdown(_
 
 # ---- G18, G19, D3, D6, D7 ----
 register("g18_kpi_rows")(lambda s, d: kpis.kpi_rows(kpis.overview_kpis(wh(s, d), AS_OF)))
+register("g18_overview_cards")(lambda s, d: kpis.overview_cards(wh(s, d), AS_OF))
 register("g18_commercial_cards")(lambda s, d: kpis.commercial_cards(wh(s, d), AS_OF))
 register("g18_finance_cards")(lambda s, d: kpis.finance_cards(wh(s, d), AS_OF))
 register("g19_period_change")(
