@@ -1,10 +1,13 @@
 """Approximate nearest neighbours by inner product on robust-pruned directed graphs.
 
-Vectors are dealt to shards of a bounded size. Each shard's graph is built by inserting its
+Vectors are dealt to shards as large as a task's memory allows. Each shard's graph is built by inserting its
 vectors in batches: a greedy beam search on the graph so far proposes neighbours, relaxed
 distance pruning keeps diverse edges (a candidate goes when a kept neighbour is nearer to it,
 by the factor ``ALPHA``, than the new vector is), and reverse edges are added and pruned the
-same way. A query's beam search runs on every shard and the shards' best are merged.
+same way. A query's beam search runs on every shard and the shards' best are merged. A shard is
+sent to one task, once; the queries stream past it in batches. The work grows with queries x
+shards, so shards grow first (up to ``SHARD_BYTES``, the beam with the root of their size) and
+only then become more than ``SPREAD``.
 
 Largest inner product becomes nearest in Euclidean space by one more component,
 sqrt(max norm^2 - norm^2), which is 0 for queries. Equal vectors share one node, which keeps
@@ -13,8 +16,11 @@ the smallest ids; copies would otherwise crowd each other's edges out.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,10 +28,12 @@ from .common import materialize, ship
 from .metric_join import usable
 
 K = 20
-#: Vectors of a shard, edges of a node, beam while building and while searching, slack of the pruning.
-SHARD_ROWS, EDGES, BUILD_BEAM, BEAM, ALPHA = 5000, 32, 64, 128, 1.2
-#: Queries of one task; nodes that a step of the beam search expands.
-QUERY_BLOCK, WIDTH = 4096, 4
+#: Edges of a node, beam while building and while searching ``SHARD_ROWS`` nodes, slack of the pruning.
+EDGES, BUILD_BEAM, BEAM, ALPHA = 32, 64, 128, 1.2
+#: Vectors of a small table's shard; shards that such tables are spread over at most; bytes of a large table's shard.
+SHARD_ROWS, SPREAD, SHARD_BYTES = 5000, 32, 64 << 20
+#: Queries searched at once (a byte a query and node is held); nodes that a step of the beam search expands.
+QUERY_BLOCK, WIDTH = 256, 4
 
 
 def beam_search(x: np.ndarray, sq: np.ndarray, graph: np.ndarray, entry: np.ndarray, q: np.ndarray, beam: int):
@@ -145,8 +153,11 @@ def _build(edges: int, beam: int, alpha: float):
         x = np.array(pdf["vec"].tolist(), dtype=np.float64)
         graph, entry = build_graph(lift(x), edges, beam, alpha)
         ids = pdf["ids"].tolist()
+        with np.errstate(over="ignore"):
+            single = x.astype("<f4")
+        kept = single if (single == x).all() else x.astype("<f8")  # the vectors as they are, in the fewest bytes
         return pd.DataFrame([{
-            "dim": pdf["dim"].iloc[0], "shard": pdf["shard"].iloc[0], "n": len(x), "vectors": x.tobytes(),
+            "dim": pdf["dim"].iloc[0], "shard": pdf["shard"].iloc[0], "n": len(x), "vectors": kept.tobytes(),
             "graph": graph.astype("<i4").tobytes(), "entry": entry.astype("<i4").tobytes(),
             "ids": np.concatenate(ids).astype("<i8").tobytes(), "many": np.array([len(i) for i in ids], "<i4").tobytes()}])
 
@@ -154,51 +165,90 @@ def _build(edges: int, beam: int, alpha: float):
 
 
 INDEX = "dim int, shard int, n int, vectors binary, graph binary, entry binary, ids binary, many binary"
+NODE_COLUMNS = ["n", "vectors", "graph", "entry", "ids", "many"]
+NODE = "struct<n:int,vectors:binary,graph:binary,entry:binary,ids:binary,many:binary>"
+
+
+class Shard:
+    """A shard's graph and vectors, ready for beam searches."""
+
+    def __init__(self, row: dict, dim: int, k: int, beam: int):
+        n = row["n"]
+        self.x = np.frombuffer(row["vectors"], f"<f{len(row['vectors']) // (n * dim)}").reshape(n, dim)
+        self.graph = np.frombuffer(row["graph"], "<i4").reshape(n + 1, -1)
+        self.entry = np.frombuffer(row["entry"], "<i4")
+        self.ids = np.frombuffer(row["ids"], "<i8")
+        self.ends = np.append(0, np.cumsum(np.frombuffer(row["many"], "<i4")))
+        lifted = lift(self.x.astype(np.float64))
+        self.xp = np.vstack([lifted, np.zeros((1, lifted.shape[1]), np.float32)])
+        self.sq = (self.xp * self.xp).sum(axis=1)
+        self.k, self.beam = k, max(int(beam * max(1.0, n / SHARD_ROWS) ** 0.5), k + 1)
+
+    def nearest(self, q: np.ndarray, own: np.ndarray) -> Iterator[tuple[list, list]]:
+        """Ids and scores of the ``k`` best found for each row of ``q``, without the query's own id."""
+        scaled = q / np.abs(q).max(axis=1, keepdims=True)
+        found, _ = beam_search(self.xp, self.sq, self.graph, self.entry,
+                               np.hstack([scaled, np.zeros((len(q), 1))]).astype(np.float32), self.beam)
+        for i, me in enumerate(own.tolist()):
+            near = found[i][found[i] >= 0]
+            score = (self.x[near].astype(np.float64) * q[i]).sum(axis=1)
+            if len(near) > self.k + 1:  # one node may be the query's alone; ties at the end stay
+                top = score >= np.partition(score, -self.k - 1)[-self.k - 1]
+                near, score = near[top], score[top]
+            got = sorted((-s, v) for s, g in zip(score.tolist(), near.tolist())
+                         for v in self.ids[self.ends[g]:self.ends[g + 1]].tolist() if v != me)[:self.k]
+            yield [v for _, v in got], [-s for s, _ in got]
+
+
+FOUND = "q long, query_id long, ids array<long>, scores array<double>"
+
 
+def _search(k: int, beam: int, block: int):
+    """Rows sorted by shard, each shard's index before its queries: one index is held at a time."""
 
-def _search(k: int, beam: int):
-    def run(queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-        names = ["q", "query_id", "vec_id", "score"]
-        if queries.empty or index.empty:
-            return pd.DataFrame({c: pd.Series(dtype="float64" if c == "score" else "int64") for c in names})
-        row = index.iloc[0]
-        x = np.frombuffer(row["vectors"]).reshape(row["n"], -1)
-        graph = np.frombuffer(row["graph"], "<i4").reshape(row["n"] + 1, -1)
-        entry, ids = np.frombuffer(row["entry"], "<i4"), np.frombuffer(row["ids"], "<i8")
-        ends = np.cumsum(np.frombuffer(row["many"], "<i4"))
-        groups = np.split(ids, ends[:-1])
-        lifted = lift(x)
-        xp = np.vstack([lifted, np.zeros((1, lifted.shape[1]), np.float32)])
-        sq = (xp * xp).sum(axis=1)
-        out = []
-        for lo in range(0, len(queries), 256):
-            part = queries.iloc[lo:lo + 256]
-            q = np.array(part["vec"].tolist(), dtype=np.float64)
-            scaled = q / np.abs(q).max(axis=1, keepdims=True)
-            found, _ = beam_search(xp, sq, graph, entry, np.hstack([scaled, np.zeros((len(q), 1))]).astype(np.float32),
-                                   max(beam, k + 1))
-            for i, (uid, query_id) in enumerate(zip(part["q"], part["query_id"])):
-                near = found[i][found[i] >= 0]
-                score = (x[near] * q[i]).sum(axis=1)
-                got = [(-s, v) for s, g in zip(score.tolist(), near.tolist()) for v in groups[g].tolist() if v != query_id]
-                out += [(uid, query_id, v, -s) for s, v in sorted(got)[:k]]
-        return pd.DataFrame(out, columns=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, shard = None, None
+        for batch in batches:
+            place = np.stack([batch.column(c).to_numpy() for c in ("dim", "shard", "kind")])
+            cuts = np.append(0, np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1).tolist()
+            for lo, hi in zip(cuts, [*cuts[1:], batch.num_rows]):
+                if lo == hi:
+                    continue
+                dim, name, kind = place[:, lo].tolist()
+                if kind == 0:
+                    at, shard = (dim, name), Shard(batch.column("node")[lo].as_py(), dim, k, beam)
+                    continue
+                if at != (dim, name):
+                    raise RuntimeError("a query came before its shard")
+                for start in range(lo, hi, block):
+                    part = batch.slice(start, min(block, hi - start))
+                    q = part.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+                    own = part.column("query_id").to_numpy()
+                    ids, scores = zip(*shard.nearest(q, own))
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("q"), part.column("query_id"), pa.array(ids, pa.list_(pa.int64())),
+                         pa.array(scores, pa.list_(pa.float64()))], names=["q", "query_id", "ids", "scores"])
 
     return run
 
 
 def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = K,
-                shard_rows: int = SHARD_ROWS, edges: int = EDGES, beam: int = BUILD_BEAM, alpha: float = ALPHA) -> DataFrame:
+                shard_rows: int = SHARD_ROWS, edges: int = EDGES, beam: int = BUILD_BEAM, alpha: float = ALPHA,
+                spread: int = SPREAD, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per shard (graph, vectors, ids), written to the shared folder. Every usable
     vector is indexed: equal ones as one node with its ``k`` + 1 smallest ids, all that a search
-    for ``k`` without the query's own can return."""
+    for ``k`` without the query's own can return. Up to ``spread`` shards hold ``shard_rows``
+    vectors; beyond that shards grow until their vectors and edges fill ``shard_bytes``."""
     ship(vectors.sparkSession)
     rows = vectors.where(usable(vector) & F.col(key).isNotNull()).select(
         F.col(key).cast("long").alias("id"), F.col(vector).alias("vec")).distinct()
     few = rows.withColumn("r", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("r") <= k + 1)
     nodes = few.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     nodes = materialize(nodes.select("vec", "ids", F.size("vec").alias("dim"), F.col("ids")[0].alias("c")), "nodes")
-    shards = materialize(nodes.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards")), "dims")
+    n, node_bytes = F.count(F.lit(1)), 8 * F.col("dim") + 4 * edges
+    shards = materialize(nodes.groupBy("dim").agg(n.alias("n")).select("dim", F.greatest(
+        F.least(F.ceil(F.col("n") / shard_rows), F.lit(spread)),
+        F.ceil(F.col("n") * node_bytes / shard_bytes)).cast("int").alias("shards")), "dims")
     dealt = nodes.join(shards, "dim").withColumn("shard", F.pmod(F.xxhash64("vec"), F.col("shards")).cast("int"))
     # building a graph is work far beyond its bytes: an own task for nearly every shard
     tasks = shards.agg(F.sum("shards")).first()[0] or 1
@@ -214,23 +264,24 @@ def search(index: DataFrame, queries: DataFrame, key: str = "vec_id", vector: st
     smaller id. Ids equal to the query's are no candidates. Queries whose vector is null,
     zero or holds null or non-finite components, or whose key is null, give no rows; a
     repeated query row counts once; vectors of another length are never compared.
-    Blocks of ``block`` queries visit every shard.
+    Every query visits every shard of its length, ``block`` queries at once; a shard returns one
+    row of at most ``k`` candidates a query. ``beam`` is the width at ``SHARD_ROWS`` nodes.
     """
     ship(index.sparkSession)
     asked = queries.where(usable(vector) & F.col(key).isNotNull()).select(
         F.col(key).cast("long").alias("query_id"), F.col(vector).alias("vec")).distinct()
     asked = materialize(asked.withColumn("q", F.monotonically_increasing_id()).withColumn("dim", F.size("vec")), "queries")
-    blocks = asked.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    shards = index.groupBy("dim").agg(F.collect_set("shard").alias("all_shards"))
-    plan = materialize(blocks.join(shards, "dim"), "plan")
-    sent = asked.join(plan, "dim").select(
-        "q", "query_id", "vec", "dim", F.pmod(F.xxhash64("q"), F.col("blocks")).cast("int").alias("block"),
-        F.explode("all_shards").alias("shard"))
-    copies = index.join(plan.select("dim", "blocks"), "dim").withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    by = ["dim", "shard", "block"]
-    found = sent.groupBy(*by).cogroup(copies.groupBy(*by)).applyInPandas(
-        _search(k, beam), "q long, query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
-    best = found.withColumn("rank", rank).where(F.col("rank") <= k)
-    return best.select("query_id", "rank", "vec_id", "score")
+    shards = index.groupBy("dim").agg(F.collect_set("shard").alias("shards"))
+    sent = asked.join(shards, "dim").select("dim", F.explode("shards").alias("shard"), F.lit(1).alias("kind"),
+                                            F.lit(None).cast(NODE).alias("node"), "q", "query_id", "vec")
+    none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in asked.schema.fields}
+    held = index.select("dim", "shard", F.lit(0).alias("kind"), F.struct(*NODE_COLUMNS).cast(NODE).alias("node"),
+                        none["q"], none["query_id"], none["vec"])
+    tasks = 2 * max(index.count(), 1)
+    dealt = held.unionByName(sent).repartition(tasks, "dim", "shard").sortWithinPartitions("dim", "shard", "kind", "q")
+    found = dealt.mapInArrow(_search(k, beam, block), FOUND)
+    # a shard's candidates cross the shuffle as one row; ranks are taken where they arrive
+    each = found.repartition("q").select("q", "query_id", F.explode(F.arrays_zip("ids", "scores")).alias("c"))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("c.scores"), "c.ids"))
+    best = each.withColumn("rank", rank).where(F.col("rank") <= k)
+    return best.select("query_id", "rank", F.col("c.ids").alias("vec_id"), F.col("c.scores").alias("score"))

@@ -88,6 +88,23 @@ def test_op4_many_shards_norms_and_copies(spark):
     assert mine == [j for j, _ in q]
 
 
+def test_op4_shards_grow_before_they_get_many(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, [float(np.float32(c)) for c in v], 0) for i, v in enumerate(rng.normal(size=(1200, 16)))]
+    df = spark.createDataFrame(rows, VEC)
+    node = 8 * 16 + 4 * ann.EDGES
+    count = lambda **how: ann.build_index(df, **how).count()
+    assert count(shard_rows=400) == 3
+    assert count(shard_rows=20, spread=4) == 4  # larger shards, not 60
+    assert count(shard_rows=20, spread=2, shard_bytes=200 * node) == 6  # memory bounds a shard
+    index = ann.build_index(df, shard_rows=20, spread=4)
+    found = ann.search(index, df.where("vec_id % 20 = 0"), block=7)
+    assert recall_of(found.collect(), nearest([(i, v) for i, v, _ in rows])) >= 0.9
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning(dim#") == 2  # the list of shards; shards with their queries, once
+    assert plan.count("Exchange hashpartitioning(q#") == 1  # candidates; the ranks need no further exchange
+
+
 def test_op4_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 1), (1, None, 1), (2, [0.0, 0.0], 1), (3, [nan, 1.0], 1), (4, [1.0, None], 1),
