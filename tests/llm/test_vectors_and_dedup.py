@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -174,6 +175,66 @@ def test_op5_edges(spark):
     assert metric_join.link_vectors(df.limit(0)).count() == 0
 
 
+def clustered(n, dim=16, centres=24, seed=3):
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(size=(centres, dim))
+    return [[float(np.float32(c)) for c in middle[rng.integers(centres)] + rng.normal(scale=0.12, size=dim)] for _ in range(n)]
+
+
+def test_op5_few_replicas_where_vectors_have_structure(spark, monkeypatch, caplog):
+    vecs = clustered(700)
+    rows = [(i, v, i % 2) for i, v in enumerate(vecs)]
+    df = spark.createDataFrame(rows, VEC)
+    monkeypatch.setattr(metric_join, "STRIP", 500)  # many strips a block
+    with caplog.at_level("INFO", logger=metric_join.__name__):
+        assert links_of(df, cell=16, block=40, move=0) == brute_links(rows)
+    vectors, cells, _ = caplog.records[-1].args
+    assert vectors == 700 and 1 < cells < 8  # of about 22 a label
+    x = metric_join.unit(vecs)
+    best = metric_join.best_pivots(x[:32], x[32:], 1e6, 0.93, 16384, 128)
+    assert best is not None and len(best.points) >= 16
+    home, near = best.place(x)
+    links = x @ x.T >= 0.93  # every neighbour's cell is among a vector's own
+    a, b = np.nonzero(links)
+    assert near[a, home[b]].all()
+    # without structure no partition is worth its replicas
+    flat = metric_join.unit(np.random.default_rng(1).normal(size=(600, 64)).tolist())
+    assert metric_join.best_pivots(flat[:120], flat[120:], 1e6, 0.93, 16384, 128) is None
+
+
+def test_op5_forest_of_strips():
+    rng = np.random.default_rng(8)
+    root, want = np.arange(300), Union()
+    for _ in range(6):
+        u, v = rng.integers(0, 300, 40), rng.integers(0, 300, 40)
+        metric_join.unite(root, u, v)
+        for a, b in zip(u.tolist(), v.tolist()):
+            want.join(a, b)
+    groups = defaultdict(list)
+    for i in range(300):
+        groups[want.root(i)].append(i)
+    assert all(root[i] == min(g) for g in groups.values() for i in g)
+
+
+def test_op5_query_links_near_copies(spark, tmp_path):
+    t = pq.read_table(f"{SF}/embeddings.parquet")
+    ids, vecs, labels = t["vec_id"].to_pylist(), t["embedding"].to_pylist(), t["label"].to_pylist()
+    rng, top = np.random.default_rng(2), max(ids) + 1
+    for i in range(0, 60, 2):  # three noisy copies of every second of the first rows, one with another label
+        for k, scale in enumerate((0.05, 0.2, 0.05)):
+            ids.append(top + 10 * i + k)
+            noisy = np.array(vecs[i]) * (1 + rng.normal(scale=scale, size=len(vecs[i])))
+            vecs.append([float(np.float32(c)) for c in noisy])
+            labels.append(labels[i] + (k == 2))
+    made = pa.table({"vec_id": ids, "embedding": pa.array(vecs, t.schema.field("embedding").type),
+                     "label": pa.array(labels, t.schema.field("label").type)})
+    pq.write_table(made, f"{tmp_path}/embeddings.parquet")
+    got = queries.op5_metric_join(spark, str(tmp_path)).collect()
+    want = brute_links(list(zip(ids, vecs, labels)))
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == want
+    assert sum(n > 0 for _, n, _ in want) > 60
+
+
 # -- op9 -------------------------------------------------------------------------------
 def brute_near(texts, k, percent):
     """Per row: size of the set, and the smallest key of its component."""
