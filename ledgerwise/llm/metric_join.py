@@ -34,8 +34,8 @@ from .common import components, materialize, ship
 COSINE = 0.93
 #: Vectors for each pivot, pivots altogether (a bounded sample, sent to all tasks), sampled vectors for each pivot.
 CELL, PIVOTS, PROBES = 4096, 1024, 4
-#: Rows of a block; pairs compared at once; comparisons that cost as much as moving one row.
-BLOCK, STRIP, MOVE = 16384, 1 << 22, 128
+#: Rows of a block; pairs compared at once; comparisons that cost as much as moving one row; cost that more pivots must come under.
+BLOCK, STRIP, MOVE, GAIN = 16384, 1 << 22, 128, 0.8
 
 log = logging.getLogger(__name__)
 
@@ -71,7 +71,7 @@ class Pivots:
 
 def best_pivots(points: np.ndarray, probes: np.ndarray, rows: float, cosine: float, block: int, move: float) -> Pivots | None:
     """The cheapest number of pivots for a label of about ``rows`` vectors, measured on
-    ``probes``; None: one cell for all."""
+    ``probes``; None: one cell for all. More pivots than that must save a fifth."""
     def cost(asks: np.ndarray, answers: np.ndarray) -> float:
         moved = np.maximum(asks + answers, 2 * asks * answers / block)
         return (asks * answers).sum() + move * moved.sum()
@@ -82,7 +82,7 @@ def best_pivots(points: np.ndarray, probes: np.ndarray, rows: float, cosine: flo
         home, near = tried.place(probes)
         share = rows / len(probes)
         now = cost(np.bincount(home, minlength=len(tried.points)) * share, near.sum(axis=0) * share)
-        if now < least:
+        if now < GAIN * least:
             best, least = tried, now
         if many >= len(points):
             break
