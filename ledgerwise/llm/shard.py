@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 TABLE_SIZE = 2053  # prime, about 100 slots for each of 20 shards: shares differ by one slot
 SHARDS = tuple(f"shard-{i:02d}" for i in range(20))
 
@@ -53,13 +55,27 @@ def lookup_table(spark: SparkSession, shards=SHARDS, size: int = TABLE_SIZE) ->
 
 def place(df: DataFrame, lookup: DataFrame, key: str, size: int = TABLE_SIZE) -> DataFrame:
     """Add ``slot`` and ``shard`` to every row by ``key``; a null key hashes as the empty text,
-    equal keys share a shard. Clashing columns of the input are replaced."""
-    df = df.drop("slot", "shard")
-    slot = (hash_long(F.coalesce(F.col(key).cast("string"), F.lit("")), "/key") % size).cast("int")
-    return df.withColumn("slot", slot).join(F.broadcast(lookup), "slot")
+    equal keys share a shard. Columns of the input with these names stay, as ``input_slot`` and
+    ``input_shard`` (with ``input_`` once more while that is taken too)."""
+    taken, names = {c.lower() for c in df.columns} | {"slot", "shard"}, {}
+    for c in df.columns:
+        names[c] = c
+        if c.lower() in ("slot", "shard"):
+            while names[c].lower() in taken:
+                names[c] = f"input_{names[c]}"
+            taken.add(names[c].lower())
+    slot = (hash_long(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), "/key") % size).cast("int")
+    kept = df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], slot.alias("slot"))
+    return kept.join(F.broadcast(lookup), "slot")
 
 
 def write_sharded(placed: DataFrame, path: str, splits: int = 1) -> None:
-    """One folder per shard; ``splits`` files at most for each, so a heavy shard is no single task."""
+    """One folder per shard; ``splits`` files at most for each, so a heavy shard is no single
+    task. Rows are dealt to the splits by chance, repeated ones too; they are written first, so
+    a task that is run again deals them alike."""
+    rows = placed.select(F.col("shard").alias("_shard"), F.struct(*[F.col(f"`{c}`") for c in placed.columns]).alias("row"))
+    if splits > 1:
+        rows = materialize(rows, "placed")
     salt = F.floor(F.rand(7) * splits).cast("int")
-    placed.withColumn("_s", salt).repartition("shard", "_s").drop("_s").write.partitionBy("shard").parquet(path)
+    dealt = rows.withColumn("_split", salt).repartition("_shard", "_split")
+    dealt.select("row.*").write.partitionBy("shard").parquet(path)

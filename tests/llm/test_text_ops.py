@@ -325,6 +325,19 @@ def test_op6_shares_are_even(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 20_000
 
 
+def test_op6_keeps_columns_that_clash_and_splits_repeated_rows(spark, tmp_path):
+    lookup = shard.lookup_table(spark, ["a", "b"], 211)
+    df = spark.createDataFrame([(1, "x", "y", "z", "w")], "id long, slot string, Shard string, input_slot string, `a.b` string")
+    row = shard.place(df, lookup, "id", 211).first().asDict()
+    assert row["input_input_slot"] == "x" and row["input_Shard"] == "y" and row["input_slot"] == "z" and row["a.b"] == "w"
+    assert isinstance(row["slot"], int) and row["shard"] in ("a", "b")
+    assert shard.place(df, lookup, "slot", 211).count() == 1  # a clashing column may be the key
+    same = spark.range(400).select(F.lit(7).alias("id"), F.lit("row").alias("row"), F.lit(1).alias("_split"))
+    shard.write_sharded(shard.place(same, lookup, "id", 211), str(tmp_path / "out"), splits=3)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == 400 and out.select("id", "row", "_split", "slot", "shard").distinct().count() == 1
+
+
 # -- op8 -------------------------------------------------------------------------------
 def check_pieces(rows, want, capacity=2048):
     by_doc, by_seq = defaultdict(list), defaultdict(list)
