@@ -59,8 +59,7 @@ def fact_billing_monthly(inv: DataFrame, dimc: DataFrame, batch_id: str, target:
         "invoice_period", "customer_key",
         F.col("total_amount").cast("decimal(18,2)").alias("invoiced_amount"),
         F.col("paid_amount").cast("decimal(18,2)").alias("paid_amount"),
-        "payment_status", F.col("days_late").cast("int").alias("days_late"),
-        F.lit(str(batch_id)).alias("batch_id"), *order,
+        "payment_status", F.col("days_late").cast("int").alias("days_late"), *order,
     )
     keys = ["invoice_period", "customer_key"]
     if agg == "sum":
@@ -70,10 +69,10 @@ def fact_billing_monthly(inv: DataFrame, dimc: DataFrame, batch_id: str, target:
             F.sum("paid_amount").cast("decimal(18,2)").alias("paid_amount"),
             F.max_by("payment_status", o).alias("payment_status"),
             F.max("days_late").alias("days_late"),
-            F.first("batch_id").alias("batch_id"),
         )
     else:
-        rows = dedupe_last(rows, keys, order)
+        rows = dedupe_last(rows, keys, order, BILLING_COLS[:-1])
+    rows = rows.withColumn("batch_id", F.lit(str(batch_id)))  # one for all: not shuffled
     return upsert(target, rows.select(*BILLING_COLS), keys)
 
 
