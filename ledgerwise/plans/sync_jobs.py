@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dims, facts, features, quality, staging
+from ..session import materialize
 from ..sources import erp
 
 SUB_REQUIRED = ["source_id", "customer_id", "subscription_no"]
@@ -53,7 +54,7 @@ def _land(store: staging.StateStore, table: str, batch_id: str, records: DataFra
     path = f"{store.root}/_extract/{table}/batch_id={batch_id}"
     seen = Observation()
     measures = [*quality.check_measures(not_null, non_negative), F.max(change_time).alias("_last")]
-    records.observe(seen, *measures).write.mode("overwrite").parquet(path)
+    records.observe(seen, *measures).write.mode("overwrite").option("compression", staging.CODEC).parquet(path)
     got = seen.get
     names = [f"_null_{c}" for c in not_null] + [f"_neg_{c}" for c in non_negative]
     one = store.spark.createDataFrame([tuple([got.get("_n", 0), *[got.get(c) for c in names]])],
@@ -71,10 +72,11 @@ CURRENT = {
 
 
 def _stage(store: staging.StateStore, table: str, rows: DataFrame) -> None:
-    """Append the batch to the staging log, and merge it into the current rows of its periods."""
+    """Append the batch, a projection of landed records, to the staging log, and merge it into the current rows of its periods."""
     store.append(table, rows)
     date, order = CURRENT[table]
-    store.merge(f"current_{table}", rows.withColumn("period", F.date_format(date, store.period)), ["source_id"], "period", list(order))
+    store.merge(f"current_{table}", rows.withColumn("period", F.date_format(date, store.period)), ["source_id"], "period", list(order),
+                written=True)
 
 
 def _clock(now: dt.datetime | None) -> dt.datetime:
@@ -125,21 +127,31 @@ def run_subscription_sync(spark: SparkSession, src: dict, store: staging.StateSt
     return {"batch_id": bid, **seen}
 
 
+def _known(dimc: DataFrame) -> DataFrame:
+    return dimc.where("is_current").select("customer_id").distinct()
+
+
 def _split_known(inv: DataFrame, dimc: DataFrame | None) -> tuple[DataFrame | None, DataFrame]:
     """Invoices whose customer the dimension knows, and the others."""
     if dimc is None:
         return None, inv
-    known = dimc.where("is_current").select("customer_id").distinct()
-    return inv.join(known, "customer_id", "left_semi"), inv.join(known, "customer_id", "left_anti")
+    return inv.join(_known(dimc), "customer_id", "left_semi"), inv.join(_known(dimc), "customer_id", "left_anti")
 
 
 def _load_bills(store: staging.StateStore, inv: DataFrame, dimc: DataFrame | None, batch_id: str) -> None:
     """Facts of known customers; invoices of unknown ones wait in ``pending_invoice``, newest version each."""
     waiting = store.read("pending_invoice")
-    both = inv if waiting is None else staging.dedupe_last(
-        waiting.withColumn("_now", F.lit(0)).unionByName(inv.withColumn("_now", F.lit(1))), "source_id",
-        ["source_updated_at", "_now"]).drop("_now")
-    known, unknown = _split_known(both, dimc)
+    if waiting is None:
+        known, unknown = _split_known(inv, dimc)
+    else:
+        both = staging.latest_by_source(
+            waiting.withColumn("_now", F.lit(0)).unionByName(inv.withColumn("_now", F.lit(1))), "source_id",
+            ["source_updated_at", "_now"]).drop("_now")
+        if dimc is None:
+            known, unknown = None, both
+        else:  # newest versions and what is known of them: one pass, written once, read by both sides
+            both = materialize(both.join(_known(dimc).withColumn("_known", F.lit(True)), "customer_id", "left"), "invoices")
+            known, unknown = (both.where(c).drop("_known") for c in ("_known", "_known IS NULL"))
     if known is not None:
         store.merge("fact_billing_monthly", facts.fact_billing_monthly(known, dimc, batch_id),
                     ["invoice_period", "customer_key"], "invoice_period")
