@@ -16,11 +16,12 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,22 +32,60 @@ CAPACITY = 2048
 #: Documents that are spread together, and the largest piece of a document's rest.
 BATCH_DOCS, PIECE = 512, 256
 END_ID = 1
-#: Entries of a worker's memory of encoded words; it is emptied when full.
-MEMORY = 300_000
+#: Entries of a worker's memory of encoded parts of words, and of the words that are not cut.
+MEMORY, WHOLE_MEMORY = 450_000, 150_000
+#: Bytes of text (one text at least) whose words are looked up together.
+BLOCK = 2 << 20
 
 # White space that every splitter here agrees on, and characters whose lower case, normal form
-# and class need no tables: for words of these, pieces are encoded one by one and remembered.
-_ODD_SPACE = re.compile(r"[\x1c-\x1f\x85᠎]")
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+# and class need no tables: words of these are cut into the parts that the tokenizer encodes.
+_ODD_SPACE = r"[\x{1c}-\x{1f}\x{85}\x{180e}]"
+_PLAIN = "^[!-~À-ÖØ-öø-ÿ]+$"
+_PARTS = "('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+)"
+
+
+class Memory:
+    """Remembers what ``make`` returned for short keys. When half of ``size`` is new, what was
+    not asked for since the last such time is forgotten, so frequent keys stay."""
+
+    def __init__(self, make: Callable[[str], bytes], size: int):
+        self.make, self.half = make, max(1, size // 2)
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def __call__(self, keys: list[str]) -> list[bytes]:
+        got = list(map(self.new.get, keys))
+        for i, key in enumerate(keys):
+            if got[i] is None:
+                value = self.old.get(key)
+                got[i] = value = self.make(key) if value is None else value
+                if len(key) <= 64:
+                    if len(self.new) >= self.half:
+                        self.old, self.new = self.new, {}
+                    self.new[key] = value
+        return got
+
+
+def _strings(of: pa.Array) -> list[str]:
+    return of.to_numpy(zero_copy_only=False).tolist()
+
+
+def _joined(lists: pa.Array, ids_of: Callable) -> pa.Array:
+    """The ids of each list of strings in a row; ``ids_of`` is asked once for the distinct strings."""
+    strings = lists.flatten().dictionary_encode()
+    ids = ids_of(strings.dictionary)
+    joined = pa.ListArray.from_arrays(lists.offsets, ids.take(strings.indices))
+    return pc.binary_join(joined, pa.scalar(b"", ids.type))
 
 
 class WordEncoder:
     """Ids (little-endian unsigned 32 bit) of whole texts by a word-level BPE with word ends.
 
-    White space always ends a word, so a text's ids are its words' ids in a row; frequent
-    words are remembered. Words outside the plain letters go to the tokenizer itself, and so do
-    whole texts that hold an added token, such as ``<|endoftext|>``.
+    White space always ends a word, so a text's ids are its words' ids in a row, and a word's
+    are those of its parts. The distinct words of a block of texts are cut once, their distinct
+    parts looked up once, and frequent parts are remembered. Words outside the plain letters go
+    to the tokenizer itself, and so do whole texts that hold an added token, such as
+    ``<|endoftext|>``.
     """
 
     def __init__(self, path: str):
@@ -56,43 +95,51 @@ class WordEncoder:
         added = self.full.get_added_tokens_decoder().values()
         if any(t.normalized for t in added):
             raise ValueError(f"{path}: added tokens that are looked for in normalized texts are not supported")
-        self.added = re.compile("|".join(re.escape(t.content) for t in added) or r"(?!)")
+        self.added = [t.content for t in added]
         self.model = self.full.model
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in kept]
         self.as_char = {**{b: chr(b) for b in kept}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.as_bytes = [i.to_bytes(4, "little") for i in range(max(self.full.get_vocab().values()) + 1)]
+        self.parts, self.words = Memory(self._part, MEMORY), Memory(self._ids, WHOLE_MEMORY)
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _part(self, part: str) -> bytes:
-        got = self.parts.get(part)
-        if got is None:
-            tokens = self.model.tokenize(part.encode().decode("latin-1").translate(self.as_char))
-            got = np.array([t.id for t in tokens], dtype="<u4").tobytes()
-            if len(self.parts) >= MEMORY:
-                self.parts.clear()
-            self.parts[part] = got
-        return got
-
-    def _word(self, word: str) -> bytes:
-        if not _PLAIN.fullmatch(word):
-            got = self._ids(word)
-        else:
-            got = b"".join([self._part(p) for p in _PARTS.findall(word.lower())])
-        if len(word) <= 64:
-            if len(self.words) >= MEMORY:
-                self.words.clear()
-            self.words[word] = got
-        return got
+        chars = part if part.isascii() else part.encode().decode("latin-1").translate(self.as_char)
+        return b"".join([self.as_bytes[t.id] for t in self.model.tokenize(chars)])
+
+    def _word_ids(self, words: pa.Array) -> pa.Array:
+        plain = pc.match_substring_regex(words, _PLAIN)
+        lower = pc.utf8_lower(pc.if_else(plain, words, pa.scalar("", words.type)))
+        cut = pc.split_pattern(pc.replace_substring_regex(lower, _PARTS, r"\1" "\n"), "\n")
+        ids = _joined(cut, lambda parts: pa.array(self.parts(_strings(parts)), pa.large_binary()))
+        other = pc.invert(plain)
+        return pc.replace_with_mask(ids, other, pa.array(self.words(_strings(words.filter(other))), ids.type))
+
+    def _block(self, texts: pa.Array) -> list[bytes]:
+        whole = pc.match_substring_regex(texts, _ODD_SPACE)
+        for token in self.added:
+            whole = pc.or_(whole, pc.match_substring(texts, token))
+        split = pc.utf8_split_whitespace(pc.if_else(whole, pa.scalar("", texts.type), texts))
+        out = _joined(split, self._word_ids).to_pylist()
+        for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = self._ids(texts[i].as_py())
+        return out
+
+    def many(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text in order; no text is null."""
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+        texts, at = texts.cast(pa.large_string()), 0  # parts of one long text may pass 2 GB
+        while at < len(texts):
+            to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK, "right"))
+            to = max(to, at + 1)
+            yield from self._block(texts.slice(at, to - at))
+            at = to
 
     def __call__(self, text: str) -> bytes:
-        if _ODD_SPACE.search(text) or self.added.search(text):
-            return self._ids(text)
-        known = self.words.get
-        return b"".join([known(w) or self._word(w) for w in text.split()])
+        return next(self.many(pa.array([text], pa.large_string())))
 
 
 @lru_cache(maxsize=2)
@@ -170,8 +217,8 @@ def _pack_task(tokenizer_path: str, capacity: int, batch_docs: int, piece: int):
         docs = 0
         for batch in batches:
             key_type = batch.schema.field(0).type
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py()) + end
+            for key, ids in zip(batch.column(0).to_pylist(), encode.many(batch.column(1))):
+                ids += end
                 total = len(ids) // 4
                 full = total // capacity * capacity
                 for s in range(0, full, capacity):

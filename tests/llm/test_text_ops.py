@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -415,6 +416,40 @@ def test_op8_added_tokens_have_their_own_ids(spark):
     check_pieces(queries.digest_pieces(packing.pack(rows, path)).collect(), {i: ids + [1] for i, ids in want.items()})
 
 
+def test_frequent_words_are_encoded_once_among_many_rare_ones(monkeypatch):
+    """A memory that is emptied when full encodes the frequent words again each time."""
+    monkeypatch.setattr(packing, "MEMORY", 1000)
+    enc, asked = packing.WordEncoder(queries.tokenizer("word_bpe_49k.json")), Counter()
+
+    class Counting:
+        def __init__(self, model):
+            self.model = model
+
+        def tokenize(self, part):
+            asked[part] += 1
+            return self.model.tokenize(part)
+
+    enc.model = Counting(enc.model)
+    letters = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(400)]
+    for k in range(20):
+        text = " ".join(["The", "frequent", "words,"] + ["q" + chr(97 + k) + x for x in letters])
+        assert np.frombuffer(enc(text), "<u4").tolist() == enc.full.encode(text, add_special_tokens=False).ids
+    assert asked["the"] == asked["frequent"] == asked["words"] == asked[","] == 1
+
+
+def test_blocks_of_texts_have_the_ids_of_each_text(monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 64)
+    monkeypatch.setattr(packing, "WHOLE_MEMORY", 2)
+    enc = packing.WordEncoder(queries.tokenizer("word_bpe_49k.json"))
+    texts = ["", "The cat's 12 hats, été ÀÉ!", "слово 中文 слово ещё", "a\x1cb", " \t\n ", "x" * 300 + " y", "it'll <|endoftext|> do",
+             "İ ß K\xa0end", "mixed слово words 中文 the cat's"] * 3
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(["cut off", *texts], kind).slice(1)
+        got = [np.frombuffer(ids, "<u4").tolist() for ids in enc.many(column)]
+        assert got == [enc.full.encode(t, add_special_tokens=False).ids for t in texts]
+    assert list(enc.many(pa.array([], pa.string()))) == []
+
+
 # -- op10 ------------------------------------------------------------------------------
 PATH = queries.tokenizer("byte_bpe_50k.tiktoken")
 
