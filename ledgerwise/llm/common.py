@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,11 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([*parts, _ROOT])
 
 
+def release() -> None:
+    """Return Arrow's unused memory to the system; a Python worker, kept for later tasks, else holds it."""
+    pa.default_memory_pool().release_unused()
+
+
 def text_of(col: str = "text") -> Column:
     """The text, a null one as the empty text."""
     return F.coalesce(F.col(col), F.lit(""))

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_of
+from .common import release, ship, text_of
 
 CAPACITY = 2048
 #: Documents that are spread together, and the largest piece of a document's rest.
@@ -231,9 +231,11 @@ def _pack_task(tokenizer_path: str, capacity: int, batch_docs: int, piece: int):
                     flush()
                 if len(out) >= 4096:
                     yield ready()
+            release()
         flush()
         if out:
             yield ready()
+        release()
 
     return run
 

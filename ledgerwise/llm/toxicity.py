@@ -6,8 +6,9 @@ probabilities of the categories before it. While training, those probabilities c
 models that did not see the row (out-of-fold predictions, terms chosen anew for each), so a
 later model meets inputs as reliable as those it gets on unseen documents.
 
-Terms are hashed into ``BUCKETS`` buckets. The whole chain is fitted by one task on the bounded sample of labelled
-documents, with sparse matrices; every document is then scored in one pass over its words.
+Terms are hashed into ``BUCKETS`` buckets. Spark counts them in the bounded sample of labelled documents and chooses
+every model's; the whole chain is fitted by one task that gets the chosen terms only, with sparse matrices. Every
+document is then scored in one pass over its words.
 """
 
 from __future__ import annotations
@@ -16,14 +17,16 @@ import re
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship, text_of, with_row
+from .common import materialize, release, ship, text_of, with_row
 
 #: The fit reads at most this many labelled documents, those with the smallest hashes of their keys.
 SAMPLE_ROWS = 20_000
@@ -38,6 +41,8 @@ THRESHOLD = 0.25
 DECAY, STEPS, REMEMBERED, FLAT = 1e-4, 60, 10, 1e-6
 #: Words whose terms are remembered; buckets that terms are hashed to.
 MEMORY, BUCKETS = 300_000, 1 << 22
+#: Documents whose terms are held together.
+SLICE = 1024
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -102,7 +107,7 @@ def best_terms(codes: np.ndarray, rows: np.ndarray, y: np.ndarray, limit: int =
     """The ``limit`` terms whose presence depends most on ``y`` (chi-squared), in order."""
     n, positive = float(len(y)), float(y.sum())
     has = np.bincount(codes)
-    both = np.bincount(codes[y[rows] > 0], minlength=len(has))
+    both = np.bincount(codes[(y > 0)[rows]], minlength=len(has))
     often = np.flatnonzero(has >= LEAST_DOCS)
     has, both = has[often].astype(np.float64), both[often]
     off = both * n - has * positive
@@ -223,6 +228,7 @@ class Chain:
                     p[:, i] = m.constant if m.constant is not None else sigmoid(
                         margin[:, i] + m.intercept + p[:, :i] @ m.before)
                 yield pd.Series(list(p))
+            release()
 
         return score
 
@@ -232,11 +238,27 @@ class Chain:
 
 def _gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memory = _Terms()
-    for batch in batches:
-        found = [terms_of(t, memory) for t in batch.column("text").to_pylist()]
-        keep = [c for c in batch.schema.names if c != "text"]
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(found, pa.list_(pa.int32()))],
-                                         names=[*keep, "terms"])
+    for whole in batches:
+        for at in range(0, whole.num_rows, SLICE):
+            batch = whole.slice(at, SLICE)
+            found = [np.array(terms_of(t, memory), np.int32) for t in batch.column("text").to_pylist()]
+            keep = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(found, pa.list_(pa.int32()))],
+                                             names=[*keep, "terms"])
+    release()
+
+
+def _only(chosen: np.ndarray):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = batch.column("terms")
+            flat = terms.flatten().to_numpy(zero_copy_only=False)
+            hit = np.isin(flat, chosen)
+            sizes = np.bincount(pc.list_parent_indices(terms).to_numpy(zero_copy_only=False)[hit], minlength=len(terms))
+            left = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), flat[hit])
+            yield batch.set_column(batch.schema.get_field_index("terms"), "terms", left)
+
+    return run
 
 
 def _fit_task(categories: int, folds: int):
@@ -252,13 +274,46 @@ def _fit_task(categories: int, folds: int):
     return run
 
 
+def choose_terms(rows: DataFrame, categories: int, folds: int = FOLDS, limit: int = TERMS) -> list[int]:
+    """All terms that ``best_terms`` chooses for a model of ``fit_models``, counted by Spark.
+
+    ``rows``: ``fold``, ``terms`` and the categories' columns. Terms depend on the labels alone and not on
+    earlier probabilities, so a fit that sees these terms only (with all their documents) is the same."""
+    flags = [f"y{i}" for i in range(categories)]
+    sizes = {r["fold"]: r for r in rows.groupBy("fold").agg(F.count("*").alias("n"), *[F.sum(y).alias(y) for y in flags]).collect()}
+    if not sizes:
+        return []
+    in_fold = lambda k, value: F.sum(F.when(F.col("fold") == k, value).otherwise(0.0))
+    pairs = rows.select("fold", *flags, F.explode("terms").alias("term"))
+    counts = pairs.groupBy("term").agg(
+        *[in_fold(k, F.lit(1.0)).alias(f"n_{k}") for k in sizes],
+        *[in_fold(k, F.col(y)).alias(f"{y}_{k}") for y in flags for k in sizes]).where(
+        sum(F.col(f"n_{k}") for k in sizes) >= LEAST_DOCS)
+    counts, best = materialize(counts, "terms"), []
+    for i, y in enumerate(flags):
+        for own in [None, *(sizes if i < categories - 1 else ())]:
+            others = [k for k in sizes if k != own]
+            n, positive = (float(sum(sizes[k][c] for k in others)) for c in ("n", y))
+            if positive in (0.0, n):
+                continue
+            both = sum(F.col(f"{y}_{k}") for k in others)
+            model = counts.select("term", sum(F.col(f"n_{k}") for k in others).alias("has"), both.alias("both"))
+            off = F.col("both") * n - F.col("has") * positive
+            score = off * off / (F.col("has") * (F.lit(n) - F.col("has") + 1))
+            best.append(model.where(F.col("has") >= LEAST_DOCS).orderBy(score.desc(), "term").limit(limit).select("term"))
+    return [r["term"] for r in reduce(DataFrame.union, best).distinct().collect()] if best else []
+
+
 def fit_chain(labelled: DataFrame, categories: list[str], folds: int = FOLDS) -> Chain:
-    """``labelled``: ``fold_key`` (unique), ``terms`` and 0 / 1 columns ``y0``, ``y1``, ... per category, no nulls.
+    """``labelled``: ``fold_key`` (unique), ``terms`` and 0 / 1 columns ``y0``, ``y1``, ... per category, no nulls;
+    it is read three times.
 
-    One job with one task that holds the bounded sample's terms. A category that has one value only
+    One task fits, from the bounded sample's terms that some model chooses. A category that has one value only
     gets a constant model (its rate), and so has every category without labelled documents (0)."""
     rows = labelled.withColumn("fold", F.pmod(F.xxhash64("fold_key", F.lit(11)), F.lit(folds)).cast("int"))
-    found = rows.groupBy().applyInPandas(
+    chosen = np.array(sorted(choose_terms(rows, len(categories), folds)), np.int32)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    found = rows.mapInArrow(_only(chosen), kinds).groupBy().applyInPandas(
         _fit_task(len(categories), folds),
         "category int, terms binary, weights binary, before binary, intercept double, constant double").collect()
     models = [Model(constant=0.0) for _ in categories]

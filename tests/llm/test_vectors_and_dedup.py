@@ -383,6 +383,49 @@ def test_chain_of_three_gets_out_of_fold_inputs():
         assert hit.mean() > 0.75
 
 
+def test_fit_task_gets_the_chosen_terms_only(spark, monkeypatch):
+    """Terms of one document alone fill the sample; the task never sees them, and its chain is that of all terms."""
+    rng = np.random.default_rng(10)
+    terms, y = chain_rows(rng, 600)
+    terms = [np.array([*t, *range(5000 + 50 * i, 5050 + 50 * i)]) for i, t in enumerate(terms)]
+    rows = [(i, t.tolist(), *map(float, c)) for i, (t, c) in enumerate(zip(terms, y))]
+    labelled = spark.createDataFrame(rows, "fold_key long, terms array<int>, y0 double, y1 double, y2 double").repartition(3)
+    real = toxicity._fit_task
+
+    def strict(categories, folds):
+        task = real(categories, folds)
+
+        def run(pdf):
+            seen = {t for row in pdf["terms"] for t in row}
+            assert len(pdf) == 600 and len(seen) < 100, f"{len(seen)} terms"
+            return task(pdf)
+
+        return run
+
+    monkeypatch.setattr(toxicity, "_fit_task", strict)
+    chain = toxicity.fit_chain(labelled, ["a", "b", "c"])
+    fold = np.array([r.f for r in labelled.selectExpr("fold_key", "int(pmod(xxhash64(fold_key, 11), 3)) f").orderBy("fold_key").collect()])
+    want, _ = toxicity.fit_models(terms, y, fold)
+    for got, model in zip(chain.models, want, strict=True):
+        assert got.terms.tolist() == model.terms.tolist() and got.intercept == model.intercept
+        assert got.weights.tolist() == model.weights.tolist() and got.before.tolist() == model.before.tolist()
+
+
+@pytest.mark.parametrize("limit", [3, 1000])
+def test_spark_chooses_the_terms_of_every_model(spark, limit):
+    rng = np.random.default_rng(11)
+    terms, y = chain_rows(rng, 300)
+    y[:, 2] = 0  # one class: no terms
+    fold = rng.integers(0, 2, 300)  # the third fold is empty
+    rows = [(int(f), t.tolist(), *map(float, c)) for f, t, c in zip(fold, terms, y)]
+    got = toxicity.choose_terms(spark.createDataFrame(rows, "fold int, terms array<int>, y0 double, y1 double, y2 double"), 3, limit=limit)
+    want = set()
+    for i, keep in [(i, fold != k) for i in (0, 1) for k in (0, 1, 2)]:
+        kept = [t for t, k in zip(terms, keep) if k]
+        want.update(toxicity.best_terms(np.concatenate(kept), np.repeat(np.arange(len(kept)), [len(t) for t in kept]), y[keep, i], limit).tolist())
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_solver_reaches_the_minimum():
     rng = np.random.default_rng(1)
     x = (rng.random((300, 6)) < 0.4).astype(float)
